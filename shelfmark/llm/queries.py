@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP8_SQL, op8_chat_format
 from .common import table
+from .compression_quality import op3_quality_classifier
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .reshard import op10_reshard
 from .url_automaton import OP7_SQL, op7_url_filter
@@ -15,6 +16,7 @@ from .url_automaton import OP7_SQL, op7_url_filter
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality_classifier": lambda s, d: op3_quality_classifier(s, table(s, d, "documents"), table(s, d, "labels")),
         "op7_url_filter": lambda s, d: op7_url_filter(s, table(s, d, "pages")),
         "op8_chat_format": lambda s, d: op8_chat_format(s, table(s, d, "conversations")),
         "op9_decontaminate": lambda s, d: op9_decontaminate(s, table(s, d, "documents"), table(s, d, "benchmark")),
