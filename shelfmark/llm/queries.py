@@ -11,6 +11,7 @@ from .common import table
 from .compression_quality import op3_quality_classifier
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .reshard import op10_reshard
+from .suffix_pieces import op2_sentencepiece
 from .token_counts import op1_token_counts
 from .url_automaton import OP7_SQL, op7_url_filter
 
@@ -18,6 +19,7 @@ from .url_automaton import OP7_SQL, op7_url_filter
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": lambda s, d: op1_token_counts(s, table(s, d, "documents")),
+        "op2_sentencepiece": lambda s, d: op2_sentencepiece(s, table(s, d, "documents")),
         "op3_quality_classifier": lambda s, d: op3_quality_classifier(s, table(s, d, "documents"), table(s, d, "labels")),
         "op7_url_filter": lambda s, d: op7_url_filter(s, table(s, d, "pages")),
         "op8_chat_format": lambda s, d: op8_chat_format(s, table(s, d, "conversations")),
