@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +52,17 @@ def utf8_size(text: Column) -> Column:
 def crc32_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def text_slices(column: pa.Array, max_bytes: int) -> Iterator[tuple[int, list[str]]]:
+    """(index of the first, texts) of runs of an Arrow text column of about ``max_bytes``; null becomes ''.
+
+    Only one run at a time becomes Python strings, so a worker's memory follows the run (or one long text), not the batch.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(ends):
+        base = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
+        yield begin, [t or "" for t in column.slice(begin, end - begin).to_pylist()]
+        begin = end

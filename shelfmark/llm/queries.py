@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import OP8_SQL, op8_chat_format
 from .common import table
 from .compression_quality import op3_quality_classifier
+from .dart_minhash import op4_near_duplicates
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .reshard import op10_reshard
 from .suffix_pieces import op2_sentencepiece
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": lambda s, d: op1_token_counts(s, table(s, d, "documents")),
         "op2_sentencepiece": lambda s, d: op2_sentencepiece(s, table(s, d, "documents")),
         "op3_quality_classifier": lambda s, d: op3_quality_classifier(s, table(s, d, "documents"), table(s, d, "labels")),
+        "op4_near_duplicates": lambda s, d: op4_near_duplicates(s, table(s, d, "documents")),
         "op7_url_filter": lambda s, d: op7_url_filter(s, table(s, d, "pages")),
         "op8_chat_format": lambda s, d: op8_chat_format(s, table(s, d, "conversations")),
         "op9_decontaminate": lambda s, d: op9_decontaminate(s, table(s, d, "documents"), table(s, d, "benchmark")),
