@@ -13,6 +13,7 @@ from .dart_minhash import op4_near_duplicates
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .reshard import op10_reshard
 from .suffix_pieces import op2_sentencepiece
+from .surrogates import op5_surrogates
 from .token_counts import op1_token_counts
 from .url_automaton import OP7_SQL, op7_url_filter
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sentencepiece": lambda s, d: op2_sentencepiece(s, table(s, d, "documents")),
         "op3_quality_classifier": lambda s, d: op3_quality_classifier(s, table(s, d, "documents"), table(s, d, "labels")),
         "op4_near_duplicates": lambda s, d: op4_near_duplicates(s, table(s, d, "documents")),
+        "op5_surrogates": lambda s, d: op5_surrogates(s, table(s, d, "documents")),
         "op7_url_filter": lambda s, d: op7_url_filter(s, table(s, d, "pages")),
         "op8_chat_format": lambda s, d: op8_chat_format(s, table(s, d, "conversations")),
         "op9_decontaminate": lambda s, d: op9_decontaminate(s, table(s, d, "documents"), table(s, d, "benchmark")),
