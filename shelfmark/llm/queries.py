@@ -11,6 +11,7 @@ from .common import table
 from .compression_quality import op3_quality_classifier
 from .dart_minhash import op4_near_duplicates
 from .decontaminate import OP9_SQL, op9_decontaminate
+from .line_crf import op6_line_crf
 from .reshard import op10_reshard
 from .suffix_pieces import op2_sentencepiece
 from .surrogates import op5_surrogates
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_classifier": lambda s, d: op3_quality_classifier(s, table(s, d, "documents"), table(s, d, "labels")),
         "op4_near_duplicates": lambda s, d: op4_near_duplicates(s, table(s, d, "documents")),
         "op5_surrogates": lambda s, d: op5_surrogates(s, table(s, d, "documents")),
+        "op6_line_crf": lambda s, d: op6_line_crf(s, table(s, d, "documents"), table(s, d, "labels")),
         "op7_url_filter": lambda s, d: op7_url_filter(s, table(s, d, "pages")),
         "op8_chat_format": lambda s, d: op8_chat_format(s, table(s, d, "conversations")),
         "op9_decontaminate": lambda s, d: op9_decontaminate(s, table(s, d, "documents"), table(s, d, "benchmark")),
