@@ -42,6 +42,11 @@ def count_words(norm: Column) -> Column:
     return F.when(norm == "", F.lit(0)).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
+def row_key() -> Column:
+    """Identity of a row: its id and text."""
+    return F.md5(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x01")), F.coalesce("text", F.lit("\x01"))).cast("binary"))
+
+
 def _windows(words: Column, m: Column | int) -> Column:
     """All runs of ``m`` words, as strings, in order; null where there are fewer words."""
     m = F.lit(m) if isinstance(m, int) else m
@@ -122,7 +127,7 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_w
     lengths = sorted(r[0] for r in windows.select("m").distinct().collect())
     docs = documents.select(
         "doc_id",
-        F.md5(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x01")), F.coalesce("text", F.lit("\x01"))).cast("binary")).alias("row_key"),
+        row_key().alias("row_key"),
         normalise(F.col("text")).alias("norm"),
     ).withColumn("n_words", count_words(F.col("norm")))
     if not lengths:
@@ -153,6 +158,23 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_w
     return once.drop("copy")
 
 
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """Documents without any hit, with their columns as they came; nothing is shuffled while the benchmark is small."""
+    windows = benchmark_windows(benchmark, n)
+    n_windows = windows.agg(F.count("*")).first()[0]
+    if not n_windows:
+        return documents
+    if n_windows > max_windows:
+        dirty = find_hits(documents, benchmark, n, max_windows).where("n_hit > 0").select("row_key").distinct()
+        return documents.withColumn("row_key", row_key()).join(dirty, "row_key", "left_anti").select(*documents.columns)
+    per_length: dict[int, list[str]] = {}
+    for row in windows.select("m", "window").distinct().collect():
+        per_length.setdefault(row["m"], []).append(row["window"])
+    packed = documents.select(F.struct(*documents.columns).alias("row_key"), "doc_id", normalise(F.col("text")).alias("norm"))
+    found = _literal_hits(packed.withColumn("n_words", count_words(F.col("norm"))), per_length)
+    return found.where("n_hit = 0").select("row_key.*")
+
+
 def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_share: float = 0.5) -> DataFrame:
     """Documents without their hit words: documents over ``max_share`` hit go, of others the hit words are cut.
 
@@ -161,8 +183,7 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, ma
     windows = benchmark_windows(benchmark, n)
     hits = find_hits(documents, benchmark, n)
     dirty = hits.where("n_hit > 0").select("doc_id", "row_key", "n_words", "n_hit").distinct()
-    key = F.md5(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x01")), F.coalesce("text", F.lit("\x01"))).cast("binary"))
-    keyed = documents.withColumn("row_key", key)
+    keyed = documents.withColumn("row_key", row_key())
     clean = keyed.join(dirty, "row_key", "left_anti").drop("row_key")
     kept = keyed.join(dirty.where(F.col("n_hit") <= max_share * F.col("n_words")).select("row_key"), "row_key")
     lengths = sorted(r[0] for r in windows.select("m").distinct().collect())
