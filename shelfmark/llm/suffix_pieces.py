@@ -29,13 +29,14 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import text_slices
 from .token_counts import span_hashes
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
-CHUNK_CHARS = 2_000_000
+SLICE_BYTES = 2_000_000
 #: Units that a process remembers before it starts afresh.
-MAX_UNITS = 600_000
+MAX_UNITS = 400_000
 #: Longer units are relaxed edge by edge, not level by level.
 LONG_UNIT = 256
 NONE = -1
@@ -446,17 +447,6 @@ def _encoder(key: str, vocabulary) -> Encoder:
     return _encoders[key]
 
 
-def _text_chunks(texts: list[str]) -> Iterator[list[str]]:
-    begin = size = 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= CHUNK_CHARS:
-            yield texts[begin : k + 1]
-            begin, size = k + 1, 0
-    if begin < len(texts):
-        yield texts[begin:]
-
-
 def encode_documents(documents: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns``, ids array<int>, n_tokens long and round_trip (decoding gives the text back)."""
     spark = documents.sparkSession
@@ -467,8 +457,7 @@ def encode_documents(documents: DataFrame, path: str, columns: tuple[str, ...] =
         encoder = _encoder(path, vocabulary)
         table = encoder.v.bytes_of
         for batch in batches:
-            at = 0
-            for texts in _text_chunks(batch.column("__text").to_pylist()):
+            for at, texts in text_slices(batch.column("__text"), SLICE_BYTES):
                 ids, n_ids = encoder.encode(texts)
                 ends = np.cumsum(n_ids)
                 offsets = np.concatenate([[0], ends])
@@ -477,7 +466,6 @@ def encode_documents(documents: DataFrame, path: str, columns: tuple[str, ...] =
                 kept = [batch.column(c).slice(at, len(texts)) for c in columns]
                 values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*kept, values, pa.array(n_ids, pa.int64()), pa.array(same)], [*columns, "ids", "n_tokens", "round_trip"])
-                at += len(texts)
 
     kinds = dict(narrow.dtypes)
     return narrow.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in columns] + ["ids array<int>", "n_tokens long", "round_trip boolean"]))

@@ -21,6 +21,7 @@ the library's default; repeated rows are returned as often as they came in; extr
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -33,15 +34,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import settle, utf8_size
+from .common import settle, text_slices, utf8_size
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 #: Pre-tokens that are summed without a shuffle, and their greatest length.
 HOT, HOT_CHARS = 50_000, 40
-#: Characters that are cut at once, so that memory does not follow the batch.
-CHUNK_CHARS = 1_000_000
-FLUSH = 300_000
+#: Bytes of text that are cut at once, and distinct pre-tokens held before they go to Spark.
+SLICE_BYTES = 400_000
+FLUSH = 100_000
+#: Pre-tokens that the library encodes in one call.
+ENCODE_AT_ONCE = 1_000
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: First letters after an apostrophe, and the second ones where there are two.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -52,6 +55,7 @@ _classes: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 def load(path: str) -> Tokenizer:
     if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         _tokenizers[path] = Tokenizer.from_file(path)
     return _tokenizers[path]
 
@@ -130,18 +134,6 @@ def cut_starts(points: np.ndarray, classes: np.ndarray, text_starts: np.ndarray)
     return np.flatnonzero(start)
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """(index of the first, texts) of about CHUNK_CHARS."""
-    begin = size = 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= CHUNK_CHARS:
-            yield begin, texts[begin : k + 1]
-            begin, size = k + 1, 0
-    if begin < len(texts):
-        yield begin, texts[begin:]
-
-
 _powers = np.ones(1, np.uint64)
 
 
@@ -230,7 +222,7 @@ def distinct_pretokens(documents: DataFrame, path: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pretoken", "df"])
 
         for batch in batches:
-            for _, texts in _chunks([t or "" for t in batch.column(0).to_pylist()]):
+            for _, texts in text_slices(batch.column(0), SLICE_BYTES):
                 names, _, which, _ = cutter.cut(texts)
                 df = np.bincount(which, minlength=len(names)).tolist()
                 for name, n in zip(names, df, strict=True):
@@ -250,7 +242,8 @@ def piece_counter(path: str):
     tokenizer = load(path)
 
     def count(names: list[str]) -> list[int]:
-        return [len(e.ids) for e in tokenizer.encode_batch_fast(names, add_special_tokens=False)]
+        parts = (names[k : k + ENCODE_AT_ONCE] for k in range(0, len(names), ENCODE_AT_ONCE))
+        return [len(e.ids) for part in parts for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
     return count
 
@@ -281,8 +274,7 @@ def token_counts(documents: DataFrame, path: str, hot: int = HOT) -> DataFrame:
         """One row per document with the sum over hot pre-tokens, one per (document, other pre-token)."""
         cutter, table = Cutter(runs, special), known.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for begin, part in _chunks(texts):
+            for begin, part in text_slices(batch.column("text"), SLICE_BYTES):
                 names, owner, which, times = cutter.cut(part)
                 pieces = np.fromiter((table.get(name, -1) for name in names), np.int64, len(names))
                 is_hot = pieces[which] >= 0 if len(names) else np.zeros(0, bool)
