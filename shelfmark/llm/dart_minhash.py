@@ -37,8 +37,9 @@ BANDS, ROWS = 32, 6
 SIMILARITY = 0.8
 SLICE_BYTES = 500_000
 #: Rows of two narrow columns that may be broadcast; beyond it tables are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 ELECTED_FIRST, ELECTED_GROWTH = 1, 8
+SMALL_BUCKET = 8
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -142,14 +143,14 @@ def weights_of(count: np.ndarray, weighting: str) -> np.ndarray:
     return np.ones(len(count)) if weighting == "set" else count.astype(float)
 
 
-def node_of(text: str = "text"):
+def text_key(text: str = "text"):
     """Identity of a text: 128 bits of its MD5; null for null."""
     return F.unhex(F.md5(F.col(text).cast("binary")))
 
 
 def signatures(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, weighting: str = "set") -> DataFrame:
-    """doc_id, node, bands (array of long; empty for texts without words and for nulls)."""
-    narrow = documents.select("doc_id", node_of().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, key, bands (array of long; empty for texts without words and for nulls)."""
+    narrow = documents.select("doc_id", text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,10 +161,10 @@ def signatures(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, size:
                 some = np.bincount(text, minlength=len(part)) > 0
                 offsets = np.concatenate([[0], np.cumsum(some * bands)])
                 listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[some].ravel(), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("node").slice(a, b - a), listed], ["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a), listed], ["doc_id", "key", "bands"])
 
     kind = dict(documents.dtypes)["doc_id"]
-    return narrow.mapInArrow(run, f"doc_id {kind}, node binary, bands array<long>")
+    return narrow.mapInArrow(run, f"doc_id {kind}, key binary, bands array<long>")
 
 
 def pair_similarities(a: list[str], b: list[str], size: int = SHINGLE, weighting: str = "set") -> np.ndarray:
@@ -185,11 +186,11 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def similar_pairs(pairs: DataFrame, documents: DataFrame, size: int, weighting: str, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar enough, by exact comparison."""
-    needed = settle(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "needed")
-    n = needed.count()
-    texts = documents.select(node_of().alias("node"), "text").join(_small(needed, n), "node", "left_semi")
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, size: int, weighting: str, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar enough, by exact comparison.  ``nodes``: key, node."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    needed = settle(nodes.join(wanted, "node"), "needed")
+    texts = documents.select(text_key().alias("key"), "text").join(_small(needed, needed.count()), "key")
     texts = settle(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
     left = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -202,7 +203,7 @@ def similar_pairs(pairs: DataFrame, documents: DataFrame, size: int, weighting:
                 part = part.filter(pa.array(ok))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -237,10 +238,13 @@ def near_duplicate_groups(
     size: int = SHINGLE,
     weighting: str = "set",
     similarity: float = SIMILARITY,
-) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node, component) for each row with a text, and the links (a, b) between nodes that made the groups."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, node, component) of each row, the links (a, b) between nodes that made the groups, and (key, node)."""
     signed = settle(signatures(documents, bands, rows, size, weighting), "signatures")
-    spread = signed.select("node", F.explode("bands").alias("key"))
+    # Equal texts share a node; the number is fixed by being written.
+    nodes = settle(signed.where("key IS NOT NULL").select("key").distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
+    numbered = settle(signed.join(nodes, "key", "left").select("doc_id", "node", "bands"), "numbered")
+    spread = numbered.select("node", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     members = settle(spread.join(shared, "key").distinct(), "members")
     links = None
@@ -248,28 +252,27 @@ def near_duplicate_groups(
     elected_cells = ELECTED_FIRST
     while True:
         placed = members if components is None else members.join(components, "node", "left")
-        placed = placed.withColumn("c", F.col("node") if components is None else F.coalesce("component", "node")).select("key", "node", "c")
-        if components is not None:
-            open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-            placed = placed.join(open_keys, "key", "left_semi")
-        placed = settle(placed, "placed")
+        placed = placed.select("key", "node", (F.col("node") if components is None else F.coalesce("component", "node")).alias("c"))
+        state = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+        placed = settle(placed.join(state.select("key", "n"), "key"), "placed")
         if placed.isEmpty():
             break
-        cell = F.pmod(F.xxhash64("node"), F.lit(elected_cells))
-        elected = placed.groupBy("key", cell.alias("cell")).agg(F.min(F.struct("node", "c")).alias("e")).select("key", F.col("e.node").alias("a"), F.col("e.c").alias("ca"))
+        # A small bucket elects nearly all its members at once, a large one a few in each round.
+        cells = F.when(F.col("n") <= SMALL_BUCKET, F.lit(SMALL_BUCKET**2)).otherwise(F.lit(elected_cells))
+        elected = placed.groupBy("key", F.pmod(F.xxhash64("node"), cells).alias("cell")).agg(F.min("node").alias("a"))
+        elected = elected.join(placed.select("key", F.col("node").alias("a"), F.col("c").alias("ca")), ["key", "a"])
         against = placed.join(elected, "key").where("c <> ca AND node <> a")
         pairs = settle(against.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
-        found = settle(similar_pairs(pairs, documents, size, weighting, similarity), "links")
-        links = found if links is None else settle(links.union(found), "links")
+        found = settle(similar_pairs(pairs, nodes, documents, size, weighting, similarity), "links")
+        links = found if links is None else links.unionByName(found)
         components = connected_components(links)
         # Elected members have been compared with all others of their bucket.
-        members = settle(placed.select("key", "node").join(elected.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti"), "members")
+        members = placed.select("key", "node").join(elected.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
         elected_cells *= ELECTED_GROWTH
-    grouped = signed.select("doc_id", "node")
+    grouped = numbered.select("doc_id", "node")
     if components is None:
-        empty = documents.sparkSession.createDataFrame([], "a binary, b binary")
-        return grouped.withColumn("component", F.col("node")), empty
-    return grouped.join(components, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component")), links
+        return grouped.withColumn("component", F.col("node")), documents.sparkSession.createDataFrame([], "a long, b long"), nodes
+    return grouped.join(components, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component")), links, nodes
 
 
 def group_ids(grouped: DataFrame) -> DataFrame:
@@ -287,24 +290,25 @@ def group_ids(grouped: DataFrame) -> DataFrame:
 
 def keep_one(documents: DataFrame, **parameters) -> DataFrame:
     """One document of each group (of a repeated row, one copy), with the columns as they came."""
-    grouped, _ = near_duplicate_groups(documents, **parameters)
+    grouped, _, nodes = near_duplicate_groups(documents, **parameters)
     judged = settle(group_ids(grouped), "judged")
     gone = judged.where("NOT kept").select("doc_id", "node").distinct()
-    keyed = documents.withColumn("__node", node_of())
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("node").alias("__gone"))
-    left = keyed.join(_small(gone, gone.count()), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__gone")), "left_anti")
+    keyed = documents.withColumn("__key", text_key())
+    gone = settle(gone.join(nodes, "node").select(F.col("doc_id").alias("__id"), F.col("key").alias("__gone")), "gone")
+    left = keyed.join(_small(gone, gone.count()), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone")), "left_anti")
     # The least id may stand in several rows: then the row with the least text identity stays, once.
     several = judged.where("kept AND node IS NOT NULL").groupBy("group_id", "doc_id").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-    several = settle(several.select(F.col("doc_id").alias("__id"), F.col("first").alias("__first")), "several")
+    several = several.join(nodes, F.col("first") == F.col("node")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__first"))
+    several = settle(several, "several")
     n = several.count()
     if not n:
         return left.select(*documents.columns)
     single = left.join(_small(several.select("__id").distinct(), n), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    again = left.join(_small(several, n), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__first")))
-    once = again.dropDuplicates(["doc_id", "__node"])
+    again = left.join(_small(several, n), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__first")))
+    once = again.dropDuplicates(["doc_id", "__key"])
     return single.select(*documents.columns).unionByName(once.select(*documents.columns))
 
 
 def op4_near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    grouped, _ = near_duplicate_groups(documents)
+    grouped, _, _ = near_duplicate_groups(documents)
     return group_ids(grouped).drop("node")
