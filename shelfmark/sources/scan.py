@@ -89,10 +89,19 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_markers(spark: SparkSession, root: str) -> DataFrame:
-    """(folder, kind, lines) of the marker files .noface, .categories and .set below a root."""
-    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=".*").select("value", F.col("_metadata.file_path").alias("file"))
-    kind = F.regexp_extract("file", r"/\.(noface|categories|set)$", 1)
-    return raw.select(F.regexp_extract("file", r"^(.*)/[^/]*$", 1).alias("folder"), kind.alias("kind"), F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda x: (x != "") & ~x.startswith("#")).alias("lines")).where("kind <> ''")
+    """parse_markers of the files named noface, categories or set with the suffix .marker below a root.
+
+    Spark lists no file whose name starts with a dot, so marker files carry a suffix instead.
+    """
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.marker")
+    return parse_markers(raw.select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def parse_markers(texts: DataFrame) -> DataFrame:
+    """(folder, kind, lines) of marker files (path, value); comments and blank lines left out."""
+    kind = F.regexp_extract("path", r"/\.?(noface|categories|set)(?:\.marker)?$", 1)
+    lines = F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    return texts.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), kind.alias("kind"), lines.alias("lines")).where("kind <> ''")
 
 
 def apply_markers(markers: DataFrame, paths: DataFrame) -> DataFrame:
