@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import catalog, curation, geo, probe, queues, rosters, search, stats, vectors
+from ..operators import catalog, curation, geo, lookups, probe, queues, rosters, search, stats, vectors
 from ..sources import scan
 from .fixtures import Library, with_tables
 
@@ -643,3 +643,86 @@ def faces_in_bodies(t: Library) -> DataFrame:
     faces = lines.where("l_linenumber = 1").select(F.col("l_orderkey").alias("face_id"), F.col("l_orderkey").alias("file_id"), box(n, F.lit(0.0), n + 4, F.lit(4.0)).alias("face_box"))
     bodies = lines.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("body_id"), F.col("l_orderkey").alias("file_id"), box(n - 2, F.lit(0.0), n + 3, F.lit(9.0)).alias("body_box"))
     return vectors.match_faces_to_bodies(faces, bodies).withColumn("share", F.round("share", 6))
+
+
+# Lookups
+
+
+@query("SELECT id, checksum FROM canon WHERE checksum IN (SELECT checksum FROM tags WHERE polarity = 'positive')", "canon", "tags")
+def files_by_checksums(t: Library) -> DataFrame:
+    return lookups.by_keys(catalog.canonical_files(t.listing), lookups.positive_labels(t.tags)).select("id", "checksum")
+
+
+@query("SELECT checksum, string_agg(DISTINCT label, ',' ORDER BY label) AS values FROM tags WHERE polarity = 'positive' GROUP BY 1".replace(" values", ' "values"'), "tags")
+def labels_of_files(t: Library) -> DataFrame:
+    return lookups.values_by_key(lookups.positive_labels(t.tags), "checksum", "label")
+
+
+@query("SELECT DISTINCT checksum, label FROM tags WHERE polarity = 'negative'", "tags")
+def negated_labels(t: Library) -> DataFrame:
+    return lookups.negative_labels(t.tags)
+
+
+@query("SELECT checksum, arg_max(polarity, id) AS polarity FROM tags WHERE label = 'quality' GROUP BY 1", "tags")
+def last_polarity(t: Library) -> DataFrame:
+    return lookups.last_polarity(t.tags, "quality")
+
+
+@query("SELECT c_custkey AS set_id, (SELECT count(*) FROM events WHERE event_type = 'purchase' AND user_id = c_custkey) AS n FROM customer")
+def favourite_counts(t: Library) -> DataFrame:
+    counted = t.raw("events").where("event_type = 'purchase'").groupBy(F.col("user_id").alias("set_id")).agg(F.count("*").alias("n"))
+    return lookups.counts_with_default(t.raw("customer").select(F.col("c_custkey").alias("set_id")), counted, "set_id", "n")
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 60")
+def top_favourites(t: Library) -> DataFrame:
+    counted = t.raw("events").where("event_type = 'purchase'").groupBy("user_id").agg(F.count("*").alias("n"))
+    return lookups.top_favourites(counted, "user_id", "n")
+
+
+@query("SELECT n AS name, count(*) AS n FROM (SELECT CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END AS n FROM part) WHERE lower(n) = 'red widget' AND n <> 'red widget' GROUP BY 1")
+def name_variants(t: Library) -> DataFrame:
+    return lookups.variants(t.raw("part").select(F.when(F.col("p_size") > 25, F.upper("p_name")).otherwise(F.col("p_name")).alias("name")), "red widget")
+
+
+INSTANCES = "f AS (SELECT l_orderkey AS checksum, p_brand AS identity, l_orderkey * 100 + l_linenumber AS id FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'A'), ph AS (SELECT DISTINCT l_orderkey AS checksum, p_brand AS identity FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_discount >= 0.09)"
+
+
+@query(f"WITH {INSTANCES} SELECT identity, checksum, id AS face_id FROM f UNION ALL SELECT identity, checksum, NULL FROM ph WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.checksum = ph.checksum AND f.identity = ph.identity)")
+def identity_instances(t: Library) -> DataFrame:
+    _, faces, photos, _, _ = _people(t)
+    return lookups.identity_instances(faces, photos)
+
+
+@query(f"WITH {INSTANCES} SELECT id, CASE WHEN identity = 'Brand#1' AND checksum IN (SELECT o_orderkey FROM orders WHERE o_custkey = 7) THEN NULL ELSE identity END AS identity FROM f")
+def scrub_identity(t: Library) -> DataFrame:
+    members, faces, photos, _, _ = _people(t)
+    return lookups.scrub_identity(faces, photos, members, "Brand#1", 7)[0].select("id", "identity")
+
+
+@query("WITH s AS (SELECT u.id, n.identity, list_inner_product(u.e, n.e) AS x FROM faces u, faces n WHERE u.identity IS NULL AND n.identity IS NOT NULL) SELECT id AS source_face_id, identity, 'confirm' AS action FROM s WHERE x >= 0.33 QUALIFY row_number() OVER (PARTITION BY id ORDER BY x DESC, identity) = 1", "faces")
+def confirm_above_threshold(t: Library) -> DataFrame:
+    suggested = vectors.nearest_label(t.faces.where("identity IS NULL"), t.faces.where("identity IS NOT NULL"), "identity", 0.3)
+    return lookups.confirm_above(suggested, 0.33)
+
+
+@query("WITH a AS (SELECT * FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) <= 3) SELECT event_type, user_id, n FROM a")
+def top_per_type(t: Library) -> DataFrame:
+    """Top three of each type: one aggregation, then a window per type that keeps only ranks."""
+    from pyspark.sql import Window as W
+
+    counted = t.raw("events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    ranked = counted.withColumn("r", F.row_number().over(W.partitionBy("event_type").orderBy(F.desc("n"), "user_id")))
+    return ranked.where("r <= 3").drop("r")
+
+
+@query("SELECT r_name, n_name, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ROLLUP (r_name, n_name)")
+def place_rollup(t: Library) -> DataFrame:
+    nations = t.raw("nation").join(F.broadcast(t.raw("region")), F.col("n_regionkey") == F.col("r_regionkey"))  # five rows
+    per_nation = t.raw("customer").groupBy("c_nationkey").agg(F.count("*").alias("k"))
+    return per_nation.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).rollup("r_name", "n_name").agg(F.sum("k").alias("n"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def hourly_events(t: Library) -> DataFrame:
+    return t.raw("events").groupBy(F.date_trunc("hour", "ts").alias("start"), "event_type").agg(F.count("*").alias("n"))
