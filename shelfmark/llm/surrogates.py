@@ -125,9 +125,8 @@ def _name(value: Column, stream: Column, attempt: Column) -> Column:
     return F.lower(F.array_join(F.transform(words, word), " "))
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> Column:
-    """Replacement of an entity in canonical form (of a name: without the title)."""
-    s = _stream(kind, value, attempt, key)
+def surrogate(kind: Column, value: Column, attempt: Column, s: Column) -> Column:
+    """Replacement of an entity in canonical form (of a name: without the title), drawn from the stream ``s``."""
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     mail = F.concat(_masked(F.concat(local, F.lit("@"), F.substring_index(domain, ".", 1)), s), F.lit(".example."), F.substring_index(domain, ".", -1))
     ip = F.concat_ws(".", *[(_draw(s, F.lit(k), 254) + 1).cast("string") for k in range(4)])
@@ -147,15 +146,9 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
 
 def dress(kind: Column, surface: Column, replacement: Column) -> Column:
     """The replacement in the format of the surface."""
-    filled = F.aggregate(
-        F.split(surface, ""),
-        F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-        lambda acc, c: F.struct(
-            F.concat(acc["out"], F.when(c.rlike("[0-9A-Z]"), F.substr(replacement, acc["at"], F.lit(1))).otherwise(c)).alias("out"),
-            (acc["at"] + F.when(c.rlike("[0-9A-Z]"), 1).otherwise(0)).alias("at"),
-        ),
-        lambda acc: acc["out"],
-    )
+    # The k-th digit or capital of the surface becomes the k-th character of the replacement.
+    place = lambda i: F.length(F.regexp_replace(F.substr(surface, F.lit(1), i + 1), "[^0-9A-Z]", ""))
+    filled = F.array_join(F.transform(F.split(surface, ""), lambda c, i: F.when(c.rlike("[0-9A-Z]"), F.substr(replacement, place(i), F.lit(1))).otherwise(c)), "")
     title = F.regexp_extract(surface, r"^\S+ ", 0)
     shouted = (F.upper(surface) == surface) & (F.lower(surface) != surface)
     return (
@@ -166,9 +159,19 @@ def dress(kind: Column, surface: Column, replacement: Column) -> Column:
     )
 
 
+def draw(entities: DataFrame, key: str) -> DataFrame:
+    """Adds replacement; the stream is a column of its own so that it is made once per row, not once per character."""
+    kind, value, attempt = F.col("kind"), F.col("value"), F.col("attempt").cast("string")
+    streamed = entities.withColumn("__stream", _stream(kind, value, attempt, key))
+    return streamed.withColumn("replacement", surrogate(kind, value, attempt, F.col("__stream"))).drop("__stream")
+
+
 def distinct_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, value, replacement): one row per entity, replacements distinct within a kind and no entity themselves."""
-    table = settle(entities.select("kind", "value").distinct().withColumn("attempt", F.lit(0)).withColumn("replacement", surrogate(F.col("kind"), F.col("value"), F.lit("0"), key)), "entities")
+    # The expressions cost more than their few bytes tell, so the rows are dealt out evenly before they run.
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = settle(entities.select("kind", "value").distinct().repartition(parts, "kind", "value").withColumn("attempt", F.lit(0)), "values")
+    table = settle(draw(table, key), "entities")
     real = table.select("kind", F.col("value").alias("replacement"))
     for _ in range(MAX_ATTEMPTS):
         claims = table.groupBy("kind", "replacement").agg(F.min("value").alias("first"), F.count("*").alias("n"))
@@ -177,16 +180,9 @@ def distinct_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         if claims.isEmpty():
             return table.select("kind", "value", "replacement")
         judged = table.join(claims, ["kind", "replacement"], "left").withColumn("again", F.coalesce(F.col("is_real") | (F.col("value") != F.col("first")), F.lit(False)))
-        attempt = F.col("attempt") + F.col("again").cast("int")
-        table = settle(
-            judged.select(
-                "kind",
-                "value",
-                attempt.alias("attempt"),
-                F.when(F.col("again"), surrogate(F.col("kind"), F.col("value"), attempt.cast("string"), key)).otherwise(F.col("replacement")).alias("replacement"),
-            ),
-            "entities",
-        )
+        kept = judged.where("NOT again").select("kind", "value", "attempt", "replacement")
+        drawn = draw(judged.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")), key)
+        table = settle(kept.unionByName(drawn), "entities")
     raise ValueError("surrogates stay ambiguous: too many entities of one kind for its format")
 
 
@@ -204,7 +200,8 @@ def pseudonymise(documents: DataFrame, key: str = KEY) -> DataFrame:
     surfaces = dirty.select("__key", F.posexplode("__found").alias("pos", "surface")).withColumn("kind", kind_of(F.col("surface")))
     surfaces = settle(surfaces.where("kind IS NOT NULL").withColumn("value", canonical(F.col("kind"), F.col("surface"))).distinct(), "surfaces")
     table = distinct_surrogates(surfaces, key)
-    dressed = surfaces.join(table, ["kind", "value"]).select("__key", "pos", dress(F.col("kind"), F.col("surface"), F.col("replacement")).alias("new"))
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dressed = surfaces.join(table, ["kind", "value"]).repartition(parts, "kind", "value").select("__key", "pos", dress(F.col("kind"), F.col("surface"), F.col("replacement")).alias("new"))
     by_text = dressed.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("pos", "new"))).alias("__new"))
     both = dirty.join(by_text, "__key", "left")
     gaps = F.split("text", ANY_KIND, -1)

@@ -260,13 +260,29 @@ def count_pieces(pretokens: DataFrame, path: str) -> DataFrame:
     return pretokens.mapInArrow(run, "pretoken string, df long, n_pieces int")
 
 
+def most_frequent(vocabulary: DataFrame, hot: int) -> dict[str, int]:
+    """Pieces of the most frequent short pre-tokens, at most ``hot`` of them.
+
+    A histogram of frequencies (a row per eighth of a power of two) gives the frequency from which on all fit.
+    """
+    short = vocabulary.where(F.length("pretoken") <= HOT_CHARS).withColumn("level", F.floor(F.log2("df") * 8).cast("int"))
+    least, total = None, 0
+    for row in sorted(short.groupBy("level").count().collect(), reverse=True):
+        total += row["count"]
+        if total > hot:
+            break
+        least = row["level"]
+    if least is None:
+        return {}
+    return {r["pretoken"]: r["n_pieces"] for r in short.where(F.col("level") >= least).select("pretoken", "n_pieces").collect()}
+
+
 def token_counts(documents: DataFrame, path: str, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_tokens for each row."""
     spark = documents.sparkSession
     runs, special = class_runs(path), special_strings(path)
     vocabulary = settle(count_pieces(distinct_pretokens(documents, path), path), "pretokens")
-    common = vocabulary.where(F.length("pretoken") <= HOT_CHARS).orderBy(F.desc("df"), "pretoken").limit(hot)
-    known = spark.sparkContext.broadcast({r["pretoken"]: r["n_pieces"] for r in common.select("pretoken", "n_pieces").collect()})
+    known = spark.sparkContext.broadcast(most_frequent(vocabulary, hot))
     keyed = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("text_key", F.xxhash64("text")).withColumn("n_bytes", utf8_size(F.col("text")))
 

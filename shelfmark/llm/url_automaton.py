@@ -157,7 +157,7 @@ RULES = [
     Rule("org", "/fr/", "allow"),
 ]
 #: Globs that block where no rule fits.
-BLOCK_GLOBS = ["*spam-*/**", "*cheap-pills.*/**", "*casino*/**", "*adult*/**", "**.exe", "**.zip"]
+BLOCK_GLOBS = ["*spam-**", "*cheap-pills.**", "*casino**", "*adult**", "**.exe", "**.zip"]
 
 
 def op7_url_filter(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -177,10 +177,10 @@ r AS (
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
   CASE
-    WHEN regexp_matches(host || path, '^[^/]*spam-[^/]*/') THEN '*spam-*/**'
-    WHEN regexp_matches(host || path, '^[^/]*cheap-pills\.[^/]*/') THEN '*cheap-pills.*/**'
-    WHEN regexp_matches(host || path, '^[^/]*casino[^/]*/') THEN '*casino*/**'
-    WHEN regexp_matches(host || path, '^[^/]*adult[^/]*/') THEN '*adult*/**'
+    WHEN regexp_matches(host || path, '^[^/]*spam-') THEN '*spam-**'
+    WHEN regexp_matches(host || path, '^[^/]*cheap-pills\.') THEN '*cheap-pills.**'
+    WHEN regexp_matches(host || path, '^[^/]*casino') THEN '*casino**'
+    WHEN regexp_matches(host || path, '^[^/]*adult') THEN '*adult**'
     WHEN ends_with(host || path, '.exe') THEN '**.exe'
     WHEN ends_with(host || path, '.zip') THEN '**.zip' END AS glob_rule FROM p)
 SELECT page_id, host, path, rule, glob_rule, CASE rule WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow'
