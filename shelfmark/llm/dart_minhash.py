@@ -8,10 +8,14 @@ documents see the same darts.  A document needs only the darts up to about ``ln
 ``k``, not on its length.  The earliest dart of each coordinate is the signature.
 
 Bands of the signature are joined.  No bucket is expanded to pairs: in each round every open bucket elects a few of its
-members (the least of each hash cell), all members in other groups are compared with them exactly, and the elected
-leave the bucket.  Rounds go on, with more elected each time, until every bucket lies in one group or is used up; so
-every pair of a bucket that could still join two groups is compared.  Groups are connected components, found by
-alternating large-star and small-star steps on tables in the shared folder.
+members (the least of each hash cell), all members in other groups are held against them, and the elected leave the
+bucket.  Rounds go on, with more elected each time, until every bucket lies in one group or is used up; so every pair of
+a bucket that could still join two groups is judged.  Groups are connected components, found by alternating large-star
+and small-star steps on tables in the shared folder.
+
+A pair is judged first by its parity maps: each shingle of a text flips one of 512 bits, so two maps differ in at most as
+many bits as the sets differ in elements, and a pair whose maps differ in more than the similarity allows is out for
+certain.  Only the pairs that this bound leaves, hardly more than the links, become rows and are compared exactly.
 
 Weights: ``set`` (each distinct shingle weighs 1; similarity is the Jaccard of the shingle sets, the default) or
 ``count`` (weighted Jaccard of shingle counts).
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, text_slices
@@ -38,8 +42,11 @@ SIMILARITY = 0.8
 SLICE_BYTES = 500_000
 #: Rows of two narrow columns that may be broadcast; beyond it tables are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-ELECTED_FIRST, ELECTED_GROWTH = 1, 8
+ELECTED_FIRST, ELECTED_GROWTH = 1, 32
 SMALL_BUCKET = 8
+#: Words of 64 bits in a parity map.
+MAP_WORDS = 8
+MAP = [f"m{k}" for k in range(MAP_WORDS)]
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -148,8 +155,26 @@ def text_key(text: str = "text"):
     return F.unhex(F.md5(F.col(text).cast("binary")))
 
 
+def parity_maps(n_texts: int, text: np.ndarray, element: np.ndarray, count: np.ndarray, words: int = MAP_WORDS) -> np.ndarray:
+    """(n_texts x words) maps in which every element, as often as it counts, has flipped a bit."""
+    bits = 64 * words
+    if (count > 1).any():  # the k-th occurrence is an element of its own
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        text, element = np.repeat(text, count), np.repeat(element, count) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    place = text * bits + (_mix(element) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(place, minlength=n_texts * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n_texts, bits), axis=1).view(np.int64)
+
+
+def may_be_similar(similarity: float, a: str = "a", b: str = "b") -> Column:
+    """False only where the sizes and parity maps of two sets rule the similarity out."""
+    n_a, n_b = F.col(f"{a}.size"), F.col(f"{b}.size")
+    differ = sum((F.bit_count(F.col(f"{a}.{m}").bitwiseXOR(F.col(f"{b}.{m}"))) for m in MAP[1:]), F.bit_count(F.col(f"{a}.{MAP[0]}").bitwiseXOR(F.col(f"{b}.{MAP[0]}"))))
+    return F.greatest(F.abs(n_a - n_b), differ) * (1 + similarity) <= (n_a + n_b) * (1 - similarity) + 1e-6
+
+
 def signatures(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, weighting: str = "set") -> DataFrame:
-    """doc_id, key, bands (array of long; empty for texts without words and for nulls)."""
+    """doc_id, key, bands (array of long; empty for texts without words and for nulls), size of the set, parity map."""
     narrow = documents.select("doc_id", text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,14 +182,18 @@ def signatures(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, size:
             for a, part in text_slices(batch.column("text"), SLICE_BYTES):
                 b = a + len(part)
                 text, element, count = shingles(part, size)
-                keys = band_keys(dart_signatures(len(part), text, element, weights_of(count, weighting), bands * rows), bands, rows)
+                weight = weights_of(count, weighting)
+                keys = band_keys(dart_signatures(len(part), text, element, weight, bands * rows), bands, rows)
+                maps = parity_maps(len(part), text, element, weight.astype(np.int64))
                 some = np.bincount(text, minlength=len(part)) > 0
                 offsets = np.concatenate([[0], np.cumsum(some * bands)])
                 listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[some].ravel(), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a), listed], ["doc_id", "key", "bands"])
+                total = np.bincount(text, weight, len(part)).astype(np.int64)
+                own = [batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a)]
+                yield pa.RecordBatch.from_arrays([*own, listed, pa.array(total), *map(pa.array, maps.T)], ["doc_id", "key", "bands", "size", *MAP])
 
     kind = dict(documents.dtypes)["doc_id"]
-    return narrow.mapInArrow(run, f"doc_id {kind}, key binary, bands array<long>")
+    return narrow.mapInArrow(run, f"doc_id {kind}, key binary, bands array<long>, size long, " + ", ".join(f"{m} long" for m in MAP))
 
 
 def pair_similarities(a: list[str], b: list[str], size: int = SHINGLE, weighting: str = "set") -> np.ndarray:
@@ -242,17 +271,19 @@ def near_duplicate_groups(
     """(doc_id, node, component) of each row, the links (a, b) between nodes that made the groups, and (key, node)."""
     signed = settle(signatures(documents, bands, rows, size, weighting), "signatures")
     # Equal texts share a node; the number is fixed by being written.
-    nodes = settle(signed.where("key IS NOT NULL").select("key").distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
-    numbered = settle(signed.join(nodes, "key", "left").select("doc_id", "node", "bands"), "numbered")
+    described = signed.where("key IS NOT NULL").groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", *MAP)])
+    nodes = settle(described.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    numbered = settle(signed.select("doc_id", "key", "bands").join(nodes.select("key", "node"), "key", "left").drop("key"), "numbered")
     spread = numbered.select("node", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    members = settle(spread.join(shared, "key").distinct(), "members")
+    members = settle(spread.join(shared, "key").distinct().join(nodes.drop("key"), "node"), "members")
+    nodes = nodes.select("key", "node")
     links = None
     components = None
     elected_cells = ELECTED_FIRST
     while True:
         placed = members if components is None else members.join(components, "node", "left")
-        placed = placed.select("key", "node", (F.col("node") if components is None else F.coalesce("component", "node")).alias("c"))
+        placed = placed.select("key", "node", "size", *MAP, (F.col("node") if components is None else F.coalesce("component", "node")).alias("c"))
         state = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
         placed = settle(placed.join(state.select("key", "n"), "key"), "placed")
         if placed.isEmpty():
@@ -260,17 +291,20 @@ def near_duplicate_groups(
         # A small bucket elects nearly all its members at once, a large one a few in each round.
         cells = F.when(F.col("n") <= SMALL_BUCKET, F.lit(SMALL_BUCKET**2)).otherwise(F.lit(elected_cells))
         elected = placed.groupBy("key", F.pmod(F.xxhash64("node"), cells).alias("cell")).agg(F.min("node").alias("a"))
-        elected = elected.join(placed.select("key", F.col("node").alias("a"), F.col("c").alias("ca")), ["key", "a"])
-        against = placed.join(elected, "key").where("c <> ca AND node <> a")
-        pairs = settle(against.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
-        found = settle(similar_pairs(pairs, nodes, documents, size, weighting, similarity), "links")
-        links = found if links is None else links.unionByName(found)
-        components = connected_components(links)
-        # Elected members have been compared with all others of their bucket.
-        members = placed.select("key", "node").join(elected.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
+        elected = placed.join(elected.withColumnRenamed("a", "node").drop("cell"), ["key", "node"], "left_semi")
+        met = (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & may_be_similar(similarity)
+        against = elected.alias("a").join(placed.alias("b"), met).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+        pairs = settle(against.distinct(), "pairs")
+        if not pairs.isEmpty():
+            found = settle(similar_pairs(pairs, nodes, documents, size, weighting, similarity), "links")
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                components = connected_components(links)
+        # Elected members have been held against all others of their bucket.
+        members = placed.drop("n", "c").join(elected.select("key", "node"), ["key", "node"], "left_anti")
         elected_cells *= ELECTED_GROWTH
     grouped = numbered.select("doc_id", "node")
-    if components is None:
+    if links is None:
         return grouped.withColumn("component", F.col("node")), documents.sparkSession.createDataFrame([], "a long, b long"), nodes
     return grouped.join(components, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component")), links, nodes
 
