@@ -172,7 +172,9 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = WINDO
         per_length.setdefault(row["m"], []).append(row["window"])
     packed = documents.select(F.struct(*documents.columns).alias("row_key"), "doc_id", normalise(F.col("text")).alias("norm"))
     found = _literal_hits(packed.withColumn("n_words", count_words(F.col("norm"))), per_length)
-    return found.where("n_hit = 0").select("row_key.*")
+    # A filter on n_hit would be pushed below the projections, which then work out all windows again for each use of
+    # them; as the output of a generator the count is worked out once.
+    return found.select("row_key", F.explode_outer(F.array("n_hit")).alias("hits")).where("hits = 0").select("row_key.*")
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_share: float = 0.5) -> DataFrame:
