@@ -26,15 +26,25 @@ from pyspark.sql import functions as F
 from .common import settle
 
 KEY = "shelfmark surrogate key"
+#: Kinds that a telephone number must not run into, with their patterns (Java).
+IP = r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])"
+CARD = r"(?<![0-9A-Za-z])(?:(?:4[0-9]{3}|5[1-5][0-9]{2}|2[2-7][0-9]{2}|35[0-9]{2}|6011|64[4-9][0-9]|65[0-9]{2})[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9A-Za-z])"
+SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
+LOCAL = r"[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}"
+#: A further group of digits of a telephone number: no address, card, social security or local number begins after its space.
+GROUP = "(?:(?! (?:" + "|".join([IP, CARD, SSN, LOCAL + "(?![0-9A-Za-z])"]) + "))[ .-]?[0-9]{2,5})"
+#: Ten national digits as 3-3-4 are a whole number, and what follows is not part of it; other layouts have two to four groups.
+WHOLE = r"\+(?:1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z]|[.-][0-9])"
+PHONE = r"(?<![0-9A-Za-z])(?:" + WHOLE + r"|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})" + GROUP + r"{2,4}|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|" + LOCAL + ")(?![0-9A-Za-z])"
 #: Kinds in the order in which a match is named, with their patterns (Java).
 KINDS: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
-    "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
-    "card": r"(?<![0-9A-Za-z])(?:(?:4[0-9]{3}|5[1-5][0-9]{2}|2[2-7][0-9]{2}|35[0-9]{2}|6011|64[4-9][0-9]|65[0-9]{2})[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9A-Za-z])",
-    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,5}){2,4}|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4})(?![0-9A-Za-z])",
+    "ip": IP,
+    "card": CARD,
+    "ssn": SSN,
+    "phone": PHONE,
     "name": r"(?<![\p{L}\p{N}])(?:Mrs?\.|Ms\.|Herr|Frau|Señora?|Monsieur|Madame|Господин|Госпожа) \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 ANY_KIND = "|".join(f"(?:{p})" for p in KINDS.values())

@@ -46,6 +46,22 @@ def test_surrogates(spark):
     assert luhn("".join(m.group(6, 7, 8, 9))) and m[10].upper() == m[11] and m[2].endswith("na") and m[12].endswith("на") and not m[1].split()[0].endswith("na")
 
 
+def test_phones_end_before_other_numbers(spark):
+    """A phone is the same entity whatever number follows it, and the other number is found or left alone."""
+    alone = ["+1 (826) 555-4081", "+1 (843) 555-7672", "190.137.223.204", "170.106.47.218", "+49 30 901820", "4111 1111 1111 1111"]
+    both = ["+1 (826) 555-4081 190.137.223.204", "+1 (843) 555-7672 170.106.47.218", "+1 (826) 555-4081 2024", "+49 30 901820 4111 1111 1111 1111", "+49 30 901820 10.0.0.1"]
+    whole = ["+33 1 23 45 67 89", "+44 20 7946 0958", "+86 138 1234 5678", "+18265554081", "+1 (826) 555-4081-2024"]
+    out = {r["doc_id"]: r for r in surrogates.op5_surrogates(spark, docs(spark, list(enumerate(alone + both + whole)))).collect()}
+    new = {t: out[k]["text"] for k, t in enumerate(alone + both + whole)}
+    assert all(new[t] != t for t in alone)
+    assert new[both[0]] == f"{new[alone[0]]} {new[alone[2]]}" and new[both[1]] == f"{new[alone[1]]} {new[alone[3]]}"
+    assert new[both[2]] == f"{new[alone[0]]} 2024" and new[both[3]] == f"{new[alone[4]]} {new[alone[5]]}"
+    assert new[both[4]].startswith(f"{new[alone[4]]} ") and "10.0.0.1" not in new[both[4]]
+    assert [r["n_entities"] for _, r in sorted(out.items())] == [1] * 6 + [2, 2, 1, 2, 2] + [1] * 5
+    for t in whole:  # all digits but the first are drawn anew
+        assert re.sub("[0-9]", "0", new[t]) == re.sub("[0-9]", "0", t) and sum(a != b for a, b in zip(t, new[t], strict=True)) >= 5
+
+
 def test_surrogates_stay_distinct(spark):
     """SSNs of one digit's difference; two-character mail names collide often and are drawn again."""
     values = [f"{a}{b}@m.org" for a, b in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=2)]
