@@ -268,12 +268,12 @@ def near_duplicate_groups(
     weighting: str = "set",
     similarity: float = SIMILARITY,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, node, component) of each row, the links (a, b) between nodes that made the groups, and (key, node)."""
+    """(doc_id, key, node, component) of each row, the links (a, b) between nodes that made the groups, and (key, node)."""
     signed = settle(signatures(documents, bands, rows, size, weighting), "signatures")
     # Equal texts share a node; the number is fixed by being written.
     described = signed.where("key IS NOT NULL").groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", *MAP)])
     nodes = settle(described.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    numbered = settle(signed.select("doc_id", "key", "bands").join(nodes.select("key", "node"), "key", "left").drop("key"), "numbered")
+    numbered = settle(signed.select("doc_id", "key", "bands").join(nodes.select("key", "node"), "key", "left"), "numbered")
     spread = numbered.select("node", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     members = settle(spread.join(shared, "key").distinct().join(nodes.drop("key"), "node"), "members")
@@ -303,46 +303,56 @@ def near_duplicate_groups(
         # Elected members have been held against all others of their bucket.
         members = placed.drop("n", "c").join(elected.select("key", "node"), ["key", "node"], "left_anti")
         elected_cells *= ELECTED_GROWTH
-    grouped = numbered.select("doc_id", "node")
+    grouped = numbered.select("doc_id", "key", "node")
     if links is None:
         return grouped.withColumn("component", F.col("node")), documents.sparkSession.createDataFrame([], "a long, b long"), nodes
-    return grouped.join(components, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component")), links, nodes
+    return grouped.join(components, "node", "left").select("doc_id", "key", "node", F.coalesce("component", "node").alias("component")), links, nodes
+
+
+def order_in_group() -> Column:
+    """Order of the rows of a component: by id, null ids last, then by text identity."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
 
 
 def group_ids(grouped: DataFrame) -> DataFrame:
-    """doc_id, node, group_id (least doc_id of the component), n_group (rows in it), kept."""
-    heads = grouped.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_group"))
+    """doc_id, key, component, group_id (least doc_id of the component), n_group (rows in it), kept (the least row of its component).
+
+    An id that stands on several texts may be the least of several components: those differ in ``component``.
+    """
+    heads = grouped.where("component IS NOT NULL").groupBy("component").agg(F.min(order_in_group()).alias("head"), F.count("*").alias("n_group"))
     out = grouped.join(heads, "component", "left")
     return out.select(
         "doc_id",
-        "node",
-        F.coalesce("group_id", "doc_id").alias("group_id"),
+        "key",
+        "component",
+        F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("group_id"),
         F.coalesce("n_group", F.lit(1)).cast("long").alias("n_group"),
-        F.coalesce(F.col("group_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+        (F.col("component").isNull() | (order_in_group() == F.col("head"))).alias("kept"),
     )
 
 
 def keep_one(documents: DataFrame, **parameters) -> DataFrame:
-    """One document of each group (of a repeated row, one copy), with the columns as they came."""
-    grouped, _, nodes = near_duplicate_groups(documents, **parameters)
-    judged = settle(group_ids(grouped), "judged")
-    gone = judged.where("NOT kept").select("doc_id", "node").distinct()
+    """One document of each component (of a repeated row, one copy), with the columns as they came.
+
+    Of a component the row with the least (doc_id, text identity) stays; a null text has no component and always stays.
+    Rows are told apart by id and text, never by the id alone.
+    """
+    grouped, _, _ = near_duplicate_groups(documents, **parameters)
+    judged = group_ids(grouped).where("component IS NOT NULL").groupBy("doc_id", "key", "kept").agg(F.count("*").alias("n"))
+    marked = judged.select(F.col("doc_id").alias("__id"), F.col("key").alias("__text"), "kept", "n")
+    # A row that stays and is alone needs no look-up.
+    marked = settle(marked.where("NOT kept OR n > 1").drop("n"), "marked")
+    counts = {r["kept"]: r["count"] for r in marked.groupBy("kept").count().collect()}
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text"))
     keyed = documents.withColumn("__key", text_key())
-    gone = settle(gone.join(nodes, "node").select(F.col("doc_id").alias("__id"), F.col("key").alias("__gone")), "gone")
-    left = keyed.join(_small(gone, gone.count()), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone")), "left_anti")
-    # The least id may stand in several rows: then the row with the least text identity stays, once.
-    several = judged.where("kept AND node IS NOT NULL").groupBy("group_id", "doc_id").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-    several = several.join(nodes, F.col("first") == F.col("node")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__first"))
-    several = settle(several, "several")
-    n = several.count()
-    if not n:
+    left = keyed.join(_small(marked.drop("kept"), sum(counts.values())), same, "left_anti")
+    if not counts.get(True):
         return left.select(*documents.columns)
-    single = left.join(_small(several.select("__id").distinct(), n), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    again = left.join(_small(several, n), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__first")))
+    again = keyed.join(_small(marked.where("kept").drop("kept"), counts[True]), same, "left_semi")
     once = again.dropDuplicates(["doc_id", "__key"])
-    return single.select(*documents.columns).unionByName(once.select(*documents.columns))
+    return left.select(*documents.columns).unionByName(once.select(*documents.columns))
 
 
 def op4_near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     grouped, _, _ = near_duplicate_groups(documents)
-    return group_ids(grouped).drop("node")
+    return group_ids(grouped).drop("key", "component")

@@ -79,6 +79,19 @@ def test_one_of_each_group_stays(spark):
     assert dart_minhash.keep_one(docs.where("false")).count() == 0
 
 
+def test_null_and_repeated_ids_lose_no_text(spark):
+    """Null ids, and one id on unrelated texts that is the least of both groups."""
+    words = [" ".join(f"{w}{k}" for k in range(30)) for w in ("alpha", "beta", "gamma", "delta")]
+    near = words[0] + " more"
+    rows = [(None, words[1]), (None, words[2]), (None, words[2]), (None, None), (None, None), (None, ""), (1, words[0]), (2, near), (None, near), (1, words[3]), (3, words[3]), (1, words[3])]
+    docs = spark.createDataFrame([(d, t, "s", "n", "w") for d, t in rows], DOCS).repartition(3)
+    want = [(None, None), (None, None), (None, ""), (None, words[1]), (None, words[2]), (1, words[0]), (1, words[3])]
+    assert sorted(((r["doc_id"], r["text"]) for r in dart_minhash.keep_one(docs).collect()), key=str) == sorted(want, key=str)
+    got = sorted(((r["doc_id"], r["group_id"], r["n_group"], r["kept"]) for r in dart_minhash.op4_near_duplicates(spark, docs).collect()), key=str)
+    one = [(None, None, 1, True)] * 4 + [(None, None, 2, True)] * 2 + [(1, 1, 3, True)] * 3 + [(2, 1, 3, False), (3, 1, 3, False), (None, 1, 3, False)]
+    assert got == sorted(one, key=str)
+
+
 @pytest.mark.parametrize("weighting", ["set", "count"])
 def test_signatures_estimate_similarity(weighting):
     rng = np.random.default_rng(1)
