@@ -17,6 +17,7 @@ ignored.
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -157,12 +158,40 @@ def reshard(rows: DataFrame, new_shards: int = NEW_SHARDS, salt: int = SALT) ->
     return placed.select(*names, F.col("piece.shard").alias("shard"), (F.col("piece.first") + F.col("pos") - F.col("piece.lo")).alias("slot"))
 
 
-def write_shards(documents: DataFrame, placed: DataFrame, path: str) -> None:
-    """Rewrite only the shards whose rows change: ``placed`` has doc_id, old, shard; files go under ``shard=``."""
-    moved = placed.where("old <> shard")
-    touched = moved.select("old").union(moved.select("shard")).distinct()
-    affected = placed.join(F.broadcast(touched.withColumnRenamed("old", "shard")), "shard", "left_semi")
-    documents.join(affected.select("doc_id", "shard"), "doc_id").repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SALT))).write.partitionBy("shard").mode("overwrite").parquet(path)
+def place_documents(documents: DataFrame, new_shards: int = NEW_SHARDS) -> DataFrame:
+    """document (struct of all columns), old_shard, shard: whole rows, so null and repeated ids need no join back."""
+    rows = documents.select(F.struct(*documents.columns).alias("document"), (utf8_size(F.col("text")) + 1).alias("size"), shard_of_source(F.col("source")).alias("old"))
+    return reshard(rows, new_shards).select("document", F.col("old").alias("old_shard"), F.col("shard").cast("int").alias("shard"))
+
+
+def write_shards(placed: DataFrame, path: str, version: int, base: int | None = None) -> None:
+    """Version ``version`` of a layout under ``path``: only shards that a row leaves or enters are written.
+
+    ``placed``: document, old_shard, shard; ``old_shard`` is where the row lies in version ``base`` (None: nothing is
+    written yet, all shards are).  Files of earlier versions are never touched; a manifest of (shard, version), written
+    last, says where each shard lies, and a shard without rows is not in it.
+    """
+    spark = placed.sparkSession
+    sizes = placed.groupBy("old_shard", "shard").count().collect()  # old shards x new shards rows at most
+    filled = {r["shard"] for r in sizes}
+    kept = {} if base is None else {r["shard"]: r["version"] for r in spark.read.parquet(f"{path}/manifest/v{base}").collect()}
+    touched = {s for r in sizes if r["old_shard"] != r["shard"] for s in (r["old_shard"], r["shard"])}
+    fresh = filled & (touched | (filled - kept.keys()))
+    if fresh:
+        affected = placed.where(F.col("shard").isin(sorted(fresh))).select("document", "shard")
+        affected.repartition("shard", F.pmod(F.xxhash64("document"), F.lit(SALT))).write.partitionBy("shard").parquet(f"{path}/data/v{version}")
+    manifest = [(s, version if s in fresh else kept[s]) for s in sorted(filled)]
+    spark.createDataFrame(manifest, "shard int, version int").coalesce(1).write.parquet(f"{path}/manifest/v{version}")
+
+
+def read_shards(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """document and shard of all rows of a version that has some."""
+    manifest = spark.read.parquet(f"{path}/manifest/v{version}").collect()
+    of: dict[int, list[str]] = {}
+    for r in manifest:
+        of.setdefault(r["version"], []).append(f"{path}/data/v{r['version']}/shard={r['shard']}")
+    parts = [spark.read.option("basePath", f"{path}/data/v{v}").parquet(*folders) for v, folders in sorted(of.items())]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def op10_reshard(spark: SparkSession, documents: DataFrame) -> DataFrame:

@@ -163,6 +163,26 @@ def test_moves_are_as_few_as_can_be(spark):
     assert moved == surplus
 
 
+def test_rewritten_shards_hold_all_rows_once(spark, tmp_path):
+    """Null and repeated ids; shard 0 is emptied, shard 3 is not touched and stays in its files."""
+    path = str(tmp_path / "shards")
+    rows = [(None, "a", "s", 0), (None, "b", "s", 0), (1, "c", None, 0), (1, "c", None, 1), (1, None, "s", 1), (2, "d", "s", 3), (2, "d", "s", 3)]
+    first = spark.createDataFrame([((*r[:3], 7), r[3], r[3]) for r in rows], "document struct<doc_id: long, text: string, source: string, shard: int>, old_shard int, shard int")
+    reshard.write_shards(first, path, 0)
+    moved = first.withColumn("shard", F.when(F.col("old_shard") == 0, 1).otherwise(F.col("old_shard")))
+    reshard.write_shards(moved, path, 1, base=0)
+    for version, want in ((0, first), (1, moved)):
+        got = reshard.read_shards(spark, path, version)
+        assert sorted(map(str, got.select("document", "shard").collect())) == sorted(map(str, want.select("document", "shard").collect()))
+    assert {r["shard"]: r["version"] for r in spark.read.parquet(f"{path}/manifest/v1").collect()} == {1: 1, 3: 0}
+    documents = spark.createDataFrame([(*r[:3], 7) for r in rows], "doc_id long, text string, source string, shard int")
+    placed = reshard.place_documents(documents, 4)
+    reshard.write_shards(placed, path, 2)
+    back = reshard.read_shards(spark, path, 2)
+    assert sorted(map(str, back.select("document.*").collect())) == sorted(map(str, documents.collect()))
+    assert sorted(r["count"] for r in back.groupBy("shard").count().collect()) == [1, 2, 2, 2]
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
