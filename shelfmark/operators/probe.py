@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 EPOCHS, RATE = 200, 0.01
 MIN_PER_CLASS = 5
-#: Labelled vectors that may come to the driver; beyond it the fit is distributed.
-MAX_LOCAL = 50_000
+#: Hash buckets in which the rows of a class are numbered.
+BUCKETS = 1024
 
 
 @dataclass(frozen=True)
@@ -33,43 +36,81 @@ def fit_local(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float =
     return w[:-1], float(w[-1])
 
 
-def _accuracy(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: float) -> float:
-    return float((((x @ w + b) >= 0) == (y == 1)).mean())
+def _folded(examples: DataFrame, folds: int, seed: int) -> DataFrame:
+    """embedding, label, fold: the rows of each class are dealt to the folds in the order of a hash.
+
+    Rows are numbered inside hash buckets, whose counts alone reach the driver, so no class is gathered in one task.
+    """
+    spark = examples.sparkSession
+    h = F.xxhash64("id", F.lit(seed))
+    keyed = examples.select("id", "embedding", F.col("label").cast("int").alias("label"), F.pmod(h, F.lit(BUCKETS)).cast("int").alias("bucket"))
+    at, begins = {}, []
+    for label, bucket, n in sorted(keyed.groupBy("label", "bucket").count().collect()):
+        begins.append((label, bucket, at.get(label, 0)))
+        at[label] = at.get(label, 0) + n
+    begin = spark.createDataFrame(begins, "label int, bucket int, begin long")
+    k = F.row_number().over(W.partitionBy("label", "bucket").orderBy(h, "id", "embedding")) - 1
+    numbered = keyed.withColumn("k", k).join(F.broadcast(begin), ["label", "bucket"])
+    return numbered.select("embedding", "label", F.pmod(F.col("begin") + F.col("k"), F.lit(folds)).cast("int").alias("fold"))
+
+
+def _packed(folded: DataFrame) -> DataFrame:
+    """One row per Arrow batch: matrix (with a column of ones), labels and folds as bytes, so that a step only multiplies."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack(batch.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
+                y, fold = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "fold"))
+                values = [np.column_stack([x, np.ones(len(x))]), y.astype(np.float64), fold.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in values], ["x", "y", "fold"])
+
+    return folded.mapInArrow(pack, "x binary, y binary, fold binary").persist()
+
+
+def _summed(packed: DataFrame, size: int, part: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum of ``part`` (x, y, fold) over all rows: one partial row per task, summed by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for x, y, fold in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "fold")), strict=True):
+                y = np.frombuffer(y)
+                total += part(np.frombuffer(x).reshape(len(y), -1), y, np.frombuffer(fold, np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["g"])
+
+    rows = packed.mapInArrow(run, "g array<double>")
+    return np.array(rows.agg(F.array(*[F.sum(F.col("g")[i]) for i in range(size)])).first()[0])
 
 
 def fit(examples: DataFrame, seed: int = 0) -> Probe:
     """``examples``: id, embedding, label (0/1).  Stratified 80/20 with ten of each class, else up to five folds; then all.
 
-    More than MAX_LOCAL examples are fitted by Spark's own logistic regression instead of on the driver.
+    At every size the same full-batch Adam as ``fit_local``; the fits with a fold held out and the one on all rows take
+    their steps together, each step one pass whose gradients are summed by Spark.
     """
     counts = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
     if min(counts.get(0, 0), counts.get(1, 0)) < MIN_PER_CLASS:
         raise ValueError(f"at least {MIN_PER_CLASS} examples of each class are needed")
-    if sum(counts.values()) > MAX_LOCAL:
-        return _fit_spark(examples, seed)
-    rows = sorted(examples.select("id", "embedding", "label").collect())
-    x, y = np.array([r["embedding"] for r in rows], float), np.array([r["label"] for r in rows], float)
-    rng = np.random.default_rng(seed)
-    folds = 5 if min(counts.values()) >= 10 else min(5, *counts.values())
-    place = np.empty(len(y), int)
-    for c in (0, 1):
-        at = rng.permutation(np.flatnonzero(y == c))
-        place[at] = np.arange(len(at)) % folds
-    held = [0] if min(counts.values()) >= 10 else range(folds)
-    accuracy = float(np.mean([_accuracy(x[place == k], y[place == k], *fit_local(x[place != k], y[place != k])) for k in held]))
-    w, b = fit_local(x, y)
-    return Probe(w.tolist(), b, accuracy, "80/20" if min(counts.values()) >= 10 else f"{folds}-fold")
-
-
-def _fit_spark(examples: DataFrame, seed: int) -> Probe:
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    data = examples.select(array_to_vector("embedding").alias("features"), F.col("label").cast("double").alias("label"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(5)).alias("fold"))
-    model = LogisticRegression(maxIter=EPOCHS).fit(data.where("fold <> 0"))
-    accuracy = model.transform(data.where("fold = 0")).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-    final = LogisticRegression(maxIter=EPOCHS).fit(data)
-    return Probe(final.coefficients.toArray().tolist(), float(final.intercept), float(accuracy or 0.0), "80/20")
+    enough = min(counts.values()) >= 10
+    folds = 5 if enough else min(5, *counts.values())
+    held = np.array([*([0] if enough else range(folds)), -1])  # -1: no fold is held out
+    packed = _packed(_folded(examples, folds, seed))
+    shape = (len(held), len(examples.select("embedding").first()[0]) + 1)
+    used = _summed(packed, len(held), lambda x, y, fold: (fold[:, None] != held).sum(axis=0))
+    w, m, v = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+    for t in range(1, EPOCHS + 1):
+
+        def gradient(x: np.ndarray, y: np.ndarray, fold: np.ndarray, w: np.ndarray = w) -> np.ndarray:
+            return (((1 / (1 + np.exp(-(x @ w.T))) - y[:, None]) * (fold[:, None] != held)).T @ x).ravel()
+
+        g = _summed(packed, w.size, gradient).reshape(shape) / used[:, None]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    right = _summed(packed, len(held), lambda x, y, fold: (((x @ w.T >= 0) == (y == 1)[:, None]) & (fold[:, None] == held)).sum(axis=0))
+    packed.unpersist()
+    accuracy = float((right[:-1] / (used[-1] - used[:-1])).mean())
+    return Probe(w[-1, :-1].tolist(), float(w[-1, -1]), accuracy, "80/20" if enough else f"{folds}-fold")
 
 
 def score(vectors: DataFrame, probe: Probe) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,6 +288,18 @@ def test_probe(spark):
     assert all((r["score"] > 0.5) == (r["label"] == 1) for r in scored)
 
 
+def test_probe_is_the_same_fit_at_every_size(spark):
+    """Also beyond 50,000 rows the weights are those of full-batch Adam."""
+    n = 50_200
+    x = np.random.default_rng(2).normal(size=(n, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] + 0.2 > 0).astype(int)
+    pdf = pd.DataFrame({"id": np.arange(n), "embedding": x.tolist(), "label": y})
+    fitted = probe.fit(spark.createDataFrame(pdf, "id long, embedding array<double>, label int"))
+    w, b = probe.fit_local(x, y)
+    assert np.allclose(fitted.weights, w, atol=1e-9) and abs(fitted.bias - b) < 1e-9
+    assert fitted.scheme == "80/20" and fitted.accuracy > 0.95
+
+
 def test_calibration(spark):
     scored = spark.range(1000).select("id", (F.col("id") / 1000).alias("score"))
     safe = probe.calibrate(scored, lambda r: r["score"] > 0.6)
