@@ -9,7 +9,7 @@ the calibration, texts up to ``MAX_TRAIN_CHARS``; the rows with the smallest has
 document.  Labels, language, source and id never enter a score.
 
 Defined results: null texts count as empty; an empty text has size differences 0 and so the score that the fit gives to
-that; without labelled rows of both classes the score is the smoothed share of good labels (0.5 without any); documents
+that; without labelled texts of both classes the score is the smoothed share of good labels (0.5 without any); documents
 with several labels take part once for each; equal rows stay; extra columns are ignored.
 """
 
@@ -33,6 +33,8 @@ MAX_TRAIN_CHARS = 60_000
 DICT_BYTES = 32_768
 SAMPLE_BYTES = 2_048
 LEVEL = 3
+#: Below so many texts of a class the ridge grows with the square of what is missing.
+FEW = 16
 
 
 @dataclass(frozen=True)
@@ -107,7 +109,8 @@ def train(documents: DataFrame, labelled: DataFrame, max_per_class: int = MAX_PE
     chosen = F.broadcast(ids[0].unionByName(ids[1]))  # 4 * max_per_class narrow rows
     rows = sorted(((r["h"], r["label"], r["text"]) for r in sized.join(chosen, "doc_id").collect()))[: 8 * max_per_class]
     halves = {c: [t for _, label, t in rows if label == c] for c in (0, 1)}
-    if min(len(h) for h in halves.values()) < 16:
+    fewest = min(len(h) for h in halves.values())
+    if not fewest:
         return Model(b"", b"", (), (), (), prior)
     dictionaries = []
     for c in (1, 0):
@@ -118,13 +121,13 @@ def train(documents: DataFrame, labelled: DataFrame, max_per_class: int = MAX_PE
             dictionaries.append(zstandard.train_dictionary(max(1024, min(DICT_BYTES, total // 4)), cuts).as_bytes())
         except zstandard.ZstdError:  # too little or too uniform text for a trained one: its text itself serves
             dictionaries.append(b"".join(cuts)[:DICT_BYTES])
-    held = [(t, c) for c in (0, 1) for t in halves[c][1::2]]
+    held = [(t, c) for c in (0, 1) for t in halves[c][1::2] or halves[c]]  # a single text serves for both
     x = features([t for t, _ in held], *dictionaries)
     y = np.array([c for _, c in held])
     share = {c: counts[c] / (counts[0] + counts[1]) for c in (0, 1)}
     weight = np.array([share[c] * len(y) / max(1, (y == c).sum()) for c in y])  # calibrated to the share of all labels
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    w = fit_logistic(expand((x - mean) / scale), y, weight)
+    w = fit_logistic(expand((x - mean) / scale), y, weight, max(1.0, (FEW / fewest) ** 2))
     return Model(*dictionaries, tuple(w), tuple(mean), tuple(scale), prior)
 
 

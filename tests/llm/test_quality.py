@@ -45,6 +45,17 @@ def test_edges_without_labels(spark):
     assert compression_quality.op3_quality_classifier(spark, edge(spark).where("false"), labels).count() == 0
 
 
+def test_few_labels_still_fit(spark, sf_dir):
+    """Ten texts of the bad class, and one of each; only an absent class leaves the prior."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = compression_quality.op3_quality_classifier(spark, docs, labels)
+    assert {r["predicted"] for r in scored.select("predicted").distinct().collect()} == {0, 1}
+    two = spark.createDataFrame([(1, "good words of a text", "x", "s"), (2, "zzz $$$ zzz", "x", "s"), (3, "", "x", "s")], DOCS)
+    assert compression_quality.train(two, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, label int")).weights
+    assert compression_quality.train(two, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, label int")).scores(["a"])[0] >= 0
+    assert not compression_quality.train(two, spark.createDataFrame([(1, 1), (9, 0)], "doc_id long, label int")).weights
+
+
 def brute(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
