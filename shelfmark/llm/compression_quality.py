@@ -10,7 +10,7 @@ document.  Labels, language, source and id never enter a score.
 
 Defined results: null texts count as empty; an empty text has size differences 0 and so the score that the fit gives to
 that; without labelled texts of both classes the score is the smoothed share of good labels (0.5 without any); documents
-with several labels take part once for each; equal rows stay; extra columns are ignored.
+with several labels take part in the fit once for each; of a repeated id the least text is fitted; equal rows stay; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,7 +107,9 @@ def train(documents: DataFrame, labelled: DataFrame, max_per_class: int = MAX_PE
     sized = documents.where(F.length("text") <= max_chars).select("doc_id", F.col("text"))
     ids = [labelled.where(F.col("label") == c).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(2 * max_per_class) for c in (0, 1)]
     chosen = F.broadcast(ids[0].unionByName(ids[1]))  # 4 * max_per_class narrow rows
-    rows = sorted(((r["h"], r["label"], r["text"]) for r in sized.join(chosen, "doc_id").collect()))[: 8 * max_per_class]
+    # One text per chosen id, however many rows it has.
+    single = sized.join(chosen, "doc_id").groupBy("h", "doc_id", "label").agg(F.min("text").alias("text"))
+    rows = sorted((r["h"], r["label"], r["text"]) for r in single.collect())
     halves = {c: [t for _, label, t in rows if label == c] for c in (0, 1)}
     fewest = min(len(h) for h in halves.values())
     if not fewest:

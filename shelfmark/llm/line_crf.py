@@ -283,9 +283,11 @@ def learn(documents: DataFrame, labels: DataFrame) -> Field:
     labelled = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("label"), F.xxhash64("doc_id").alias("h"))
     ids = [labelled.where(F.col("label") == c).orderBy("h", "doc_id").limit(MAX_PER_CLASS) for c in (0, 1)]
     fitting = documents.where(F.length("text") <= MAX_TRAIN_CHARS).select("doc_id", "text")
-    rows = sorted((r["h"], r["label"], r["text"]) for r in fitting.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").collect())
+    # One text per chosen id, however many rows it has.
+    single = fitting.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").groupBy("h", "doc_id", "label").agg(F.min("text").alias("text"))
+    rows = sorted((r["h"], r["label"], r["text"]) for r in single.collect())
     chains, seen = [], set()
-    for _, label, text in rows[: 4 * MAX_PER_CLASS]:
+    for _, label, text in rows:
         m = measure([text])
         if 0 < len(m.line_text) <= MAX_LINES:
             chains.append((m.features, np.full(len(m.line_text), label)))

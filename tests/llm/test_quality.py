@@ -56,6 +56,15 @@ def test_few_labels_still_fit(spark, sf_dir):
     assert not compression_quality.train(two, spark.createDataFrame([(1, 1), (9, 0)], "doc_id long, label int")).weights
 
 
+def test_rows_of_a_repeated_id_reach_the_driver_once(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    hot = labels.where("quality = 1").join(docs, "doc_id").orderBy("doc_id").select(docs.columns).limit(3)
+    more = docs.unionByName(hot.crossJoin(spark.range(200)).drop("id"))
+    assert compression_quality.learn(more, labels) == compression_quality.learn(docs, labels)
+    a, b = line_crf.learn(more, labels), line_crf.learn(docs, labels)
+    assert np.array_equal(a.emission, b.emission) and np.array_equal(a.transition, b.transition)
+
+
 def brute(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
