@@ -182,7 +182,9 @@ def distinct_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = settle(entities.select("kind", "value").distinct().repartition(parts, "kind", "value").withColumn("attempt", F.lit(0)), "values")
     table = settle(draw(table, key), "entities")
-    real = table.select("kind", F.col("value").alias("replacement"))
+    # A drawn name has no title, so it is held against the names of the corpus without theirs.
+    bare = F.when(F.col("kind") == "name", F.regexp_replace("value", r"^\S+ ", "")).otherwise(F.col("value"))
+    real = settle(table.select("kind", bare.alias("replacement")).distinct(), "real")
     for _ in range(MAX_ATTEMPTS):
         claims = table.groupBy("kind", "replacement").agg(F.min("value").alias("first"), F.count("*").alias("n"))
         claims = claims.join(real.withColumn("is_real", F.lit(True)), ["kind", "replacement"], "left").where("n > 1 OR is_real")

@@ -73,6 +73,15 @@ def test_surrogates_stay_distinct(spark):
     assert any(same[r["value"]] != r["replacement"] for r in other)
 
 
+def test_no_surrogate_is_a_name_of_the_corpus(spark):
+    """The name first drawn for one entity stands in the corpus under several titles."""
+    one = spark.createDataFrame([("name", "mr. smith", 0)], "kind string, value string, attempt int")
+    drawn = surrogates.draw(one, surrogates.KEY).first()["replacement"]
+    names = ["mr. smith", f"mr. {drawn}", f"herr {drawn}"]
+    table = {r["value"]: r["replacement"] for r in surrogates.distinct_surrogates(one.select("kind", "value").unionByName(spark.createDataFrame([("name", n) for n in names[1:]], "kind string, value string"))).collect()}
+    assert sorted(table) == sorted(names) and len(set(table.values())) == 3 and not set(table.values()) & {"smith", drawn}
+
+
 def test_surrogates_of_nothing(spark):
     assert surrogates.op5_surrogates(spark, docs(spark, [(1, "x")]).where("false")).count() == 0
     assert surrogates.op5_surrogates(spark, docs(spark, [(1, "no entity")])).collect()[0]["n_entities"] == 0
