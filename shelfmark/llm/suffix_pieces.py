@@ -34,9 +34,9 @@ from .token_counts import span_hashes
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
-SLICE_BYTES = 2_000_000
-#: Units that a process remembers before it starts afresh.
-MAX_UNITS = 400_000
+SLICE_BYTES = 500_000
+#: Units, and ids of units, that a process remembers before it starts afresh.
+MAX_UNITS, MAX_POOL = 400_000, 2_000_000
 #: Longer units are relaxed edge by edge, not level by level.
 LONG_UNIT = 256
 NONE = -1
@@ -64,8 +64,20 @@ def read_vocabulary(path: str) -> Vocabulary:
     piece = {i: sp.id_to_piece(i) for i in normal}
     merged = sorted((i for i in normal if len(piece[i]) > 1), key=lambda i: (-sp.get_score(i), i))
     single = [i for i in normal if len(piece[i]) == 1]
-    ids = merged + single
-    tokens = [piece[i] for i in ids]
+    byte_ids = np.full(256, NONE, np.int32)
+    bytes_of = [b""] * n
+    for i in range(n):
+        if sp.is_byte(i):
+            value = int(sp.id_to_piece(i)[1:-1], 16)
+            byte_ids[value], bytes_of[i] = i, bytes([value])
+        elif i in piece:
+            bytes_of[i] = piece[i].replace(BLANK, " ").encode()
+    return arrange([piece[i] for i in merged], [piece[i] for i in single], merged + single, bytes_of, byte_ids)
+
+
+def arrange(merged: list[str], single: list[str], ids: list[int], bytes_of: list[bytes], byte_ids: np.ndarray) -> Vocabulary:
+    """Vocabulary of the merged pieces, best first, and the single characters."""
+    tokens = merged + single
     index = {t: k for k, t in enumerate(tokens)}
     n_merged = len(merged)
     left, right = np.full(len(ids), NONE, np.int32), np.full(len(ids), NONE, np.int32)
@@ -79,14 +91,6 @@ def read_vocabulary(path: str) -> Vocabulary:
         final = _last_merge(t, index)
         if final:
             left[k], right[k] = final
-    byte_ids = np.full(256, NONE, np.int32)
-    bytes_of = [b""] * n
-    for i in range(n):
-        if sp.is_byte(i):
-            value = int(sp.id_to_piece(i)[1:-1], 16)
-            byte_ids[value], bytes_of[i] = i, bytes([value])
-        elif i in piece:
-            bytes_of[i] = piece[i].replace(BLANK, " ").encode()
     return Vocabulary(tokens, np.array(ids, np.int32), n_merged, left, right, np.array(pairs, np.int64), bytes_of, byte_ids)
 
 
@@ -201,17 +205,19 @@ class Encoder:
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(begin, token) of every occurrence of a piece of several characters; ``codes`` has 0 between the units."""
         letters = np.unique(codes[codes > 0])
-        if len(letters) > 255:
-            return self._edges_one_by_one(codes)
         small = np.zeros(self.spans.shape[0], np.uint64)
         small[letters] = np.arange(1, len(letters) + 1)
+        # Windows as sort keys of 64 bits: eight characters each, or four where more than 255 different ones occur.
+        bits = 8 if len(letters) < 256 else 16
+        per, top = 64 // bits, np.uint64((1 << bits) - 1)
+        shift = np.uint64(64 - bits) - np.uint64(bits) * np.arange(per, dtype=np.uint64)
         n, w = len(codes), self.width
-        keys = -(-w // 8)
-        padded = np.concatenate([small[codes], np.zeros(8 * keys + 8, np.uint64)])
-        eight = np.zeros(n + 8 * keys, np.uint64)
-        for k in range(8):
-            eight |= padded[k : k + len(eight)] << np.uint64(56 - 8 * k)
-        columns = [eight[8 * k : 8 * k + n] for k in range(keys)]
+        keys = -(-w // per)
+        padded = np.concatenate([small[codes], np.zeros(per * keys + per, np.uint64)])
+        packed = np.zeros(n + per * keys, np.uint64)
+        for k in range(per):
+            packed |= padded[k : k + len(packed)] << shift[k]
+        columns = [packed[per * k : per * k + n] for k in range(keys)]
         order = np.lexsort(columns[::-1])
         columns = [c[order] for c in columns]
         present = (small[self.piece_codes] > 0) | (self.piece_codes == 0)
@@ -220,14 +226,13 @@ class Encoder:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         tokens = self.usable[rows]
         chars = np.where(self.piece_codes[rows] > 0, small[self.piece_codes[rows]], 0).astype(np.uint64)
-        chars = np.pad(chars, ((0, 0), (0, 8 * keys - w)))
-        filled = np.arange(8 * keys)[None, :] < self.lengths[tokens][:, None]
+        chars = np.pad(chars, ((0, 0), (0, per * keys - w)))
+        filled = np.arange(per * keys)[None, :] < self.lengths[tokens][:, None]
         low, high = np.full(len(rows), 0, np.int64), np.full(len(rows), n, np.int64)
         for k in range(keys):
-            part, full = chars[:, 8 * k : 8 * k + 8], filled[:, 8 * k : 8 * k + 8]
-            shift = np.uint64(56) - np.uint64(8) * np.arange(8, dtype=np.uint64)
+            part, full = chars[:, per * k : per * k + per], filled[:, per * k : per * k + per]
             least = (part << shift).sum(axis=1, dtype=np.uint64)
-            most = (np.where(full, part, np.uint64(255)) << shift).sum(axis=1, dtype=np.uint64)
+            most = (np.where(full, part, top) << shift).sum(axis=1, dtype=np.uint64)
             used = np.flatnonzero(full[:, 0])
             if k == 0:
                 low, high = np.searchsorted(columns[0], least, "left"), np.searchsorted(columns[0], most, "right")
@@ -253,19 +258,6 @@ class Encoder:
             out.append(a)
         return out[0], out[1]
 
-    def _edges_one_by_one(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For alphabets too large for the packed windows: the text in halves, at a unit's border, else by lookup."""
-        borders = np.flatnonzero(codes == 0)
-        inner = borders[(borders > 0) & (borders < len(codes) - 1)]
-        if len(inner):
-            cut = inner[len(inner) // 2]
-            (b1, t1), (b2, t2) = self.edges(codes[:cut]), self.edges(codes[cut:])
-            return np.concatenate([b1, b2 + cut]), np.concatenate([t1, t2])
-        by_codes = {tuple(self.piece_codes[r, : self.lengths[k]].tolist()): k for r, k in enumerate(self.usable.tolist())}
-        c = codes.tolist()
-        found = [(i, by_codes[p]) for i in range(len(c)) for m in range(2, self.width + 1) if (p := tuple(c[i : i + m])) in by_codes and len(p) == m]
-        return np.array([b for b, _ in found], np.int64), np.array([t for _, t in found], np.int64)
-
     def units(self, points: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each unit) of units given as spans of code points."""
         lengths = ends - begins
@@ -404,7 +396,7 @@ class Encoder:
         old = place < len(self.known)
         old[old] = self.known[place[old]] == distinct[old]
         if not old.all():
-            if len(self.known) + int((~old).sum()) > MAX_UNITS and len(self.known):
+            if len(self.known) and (len(self.known) + int((~old).sum()) > MAX_UNITS or len(self.pool) > MAX_POOL):
                 self.forget()
                 old[:] = False
             new = first[~old]

@@ -1,5 +1,6 @@
 """Token counts and SentencePiece encoding against the libraries."""
 
+import itertools
 import random
 
 import numpy as np
@@ -83,3 +84,27 @@ def test_encoder_on_random_and_long_units():
     assert all(ids[ends[k] : ends[k + 1]].tolist() == sp.encode(t) for k, t in enumerate(texts))
     again, _ = encoder.encode(texts)  # now from memory
     assert (again == ids).all()
+
+
+def test_encoder_of_a_large_alphabet():
+    """More than 255 letters in one batch, against merges done one by one."""
+    rnd = random.Random(1)
+    letters = [suffix_pieces.BLANK] + [chr(0x4E00 + k) for k in range(400)]
+    pairs = ["".join(rnd.sample(letters[1:], 2)) for _ in range(900)]
+    merged = list(dict.fromkeys(pairs + [rnd.choice(pairs) + rnd.choice(pairs) for _ in range(300)] + [rnd.choice(pairs) + rnd.choice(letters[1:]) for _ in range(300)]))
+    rnd.shuffle(merged)
+    n = len(merged) + len(letters)
+    encoder = suffix_pieces.Encoder(suffix_pieces.arrange(merged, letters, list(range(n)), [b""] * n, np.full(256, -1, np.int32)))
+    rank = {t: k for k, t in enumerate(merged + letters)}
+
+    def one_by_one(text):
+        parts = [suffix_pieces.BLANK, *text]
+        while found := [(rank[a + b], k) for k, (a, b) in enumerate(itertools.pairwise(parts)) if a + b in rank]:
+            k = min(found)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return [rank[p] for p in parts]
+
+    texts = ["".join(rnd.choice(pairs + letters[1:]) for _ in range(rnd.randint(1, 25))) for _ in range(300)]
+    ids, sizes = encoder.encode(texts)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    assert all(ids[ends[k] : ends[k + 1]].tolist() == one_by_one(t) for k, t in enumerate(texts))
