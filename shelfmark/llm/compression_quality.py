@@ -20,19 +20,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_mod
+from .common import crc32_mod, text_slices
 
 MAX_PER_CLASS = 1500
 MAX_TRAIN_CHARS = 60_000
 DICT_BYTES = 32_768
 SAMPLE_BYTES = 2_048
 LEVEL = 3
+#: Bytes of text that are Python strings at once.
+SLICE_BYTES = 500_000
 #: Below so many texts of a class the ridge grows with the square of what is missing.
 FEW = 16
 
@@ -137,12 +138,14 @@ def score(documents: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_i
     """``columns``, then score."""
     narrow = documents.select(*columns, F.coalesce("text", F.lit("")).alias("__text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.drop(columns="__text").assign(score=model.scores(pdf["__text"].tolist()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, texts in text_slices(batch.column("__text"), SLICE_BYTES):
+                own = [batch.column(c).slice(begin, len(texts)) for c in columns]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(model.scores(texts))], [*columns, "score"])
 
     kinds = dict(narrow.dtypes)
-    return narrow.mapInPandas(run, ", ".join([f"`{c}` {kinds[c]}" for c in columns] + ["score double"]))
+    return narrow.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in columns] + ["score double"]))
 
 
 def learn(documents: DataFrame, labels: DataFrame) -> Model:
@@ -160,8 +163,8 @@ def keep_good(documents: DataFrame, model: Model, threshold: float = 0.5) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(model.scores(texts) >= threshold))
+            for begin, texts in text_slices(batch.column("text"), SLICE_BYTES):
+                yield batch.slice(begin, len(texts)).filter(pa.array(model.scores(texts) >= threshold))
 
     return documents.mapInArrow(run, documents.schema)
 
