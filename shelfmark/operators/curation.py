@@ -52,18 +52,24 @@ def replace_group(state: DataFrame, rows: DataFrame, keys: Sequence[str], touche
     return delete(state, rows if touched is None else touched, keys).unionByName(rows.select(*state.columns))
 
 
-def floored_counters(changes: DataFrame, key: str, order: str = "at", delta: str = "delta", start: DataFrame | None = None) -> DataFrame:
+def floored_counters(changes: DataFrame, key: str, order: str = "at", delta: str = "delta", start: DataFrame | None = None, width: int = 86_400) -> DataFrame:
     """(key, count): each change adds its delta, never below zero.
 
-    The fold acc -> max(0, acc + d) of a run of changes is the function x -> max(floor, x + sum); such functions
-    compose, so a key's changes are folded from its sorted list.
+    The fold acc -> max(0, acc + d) of a run of changes is the function x -> max(floor, x + sum), and such functions
+    compose.  So the changes of a key are folded run by run, a run being ``width`` of ``order`` (a number), and only the
+    runs' two numbers meet: a key with very many changes is spread over as many tasks as it has runs.
     """
-    folded = changes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, delta))).alias("c"))
+    zero = F.lit(0).cast("long")
+    runs = changes.groupBy(key, F.floor(F.col(order) / width).alias("__run")).agg(F.array_sort(F.collect_list(F.struct(order, delta))).alias("c"))
+    steps = F.transform("c", lambda x: x[delta].cast("long"))
+    least = F.aggregate(steps, F.lit(-(2**62)).cast("long"), lambda acc, d: F.greatest(zero, acc + d))
+    pieces = runs.select(key, F.struct("__run", least.alias("least"), F.aggregate(steps, zero, lambda acc, d: acc + d).alias("sum")).alias("piece"))
+    folded = pieces.groupBy(key).agg(F.array_sort(F.collect_list("piece")).alias("p"))
     if start is not None:
         folded = folded.join(start.select(key, F.col("count").alias("__start")), key, "full")
-    begin = F.coalesce("__start", F.lit(0)).cast("long") if start is not None else F.lit(0).cast("long")
-    steps = F.coalesce(F.transform("c", lambda x: x[delta].cast("long")), F.array().cast("array<bigint>"))
-    return folded.select(key, F.aggregate(steps, begin, lambda acc, d: F.greatest(F.lit(0).cast("long"), acc + d)).alias("count"))
+    begin = F.coalesce("__start", zero).cast("long") if start is not None else zero
+    count = F.aggregate("p", begin, lambda acc, x: F.greatest(x["least"], acc + x["sum"]))
+    return folded.select(key, F.when(F.col("p").isNull(), begin).otherwise(count).alias("count"))
 
 
 def favourite_counters(changes: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import grid_cell, haversine_km
@@ -43,19 +43,31 @@ def _nearest(pairs: DataFrame) -> DataFrame:
 
 
 def _nearest_anywhere(points: DataFrame, cities: DataFrame) -> DataFrame:
-    """Exact nearest city by coarse cells: the cells of the cities (a bounded grid of the globe) bound the distance.
+    """Exact nearest city by coarse cells of the globe.
 
-    The city table of one cell is only met by points for which that cell can hold the nearest one.
+    For each cell that holds points, the cells that can hold the nearest city of one of them: those whose least possible
+    distance is not above the least of all greatest possible ones.  That is worked out between cells, at most 2,592 of
+    points by 648 of cities, whatever the number of points; points and cities then only meet by equal cells.
     """
-    grid = 10.0
-    cells = cities.select(grid_cell(F.col("lat"), grid).alias("gx"), grid_cell(F.col("lon"), grid).alias("gy")).distinct()  # at most 18 * 36 rows
-    centre = haversine_km(F.col("lat"), F.col("lon"), F.col("gx") * F.lit(grid) + F.lit(grid / 2), F.col("gy") * F.lit(grid) + F.lit(grid / 2))
-    radius = 6371.0 * math.radians(grid) * math.sqrt(0.5) * 1.01  # of a cell, at the equator at most
-    met = points.join(F.broadcast(cells), F.lit(True)).withColumn("low", centre - radius).withColumn("high", centre + radius)
-    bound = met.groupBy("id").agg(F.min("high").alias("bound"))
-    useful = met.join(bound, "id").where("low <= bound").select("id", "lat", "lon", "gx", "gy")
-    placed = cities.select(F.col("id").alias("city_id"), F.col("lat").alias("clat"), F.col("lon").alias("clon"), grid_cell(F.col("lat"), grid).alias("gx"), grid_cell(F.col("lon"), grid).alias("gy"))
-    return _nearest(useful.join(placed, ["gx", "gy"]))
+    fine, grid = 5.0, 10.0
+
+    def cell(size: float, x: str, y: str) -> list[Column]:
+        return [grid_cell(F.col("lat"), size).alias(x), grid_cell(F.col("lon"), size).alias(y)]
+
+    def radius(size: float) -> float:  # of a cell, at the equator at most
+        return 6371.0 * math.radians(size) * math.sqrt(0.5) * 1.01
+
+    placed = points.select("*", *cell(fine, "px", "py"))
+    held = cities.select(*cell(grid, "gx", "gy")).distinct()
+    centre = haversine_km((F.col("px") + 0.5) * fine, (F.col("py") + 0.5) * fine, (F.col("gx") + 0.5) * grid, (F.col("gy") + 0.5) * grid)
+    slack = radius(fine) + radius(grid)
+    met = placed.select("px", "py").distinct().join(F.broadcast(held), F.lit(True)).withColumn("centre", centre)
+    nearest = F.struct(F.col("centre"), F.struct("gx", "gy").alias("g"))
+    of = met.groupBy("px", "py").agg(F.min("centre").alias("least"), F.collect_list(nearest).alias("all"))  # at most 648 in a list
+    useful = of.select("px", "py", F.explode(F.filter("all", lambda x: x["centre"] <= F.col("least") + 2 * slack)).alias("x")).select("px", "py", "x.g.gx", "x.g.gy")
+    where = cities.select(F.col("id").alias("city_id"), F.col("lat").alias("clat"), F.col("lon").alias("clon"), *cell(grid, "gx", "gy"))
+    around = useful.join(where, ["gx", "gy"]).select("px", "py", "city_id", "clat", "clon")
+    return _nearest(placed.join(around, ["px", "py"]))
 
 
 def distances(points: DataFrame, lat: float, lon: float) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import basename, fuzzy_score
@@ -61,9 +62,10 @@ def unorganised_first(scored: DataFrame, organised: DataFrame) -> DataFrame:
 
 def fuzzy_rank(items: DataFrame, query: str, per_type: int = 6) -> DataFrame:
     """(type, label, score, place): the best fuzzy matches of each type, at most ``per_type``."""
-    scored = items.select("type", "label", F.round(fuzzy_score(F.lit(query), F.col("label")), 6).alias("score")).where("score IS NOT NULL")
-    best = scored.groupBy("type").agg(F.slice(F.array_sort(F.collect_set(F.struct("score", "label"))), 1, per_type).alias("b"))
-    return best.select("type", F.posexplode("b").alias("place", "b")).select("type", F.col("b.label").alias("label"), F.col("b.score").alias("score"), "place")
+    scored = items.select("type", "label").distinct().withColumn("score", F.round(fuzzy_score(F.lit(query), F.col("label")), 6)).where("score IS NOT NULL")
+    # Spark keeps no more than ``per_type`` rows of a type in each task before the shuffle.
+    ranked = scored.withColumn("n", F.row_number().over(W.partitionBy("type").orderBy("score", "label")))
+    return ranked.where(F.col("n") <= per_type).select("type", "label", "score", (F.col("n") - 1).alias("place"))
 
 
 def feed(files: DataFrame, source: str, anti: list[DataFrame], limit: int = 8, offset: int = 0, seed: int = 0) -> DataFrame:

@@ -1,23 +1,23 @@
 """Vector operators.  Tables: (id, embedding array<float>, ...); stored vectors have unit length, so dot is cosine.
 
 Ragged vectors (empty or of another size) are dropped by ``usable``.  Scores of one vector against a table are column
-expressions.  Scores of a query set against a table run as matrix products in Arrow batches: the queries go out in
-blocks of a fixed number, every block passes over the table once, and each batch keeps only what can still be wanted, so
-neither pairs nor tables are gathered anywhere.
+expressions.  Scores of two tables run as matrix products in Arrow batches: references of one block's size, counted first,
+go out with the tasks; more are split into blocks like the vectors themselves, and each pair of blocks meets in one task.
+Each batch gives only what can still be wanted, so neither pairs nor tables are gathered anywhere.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Query vectors that are sent out at once.
-QUERY_BLOCK = 4096
+#: Rows of a block: as many references go out with the tasks at most, and beyond it both sides are split by it.
+BLOCK = 2048
 AUTO_MATCH, SUGGEST_FACE, SUGGEST_TAG, SUGGEST_SET, BODY_MATCH, FACE_SEARCH = 0.6, 0.45, 0.45, 0.75, 0.5, 0.3
 
 
@@ -66,101 +66,104 @@ def similar_to(vectors: DataFrame, id_: int, k: int = 20) -> DataFrame:
     return rank_by(vectors.where(F.col("id") != id_), query, k)
 
 
-def _blocks(queries: DataFrame, columns: list[str]) -> Iterator[tuple[list[tuple], np.ndarray]]:
-    """(keys, matrix) of blocks of the query set, streamed through the driver one at a time."""
-    keys: list[tuple] = []
-    rows: list[list[float]] = []
-    for r in queries.select(*columns, "embedding").toLocalIterator():
-        keys.append(tuple(r[c] for c in columns))
-        rows.append(r["embedding"])
-        if len(rows) == QUERY_BLOCK:
-            yield keys, np.array(rows, np.float64)
-            keys, rows = [], []
-    if rows:
-        yield keys, np.array(rows, np.float64)
+def _matrix(frame: pd.DataFrame) -> np.ndarray:
+    return np.stack(frame["embedding"].to_numpy()).astype(np.float64)
+
+
+def block_scores(vectors: DataFrame, references: DataFrame, columns: list[str], pick: Callable[[pd.DataFrame, np.ndarray, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What ``pick`` keeps of the scores of all vectors against all references (``id``, ``columns`` and embedding).
+
+    ``pick`` gets a batch of vectors, the score matrix and the references of a block, in which a row does not meet itself.
+    """
+    narrow, held = vectors.select("id", "embedding"), references.select("id", *columns, "embedding")
+    n = held.count()
+
+    def scored(batch: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        scores = _matrix(batch) @ _matrix(block).T
+        scores[batch["id"].to_numpy()[:, None] == block["id"].to_numpy()[None, :]] = -np.inf
+        return pick(batch, scores, block)
+
+    if not n:
+        return vectors.sparkSession.createDataFrame([], schema)
+    if n <= BLOCK:
+        sent = vectors.sparkSession.sparkContext.broadcast(held.toPandas())
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for begin in range(0, len(batch), BLOCK):
+                    yield scored(batch.iloc[begin : begin + BLOCK], sent.value)
+
+        return narrow.mapInPandas(run, schema)
+    parts = [max(1, -(-count // BLOCK)) for count in (narrow.count(), n)]
+
+    def placed(df: DataFrame, own: int) -> DataFrame:
+        """Each row in its block of its own side, once for each block of the other side."""
+        home = F.pmod(F.xxhash64("id"), F.lit(parts[own])).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(parts[1 - own] - 1)))
+        return df.select("*", home.alias(f"__{own}"), every.alias(f"__{1 - own}"))
+
+    def meet(batch: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(batch) or not len(block):
+            return pd.DataFrame({c: [] for c in [x.split()[0] for x in schema.split(", ")]})
+        return pd.concat([scored(batch.iloc[k : k + BLOCK], block) for k in range(0, len(batch), BLOCK)])
+
+    return placed(narrow, 0).groupBy("__0", "__1").cogroup(placed(held, 1).groupBy("__0", "__1")).applyInPandas(meet, schema)
 
 
 def top_k_join(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
     """(query_id, id, score, rank): for each row of a stated query set the k best of all vectors, itself excluded.
 
-    Each batch gives at most k rows per query; those are cut to k again by one aggregation.
+    Each batch gives the k best of it for each query; Spark cuts those to k in each task before they are shuffled.
     """
-    spark = vectors.sparkSession
-    parts = []
-    for keys, matrix in _blocks(queries, ["id"]):
-        ids = np.array([key[0] for key in keys])
-        sent = spark.sparkContext.broadcast((ids, matrix))
-
-        def score(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, matrix = sent.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                there = pdf["id"].to_numpy()
-                scores = matrix @ np.stack(pdf["embedding"].to_numpy()).astype(np.float64).T
-                scores[ids[:, None] == there[None, :]] = -np.inf
-                keep = min(k, scores.shape[1])
-                # All that reach the k-th best score, so that ties are broken by id and not by chance.
-                floor = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
-                q, v = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores) & (scores >= (-np.inf if threshold is None else threshold)))
-                yield pd.DataFrame({"query_id": ids[q], "id": there[v], "score": scores[q, v]})
-
-        parts.append(vectors.select("id", "embedding").mapInPandas(score, "query_id long, id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
-    found = reduce(DataFrame.unionByName, parts)
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id"))), 1, k).alias("b"))
-    out = best.select("query_id", F.posexplode("b").alias("pos", "b"))
-    return out.select("query_id", F.col("b.id").alias("id"), (-F.col("b.minus")).alias("score"), (F.col("pos") + 1).alias("rank"))
-
-
-def _against(vectors: DataFrame, references: DataFrame, label: str, reduce_to: str, floor: float) -> DataFrame:
-    """(id, label, score): per vector the best score, of each label or over all, at or above the floor."""
-    spark = vectors.sparkSession
-    kind = dict(references.dtypes)[label]
-    schema = f"id long, {label} {kind}, score double"
-    parts = []
-    for keys, matrix in _blocks(references, ["id", label]):
-        names = [key[1] for key in keys]
-        ids = np.array([key[0] for key in keys])
-        sent = spark.sparkContext.broadcast((ids, names, matrix))
-
-        def score(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, names, matrix = sent.value
-            distinct = sorted(set(names))
-            groups = [np.flatnonzero(np.array([n == d for n in names])) for d in distinct] if reduce_to == "label" else None
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                there = pdf["id"].to_numpy()
-                scores = np.stack(pdf["embedding"].to_numpy()).astype(np.float64) @ matrix.T
-                scores[there[:, None] == ids[None, :]] = -np.inf
-                if groups is None:
-                    best = scores.argmax(axis=1)
-                    top = scores[np.arange(len(there)), best]
-                    ok = top >= floor
-                    yield pd.DataFrame({"id": there[ok], label: [names[b] for b in best[ok]], "score": top[ok]})
-                else:
-                    tops = np.column_stack([scores[:, g].max(axis=1) for g in groups])
-                    row, col = np.nonzero(tops >= floor)
-                    yield pd.DataFrame({"id": there[row], label: [distinct[c] for c in col], "score": tops[row, col]})
-
-        parts.append(vectors.select("id", "embedding").mapInPandas(score, schema))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, parts)
+    least = -np.inf if threshold is None else threshold
+
+    def best(batch: pd.DataFrame, scores: np.ndarray, block: pd.DataFrame) -> pd.DataFrame:
+        keep = min(k, len(scores))
+        # All that reach the k-th best score, so that ties are broken by id and not by chance.
+        floor = np.partition(scores, len(scores) - keep, axis=0)[len(scores) - keep]
+        v, q = np.nonzero((scores >= floor[None, :]) & np.isfinite(scores) & (scores >= least))
+        return pd.DataFrame({"query_id": block["id"].to_numpy()[q], "id": batch["id"].to_numpy()[v], "score": scores[v, q]})
+
+    found = block_scores(vectors, queries, [], best, "query_id long, id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
 def nearest_label(vectors: DataFrame, references: DataFrame, label: str, threshold: float) -> DataFrame:
     """(id, label, score): label of the nearest reference at or above the threshold; ties to the least label."""
-    found = _against(vectors, references, label, "all", threshold)
+
+    def nearest(batch: pd.DataFrame, scores: np.ndarray, block: pd.DataFrame) -> pd.DataFrame:
+        order = block[label].argsort(kind="stable").to_numpy()
+        scores, names = scores[:, order], block[label].to_numpy()[order]
+        best = scores.argmax(axis=1)
+        top = scores[np.arange(len(scores)), best]
+        ok = top >= threshold
+        return pd.DataFrame({"id": batch["id"].to_numpy()[ok], label: names[best[ok]], "score": top[ok]})
+
+    found = block_scores(vectors, references, [label], nearest, f"id long, {label} {dict(references.dtypes)[label]}, score double")
     best = found.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("minus"), label)).alias("b"))
     return best.select("id", F.col(f"b.{label}").alias(label), (-F.col("b.minus")).alias("score"))
 
 
-def max_similarity(vectors: DataFrame, references: DataFrame, label: str, floor: float = -2.0) -> DataFrame:
-    """(id, label, score): best score to any reference of each label, a row never compared with itself."""
-    return _against(vectors, references, label, "label", floor).groupBy("id", label).agg(F.max("score").alias("score"))
+def max_similarity(vectors: DataFrame, references: DataFrame, label: str, floor: float) -> DataFrame:
+    """(id, label, score): best score, of the floor or more, to any reference of each label, a row never compared with itself.
+
+    References may have a column ``floor`` of their own, which then holds besides.
+    """
+    own = ["floor"] if "floor" in references.columns else []
+
+    def tops(batch: pd.DataFrame, scores: np.ndarray, block: pd.DataFrame) -> pd.DataFrame:
+        if own:
+            scores = np.where(scores >= block["floor"].to_numpy()[None, :], scores, -np.inf)
+        codes, names = pd.factorize(block[label], sort=True)
+        order = np.argsort(codes, kind="stable")
+        begins = np.searchsorted(codes[order], np.arange(len(names)))
+        best = np.maximum.reduceat(scores[:, order], begins, axis=1)
+        row, col = np.nonzero((best >= floor) & np.isfinite(best))
+        return pd.DataFrame({"id": batch["id"].to_numpy()[row], label: np.asarray(names)[col], "score": best[row, col]})
+
+    found = block_scores(vectors, references, [label, *own], tops, f"id long, {label} {dict(references.dtypes)[label]}, score double")
+    return found.groupBy("id", label).agg(F.max("score").alias("score"))
 
 
 def in_band(scored: DataFrame, floor: float, ceiling: float | None = None, limit: int | None = None, ascending: bool = False) -> DataFrame:
@@ -180,24 +183,26 @@ def best_per_group(scored: DataFrame, group: str, threshold: float | None = None
 def cohort_outliers(faces: DataFrame, group: str = "identity", reviewed: DataFrame | None = None) -> DataFrame:
     """(id, group, score): best score of each face to the *others* of its own group, worst first by score; groups of two or more.
 
-    Each group is split in blocks: a face meets its own group's blocks one at a time, so no group is gathered whole.
+    Each group is split in blocks and two blocks meet in one task, each pair of blocks once, so no group is gathered whole.
     """
-    block = 512
-    counts = faces.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("__n"))
-    placed = faces.join(counts, group).withColumn("__b", F.pmod(F.xxhash64("id"), F.col("__n")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
-    left = placed.select("id", group, "embedding", F.col("__b").alias("__home"), every.alias("__met"))
-    right = placed.select(F.col("id").alias("id2"), F.col(group).alias("__group2"), F.col("embedding").alias("embedding2"), F.col("__b").alias("__met2"), every.alias("__home2"))
+    counts = faces.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__n"))
+    placed = faces.select("id", group, "embedding").join(counts, group).withColumn("__home", F.pmod(F.xxhash64("id"), F.col("__n")).cast("int"))
+    met = placed.withColumn("__met", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    met = met.select("id", group, "embedding", "__home", F.least("__home", "__met").alias("__a"), F.greatest("__home", "__met").alias("__b"))
     kind = dict(faces.dtypes)[group]
 
-    def score(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], group: [], "score": []})
-        scores = np.stack(a["embedding"].to_numpy()).astype(np.float64) @ np.stack(b["embedding2"].to_numpy()).astype(np.float64).T
-        scores[a["id"].to_numpy()[:, None] == b["id2"].to_numpy()[None, :]] = -np.inf
-        return pd.DataFrame({"id": a["id"], group: a[group], "score": scores.max(axis=1)})
-
-    found = left.groupBy(group, "__home", "__met").cogroup(right.groupBy("__group2", "__home2", "__met2")).applyInPandas(score, f"id long, {group} {kind}, score double")
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = (pdf["__home"] == pdf["__a"]).to_numpy()
+        parts = [pdf] if pdf["__a"].iloc[0] == pdf["__b"].iloc[0] else [pdf[low], pdf[~low]]
+        out = []
+        if all(map(len, parts)):
+            a, b = parts[0], parts[-1]
+            scores = _matrix(a) @ _matrix(b).T
+            scores[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = -np.inf
+            out = [pd.DataFrame({"id": x["id"], group: x[group], "score": scores.max(axis=axis)}) for x, axis in zip(parts, (1, 0), strict=False)]
+        return pd.concat(out) if out else pd.DataFrame({"id": [], group: [], "score": []})
+
+    found = met.groupBy(group, "__a", "__b").applyInPandas(score, f"id long, {group} {kind}, score double")
     best = found.groupBy("id", group).agg(F.max("score").alias("score")).where(F.col("score") > F.lit(float("-inf")))
     return best if reviewed is None else best.join(reviewed.select("id"), "id", "left_anti")
 
@@ -206,11 +211,10 @@ def category_matches(vectors: DataFrame, examples: DataFrame, thresholds: DataFr
     """(id, category, score) of vectors whose score to a category's centroid reaches its own threshold and that have no
     decision (manual or rejected) on it.  ``examples``: category, embedding; ``thresholds``: category, temperature."""
     central = centroids(examples, ["category"]).join(thresholds, "category").where("centroid IS NOT NULL")
-    queries = central.select(F.hash("category").cast("long").alias("id"), "category", F.col("centroid").alias("embedding"))
-    # Centroids are one row per category; each block of them passes over the vectors once.
-    scored = _against(vectors, queries.withColumn("id", -F.abs("id") - 1), "category", "label", -2.0)
-    ok = scored.join(F.broadcast(thresholds), "category").where("score >= temperature").select("id", "category", "score")
-    return ok.join(decided.select("id", "category"), ["id", "category"], "left_anti")
+    # One row per category, with its threshold; an id that no vector has.
+    queries = central.select(F.lit(None).cast("long").alias("id"), "category", F.col("temperature").cast("double").alias("floor"), F.col("centroid").alias("embedding"))
+    found = max_similarity(vectors, queries, "category", -2.0)
+    return found.select("id", "category", "score").join(decided.select("id", "category"), ["id", "category"], "left_anti")
 
 
 def match_faces_to_bodies(faces: DataFrame, bodies: DataFrame, least: float = 0.7) -> DataFrame:

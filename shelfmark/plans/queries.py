@@ -2,41 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import catalog, curation, geo, lookups, probe, queues, rosters, search, stats, vectors
 from ..sources import scan
-from .fixtures import Library, with_tables
+from .fixtures import Library
+from .registry import query
 
-QUERIES: dict[str, Callable[[Library], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 HAVERSINE = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))))"
 
 
-def query(sql: str | None = None, *tables: str):
-    """Registers a function of a Library under its name, with its SQL over the named logical tables."""
-
-    def put(f: Callable[[Library], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = with_tables(sql, *tables) if tables else sql
-        return f
-
-    return put
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(Library(spark, sf_dir))) for name, f in QUERIES.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
-
-
 # Catalog
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import fnmatch
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -39,12 +38,9 @@ def content_hash(files: DataFrame, method: str = "xxh64") -> DataFrame:
 
     @F.pandas_udf("string")
     def digest(content: pd.Series) -> pd.Series:
-        try:
-            import xxhash
+        import xxhash  # a worker without it fails: one table holds one kind of checksum
 
-            return content.map(lambda b: None if b is None else xxhash.xxh64(b).hexdigest())
-        except ImportError:
-            return content.map(lambda b: None if b is None else hashlib.sha256(b).hexdigest())
+        return content.map(lambda b: None if b is None else xxhash.xxh64(b).hexdigest())
 
     return files.withColumn("checksum", digest("content"))
 
@@ -100,7 +96,7 @@ def read_markers(spark: SparkSession, root: str) -> DataFrame:
 def parse_markers(texts: DataFrame) -> DataFrame:
     """(folder, kind, lines) of marker files (path, value); comments and blank lines left out."""
     kind = F.regexp_extract("path", r"/\.?(noface|categories|set)(?:\.marker)?$", 1)
-    lines = F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     return texts.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), kind.alias("kind"), lines.alias("lines")).where("kind <> ''")
 
 
@@ -126,8 +122,12 @@ def resolve_set_entries(entries: DataFrame, paths: DataFrame) -> tuple[DataFrame
 
 
 def read_places(spark: SparkSession, path: str) -> DataFrame:
-    """(id, name, lat, lon, country, admin1, population) of a headerless place dump; bad positions and short rows go."""
-    lines = spark.read.text(path).select(F.split("value", "\t").alias("c")).where(F.size("c") >= 15)
+    return parse_places(spark.read.text(path))
+
+
+def parse_places(texts: DataFrame) -> DataFrame:
+    """(id, name, lat, lon, country, admin1, population) of the lines (``value``) of a headerless place dump; bad positions and short rows go."""
+    lines = texts.select(F.split("value", "\t").alias("c")).where(F.size("c") >= 15)
     out = lines.select(
         F.try_to_number(F.col("c")[0], F.lit("999999999999")).cast("long").alias("id"), F.col("c")[1].alias("name"), F.expr("try_cast(c[4] AS double)").alias("lat"), F.expr("try_cast(c[5] AS double)").alias("lon"),
         F.col("c")[8].alias("country"), F.col("c")[10].alias("admin1"), F.coalesce(F.expr("try_cast(c[14] AS bigint)"), F.lit(0)).alias("population"),

@@ -20,9 +20,14 @@ def latest(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/v={version}/{name}")
 
 
+def duplicate_lines(classified: DataFrame, *keep: str) -> DataFrame:
+    """value: ``new<TAB>existing``, one line per duplicate, after the columns to keep."""
+    return classified.where("kind = 'duplicate'").select(*keep, F.concat_ws("\t", "path", "repeats").alias("value"))
+
+
 def duplicate_report(classified: DataFrame, path: str) -> None:
-    """Appends ``new<TAB>existing`` lines."""
-    classified.where("kind = 'duplicate'").select(F.concat_ws("\t", "path", "repeats").alias("value")).write.mode("append").text(path)
+    """Appends the lines to a folder of text files."""
+    duplicate_lines(classified).write.mode("append").text(path)
 
 
 def detection_dataset(boxes: DataFrame, path: str, validation_share: float = 0.2) -> None:

@@ -1,6 +1,7 @@
 """Hand-made cases of single operators."""
 
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -315,3 +316,49 @@ def test_streamed_upserts(spark, tmp_path):
     q = ingest.upsert_stream(stream, str(tmp_path / "t"), ["id"], "at", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "t" / "v=0"))) == [(1, "b", 2), (2, "c", 1)]
+
+
+def test_block_joins_equal_one_block(spark, sf_dir, monkeypatch):
+    """Many small blocks on both sides give the rows of a single one."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id AS id", "embedding", "cast(label AS int) AS label").where("id < 200")
+    some = v.where("id % 2 = 0")
+
+    def results():
+        yield vectors.top_k_join(some, v, 5)
+        yield vectors.nearest_label(v, some, "label", -1.0)
+        yield vectors.max_similarity(v, some, "label", 0.1)
+        yield vectors.cohort_outliers(v, "label")
+        yield vectors.category_matches(v, v.selectExpr("label AS category", "embedding"), v.selectExpr("label AS category", "label / 20.0 AS temperature").distinct(), some.selectExpr("id", "label AS category"))
+
+    whole = [sorted((*r[:2], round(r["score"], 9)) for r in df.collect()) for df in results()]
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    parts = [sorted((*r[:2], round(r["score"], 9)) for r in df.collect()) for df in results()]
+    assert whole == parts and all(whole)
+
+
+def test_runs_of_a_counter_compose(spark):
+    rnd = random.Random(3)
+    changes = [(rnd.choice("ab"), k, rnd.choice([-2, -1, 1, 1])) for k in range(500)]
+    want = {}
+    for key, _, d in changes:
+        want[key] = max(0, want.get(key, 4) + d)
+    df = spark.createDataFrame(changes, "key string, at long, delta int")
+    start = spark.createDataFrame([("a", 4), ("b", 4)], "key string, count long")
+    for width in (1, 7, 10_000):
+        assert {r["key"]: r["count"] for r in curation.floored_counters(df, "key", start=start, width=width).collect()} == want
+
+
+def test_nearest_city_against_all_cities(spark):
+    rnd = random.Random(4)
+    cities = [(k, rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for k in range(150)]
+    points = [(k, rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for k in range(300)] + [(900, 89.9, 179.9), (901, -89.9, -180.0), (902, 0.0, 180.0)]
+
+    def km(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, h)))
+
+    got = {r["id"]: r["city_id"] for r in geo.nearest_city(spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame(cities, "id long, lat double, lon double")).collect()}
+    for p in points:
+        boxed = [c for c in cities if abs(c[1] - p[1]) <= 0.75 and abs(c[2] - p[2]) <= 0.75]
+        assert got[p[0]] == min(boxed or cities, key=lambda c: (km(p, c), c[0]))[0]

@@ -1,6 +1,6 @@
 import pytest
 
-from shelfmark.plans import queries as catalog
+from shelfmark.plans import registry as catalog
 
 from .compare import connect, same_rows
 
