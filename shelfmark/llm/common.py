@@ -24,10 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    A session that names none is a local one, as in tests: then a temporary folder is set.
+    A local session that names none, as in tests, gets a temporary folder; on a cluster a missing setting is an error,
+    because a folder of one machine is no place for tables that others read.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="shelfmark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -41,7 +45,19 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove the files of settled tables that no plan reads any more."""
+    for df in tables:
+        at = getattr(df, "_settled_at", None)
+        if at:
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def utf8_size(text: Column) -> Column:
@@ -54,8 +70,8 @@ def crc32_mod(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def text_slices(column: pa.Array, max_bytes: int) -> Iterator[tuple[int, list[str]]]:
-    """(index of the first, texts) of runs of an Arrow text column of about ``max_bytes``; null becomes ''.
+def text_slices(column: pa.Array, max_bytes: int, max_texts: int = 10_000) -> Iterator[tuple[int, list[str]]]:
+    """(index of the first, texts) of runs of an Arrow text column of about ``max_bytes`` and ``max_texts``; null becomes ''.
 
     Only one run at a time becomes Python strings, so a worker's memory follows the run (or one long text), not the batch.
     """
@@ -63,6 +79,6 @@ def text_slices(column: pa.Array, max_bytes: int) -> Iterator[tuple[int, list[st
     begin = 0
     while begin < len(ends):
         base = ends[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
+        end = min(begin + max_texts, max(begin + 1, int(np.searchsorted(ends, base + max_bytes, "right"))))
         yield begin, [t or "" for t in column.slice(begin, end - begin).to_pylist()]
         begin = end

@@ -9,7 +9,8 @@ documents see the same darts.  A document needs only the darts up to about ``ln
 
 Bands of the signature are joined.  No bucket is expanded to pairs: in each round every open bucket elects a few of its
 members (the least of each hash cell), all members in other groups are held against them, and the elected leave the
-bucket.  Rounds go on, with more elected each time, until every bucket lies in one group or is used up; so every pair of
+bucket.  A large bucket is dealt out in parts of about ``PART`` members, each with a copy of the elected, so no task has
+to hold a whole bucket.  Rounds go on, with more elected each time, until every bucket lies in one group or is used up; so every pair of
 a bucket that could still join two groups is judged.  Groups are connected components, found by alternating large-star
 and small-star steps on tables in the shared folder.
 
@@ -33,17 +34,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, text_slices
+from .common import discard, settle, text_slices
 from .token_counts import span_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 32, 6
 SIMILARITY = 0.8
-SLICE_BYTES = 500_000
+SLICE_BYTES, SLICE_TEXTS = 500_000, 2_000
 #: Rows of two narrow columns that may be broadcast; beyond it tables are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 ELECTED_FIRST, ELECTED_GROWTH = 1, 32
 SMALL_BUCKET = 8
+#: Members of a bucket that one task holds against the elected; a larger bucket is dealt out in parts.
+PART = 1024
 #: Words of 64 bits in a parity map.
 MAP_WORDS = 8
 MAP = [f"m{k}" for k in range(MAP_WORDS)]
@@ -179,7 +182,7 @@ def signatures(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, size:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, part in text_slices(batch.column("text"), SLICE_BYTES):
+            for a, part in text_slices(batch.column("text"), SLICE_BYTES, SLICE_TEXTS):
                 b = a + len(part)
                 text, element, count = shingles(part, size)
                 weight = weights_of(count, weighting)
@@ -216,7 +219,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def similar_pairs(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, size: int, weighting: str, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar enough, by exact comparison.  ``nodes``: key, node."""
+    """The pairs (a, b) of nodes whose texts are similar enough, by exact comparison, settled.  ``nodes``: key, node."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     needed = settle(nodes.join(wanted, "node"), "needed")
     texts = documents.select(text_key().alias("key"), "text").join(_small(needed, needed.count()), "key")
@@ -232,11 +235,17 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, size
                 part = part.filter(pa.array(ok))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    found = settle(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
+    discard(needed, texts)
+    return found
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component): component is the least node reachable; only nodes with an edge."""
+    """(node, component), settled: component is the least node reachable; only nodes with an edge.
+
+    The least neighbours are settled before they are joined, so that the edges of a node with very many are dealt out by
+    Spark's skew join.
+    """
     edges = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
 
     def signature(e: DataFrame) -> tuple:
@@ -246,18 +255,34 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: each node's greater neighbours are tied to the least node around it.
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = settle(around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = settle(around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         # Small star: the lesser neighbours and the node itself are tied to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u <> v").distinct()
-        edges = settle(small, "edges")
+        lower = settle(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
+        small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, edges = edges, settle(small.union(lower.select("u", "m")).where("u <> v").distinct(), "edges")
+        discard(old, least, large, lower)
         after = signature(edges)
         if after == before:
             break
         before = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+    found = settle(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct()), "components")
+    discard(edges)
+    return found
+
+
+def merge_components(components: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after new links (a, b): only the components that the links tie together are worked on."""
+    if components is None:
+        return connected_components(links)
+    of = {c: components.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in ("a", "b")}
+    ends = links.join(of["a"], "a", "left").join(of["b"], "b", "left")
+    merged = connected_components(ends.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")))
+    onto = merged.select(F.col("node").alias("component"), F.col("component").alias("onto"))
+    moved = components.join(onto, "component", "left").select("node", F.coalesce("onto", "component").alias("component"))
+    out = settle(moved.unionByName(merged.join(components, "node", "left_anti")), "components")
+    discard(components, merged)
+    return out
 
 
 def near_duplicate_groups(
@@ -271,42 +296,48 @@ def near_duplicate_groups(
     """(doc_id, key, node, component) of each row, the links (a, b) between nodes that made the groups, and (key, node)."""
     signed = settle(signatures(documents, bands, rows, size, weighting), "signatures")
     # Equal texts share a node; the number is fixed by being written.
-    described = signed.where("key IS NOT NULL").groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", *MAP)])
-    nodes = settle(described.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    numbered = settle(signed.select("doc_id", "key", "bands").join(nodes.select("key", "node"), "key", "left"), "numbered")
-    spread = numbered.select("node", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    members = settle(spread.join(shared, "key").distinct().join(nodes.drop("key"), "node"), "members")
-    nodes = nodes.select("key", "node")
+    described = signed.where("key IS NOT NULL").groupBy("key").agg(*[F.first(c).alias(c) for c in ("bands", "size", *MAP)])
+    described = settle(described.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = described.select("key", "node")
+    numbered = settle(signed.select("doc_id", "key").join(nodes, "key", "left"), "numbered")
+    discard(signed)
+    spread = described.select("node", F.explode("bands").alias("key"))
+    shared = settle(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    members = settle(spread.join(shared, "key").join(described.select("node", "size", *MAP), "node"), "members")
+    discard(shared)
     links = None
     components = None
     elected_cells = ELECTED_FIRST
     while True:
-        placed = members if components is None else members.join(components, "node", "left")
-        placed = placed.select("key", "node", "size", *MAP, (F.col("node") if components is None else F.coalesce("component", "node")).alias("c"))
-        state = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-        placed = settle(placed.join(state.select("key", "n"), "key"), "placed")
+        grouped = members if components is None else members.join(components, "node", "left")
+        grouped = settle(grouped.select("key", "node", "size", *MAP, (F.col("node") if components is None else F.coalesce("component", "node")).alias("c")), "grouped")
+        open_buckets = settle(grouped.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"), "open")
+        placed = settle(grouped.join(open_buckets, "key"), "placed")
+        discard(members, grouped, open_buckets)
         if placed.isEmpty():
             break
         # A small bucket elects nearly all its members at once, a large one a few in each round.
         cells = F.when(F.col("n") <= SMALL_BUCKET, F.lit(SMALL_BUCKET**2)).otherwise(F.lit(elected_cells))
-        elected = placed.groupBy("key", F.pmod(F.xxhash64("node"), cells).alias("cell")).agg(F.min("node").alias("a"))
-        elected = placed.join(elected.withColumnRenamed("a", "node").drop("cell"), ["key", "node"], "left_semi")
-        met = (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & may_be_similar(similarity)
-        against = elected.alias("a").join(placed.alias("b"), met).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+        elected = placed.groupBy("key", F.pmod(F.xxhash64("node"), cells).alias("cell")).agg(F.min("node").alias("node")).drop("cell")
+        elected = settle(placed.join(elected, ["key", "node"], "left_semi"), "elected")
+        parts = F.ceil(F.col("n") / PART).cast("int")
+        copies = elected.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        dealt = placed.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int"))
+        met = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.c") != F.col("b.c")) & may_be_similar(similarity)
+        against = copies.alias("a").join(dealt.alias("b"), met).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
         pairs = settle(against.distinct(), "pairs")
         if not pairs.isEmpty():
-            found = settle(similar_pairs(pairs, nodes, documents, size, weighting, similarity), "links")
+            found = similar_pairs(pairs, nodes, documents, size, weighting, similarity)
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
-                components = connected_components(links)
+                components = merge_components(components, found)
         # Elected members have been held against all others of their bucket.
-        members = placed.drop("n", "c").join(elected.select("key", "node"), ["key", "node"], "left_anti")
+        members = settle(placed.drop("n", "c").join(elected.select("key", "node"), ["key", "node"], "left_anti"), "members")
+        discard(placed, elected, pairs)
         elected_cells *= ELECTED_GROWTH
-    grouped = numbered.select("doc_id", "key", "node")
     if links is None:
-        return grouped.withColumn("component", F.col("node")), documents.sparkSession.createDataFrame([], "a long, b long"), nodes
-    return grouped.join(components, "node", "left").select("doc_id", "key", "node", F.coalesce("component", "node").alias("component")), links, nodes
+        return numbered.withColumn("component", F.col("node")), documents.sparkSession.createDataFrame([], "a long, b long"), nodes
+    return numbered.join(components, "node", "left").select("doc_id", "key", "node", F.coalesce("component", "node").alias("component")), links, nodes
 
 
 def order_in_group() -> Column:
@@ -320,14 +351,15 @@ def group_ids(grouped: DataFrame) -> DataFrame:
     An id that stands on several texts may be the least of several components: those differ in ``component``.
     """
     heads = grouped.where("component IS NOT NULL").groupBy("component").agg(F.min(order_in_group()).alias("head"), F.count("*").alias("n_group"))
-    out = grouped.join(heads, "component", "left")
+    # Settled, so that the rows of a large component are dealt out by the skew join; a row by itself needs no head.
+    out = grouped.join(settle(heads.where("n_group > 1"), "heads"), "component", "left")
     return out.select(
         "doc_id",
         "key",
         "component",
-        F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("group_id"),
+        F.when(F.col("n_group").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("group_id"),
         F.coalesce("n_group", F.lit(1)).cast("long").alias("n_group"),
-        (F.col("component").isNull() | (order_in_group() == F.col("head"))).alias("kept"),
+        (F.col("n_group").isNull() | (order_in_group() == F.col("head"))).alias("kept"),
     )
 
 
