@@ -9,8 +9,10 @@ steps, both inside one row and without Python:
   that may hold a window and drops nearly all others;
 * verify step: only the documents left build all their windows and look each up in the hash set of whole windows.
 
-Hash sets are literals inside the expression (Catalyst turns them into a set that goes out with the tasks).  They are
-used only while the benchmark stays under ``max_windows``; beyond that the same windows are joined by a shuffle.
+Hash sets are literals inside the expression (Catalyst turns them into a set that goes out with the tasks) while the
+benchmark stays under ``max_windows``.  Beyond that both steps are joins: the 64-bit hashes of the sparse blocks are
+joined to those of the benchmark, and only the documents found by that build their windows and join them.  The rows are
+the same.
 
 Defined results: null texts, empty texts and texts without words have 0 words and no hits; a null benchmark text gives
 no window; equal rows are returned as often as they came in; extra columns are ignored; empty tables give no rows or
@@ -25,6 +27,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import settle
+
 WINDOW = 10
 #: Largest benchmark (in windows) that is sent out as literals.
 MAX_WINDOWS = 50_000
@@ -104,16 +108,24 @@ def _literal_hits(docs: DataFrame, per_length: dict[int, list[str]]) -> DataFram
 
 
 def _shuffled_hits(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """The same through a join, for a benchmark too large to send out."""
-    docs = docs.withColumn("words", F.split("norm", " "))
-    all_windows = reduce(
-        DataFrame.unionByName,
-        [docs.select("row_key", F.posexplode(_windows(F.col("words"), m)).alias("start", "window")).select("*", F.lit(m).alias("m")) for m in lengths],
-    ).distinct()
-    found = all_windows.join(windows.select("window").distinct(), "window", "left_semi")
+    """The same two steps by joins, for a benchmark too large to send out."""
+
+    def union(parts: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, parts)
+
+    blocks, anchors = [], []
+    for m in lengths:
+        size, _ = _block(m)
+        held = windows.where(F.col("m") == m).select(F.explode(_windows(F.split("window", " "), size)).alias("block"))
+        blocks.append(held.select(F.xxhash64(F.lit(m), "block").alias("h")))
+        anchors.append(docs.select("row_key", F.explode(F.array_distinct(_anchors(F.col("norm"), m))).alias("block")).select("row_key", F.xxhash64(F.lit(m), "block").alias("h")))
+    candidates = union(anchors).join(settle(union(blocks).distinct(), "blocks"), "h", "left_semi").select("row_key").distinct()
+    words = settle(docs.join(settle(candidates, "candidates"), "row_key", "left_semi").select("row_key", F.split("norm", " ").alias("words")).dropDuplicates(["row_key"]), "words")
+    runs = union([words.select("row_key", F.posexplode(_windows(F.col("words"), m)).alias("start", "window")).select("*", F.lit(m).alias("m")) for m in lengths])
+    found = settle(runs.join(settle(windows.select("window").distinct(), "windows"), "window", "left_semi"), "found")
     hit = found.select("row_key", F.explode(F.sequence("start", F.col("start") + F.col("m") - 1)).alias("at")).distinct().groupBy("row_key").agg(F.count("*").alias("n_hit"))
-    per_row = found.select("row_key", "window").distinct().groupBy("row_key").agg(F.collect_list("window").alias("windows"))
-    out = docs.select("row_key", "doc_id", "n_words").join(hit, "row_key", "left").join(per_row, "row_key", "left")
+    per_row = found.groupBy("row_key").agg(F.collect_set("window").alias("windows"))
+    out = docs.select("row_key", "doc_id", "n_words").join(settle(hit.join(per_row, "row_key"), "hits"), "row_key", "left")
     return out.select("row_key", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("windows", F.array().cast("array<string>")).alias("windows"))
 
 
@@ -166,7 +178,8 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = WINDO
         return documents
     if n_windows > max_windows:
         dirty = find_hits(documents, benchmark, n, max_windows).where("n_hit > 0").select("row_key").distinct()
-        return documents.withColumn("row_key", row_key()).join(dirty, "row_key", "left_anti").select(*documents.columns)
+        dirty = settle(dirty.withColumnRenamed("row_key", "__row_key"), "dirty")
+        return documents.withColumn("__row_key", row_key()).join(dirty, "__row_key", "left_anti").select(*documents.columns)
     per_length: dict[int, list[str]] = {}
     for row in windows.select("m", "window").distinct().collect():
         per_length.setdefault(row["m"], []).append(row["window"])
@@ -178,27 +191,31 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = WINDO
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_share: float = 0.5) -> DataFrame:
-    """Documents without their hit words: documents over ``max_share`` hit go, of others the hit words are cut.
+    """Documents without their hit words, with their columns: documents over ``max_share`` hit go, of others the hit words are cut.
 
-    Only documents that hold a hit are touched; their words are rejoined by single spaces.
+    Only documents that hold a hit are touched.  A cut word takes the separators after it along; all others stay, also
+    those before the first word.
     """
     windows = benchmark_windows(benchmark, n)
-    hits = find_hits(documents, benchmark, n)
-    dirty = hits.where("n_hit > 0").select("doc_id", "row_key", "n_words", "n_hit").distinct()
-    keyed = documents.withColumn("row_key", row_key())
-    clean = keyed.join(dirty, "row_key", "left_anti").drop("row_key")
-    kept = keyed.join(dirty.where(F.col("n_hit") <= max_share * F.col("n_words")).select("row_key"), "row_key")
     lengths = sorted(r[0] for r in windows.select("m").distinct().collect())
     if not lengths:
         return documents
-    words = kept.select("row_key", F.split(normalise(F.col("text")), " ").alias("words")).distinct()
-    runs = reduce(DataFrame.unionByName, [words.select("row_key", F.posexplode(_windows(F.col("words"), m)).alias("start", "window")).select("*", F.lit(m).alias("m")) for m in lengths])
+    dirty = find_hits(documents, benchmark, n).where("n_hit > 0").select(F.col("row_key").alias("__row_key"), "n_words", "n_hit").distinct()
+    dirty = settle(dirty.select("__row_key", (F.col("n_hit") <= max_share * F.col("n_words")).alias("__light")), "dirty")
+    keyed = documents.withColumn("__row_key", row_key())
+    clean = keyed.join(dirty, "__row_key", "left_anti").drop("__row_key")
+    light = dirty.where("__light").select("__row_key")
+    words = keyed.join(light, "__row_key", "left_semi").select("__row_key", F.split(normalise(F.col("text")), " ").alias("words")).dropDuplicates(["__row_key"])
+    runs = reduce(DataFrame.unionByName, [words.select("__row_key", F.posexplode(_windows(F.col("words"), m)).alias("start", "window")).select("*", F.lit(m).alias("m")) for m in lengths])
     spans = runs.join(windows.select("window").distinct(), "window", "left_semi")
-    at = spans.groupBy("row_key").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("m") - 1)))).alias("at"))
+    at = spans.groupBy("__row_key").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("m") - 1)))).alias("__at"))
     # The original words (case and punctuation) are the runs between separators; hit ones are dropped.
-    pieces = kept.join(at, "row_key").withColumn("pieces", F.regexp_extract_all("text", F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"), F.lit(0)))
-    cut = F.array_join(F.filter(F.transform("pieces", lambda x, i: F.when(~F.array_contains("at", i), x)), lambda x: x.isNotNull()), "")
-    return clean.unionByName(pieces.withColumn("text", cut).drop("row_key", "at", "pieces"))
+    word, separator = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    pieces = F.regexp_extract_all("text", F.lit(f"({word}++{separator}*+)"), F.lit(0))
+    cut = F.array_join(F.filter(F.transform(pieces, lambda x, i: F.when(~F.array_contains("__at", i), x)), lambda x: x.isNotNull()), "")
+    before = F.regexp_extract("text", f"^{separator}*+", 0)
+    touched = keyed.join(settle(at, "at"), "__row_key").withColumn("text", F.concat(before, cut))
+    return clean.unionByName(touched.select(*documents.columns))
 
 
 def op9_decontaminate(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:

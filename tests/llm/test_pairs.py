@@ -134,9 +134,25 @@ def test_hits_small_cases(spark, max_windows):
 
 
 def test_spans_are_cut(spark):
-    docs = spark.createDataFrame([(1, f"Keep this, please: {TEXT}. And this text of a dozen words more than the passage holds in all", "s", "n", "w")], DOCS)
-    out = decontaminate.remove_spans(docs, bench(spark, [(1, TEXT)])).collect()
-    assert len(out) == 1 and out[0]["text"].startswith("Keep this, please: ") and "seven" not in out[0]["text"] and "And this text" in out[0]["text"]
+    """Separators stay, columns with clashing names too; null and repeated rows are kept; a document of nothing else goes."""
+    long = f"-- Keep this, please: {TEXT}. And this text of a dozen words more than the passage holds in all"
+    rows = [(1, long), (1, long), (2, TEXT), (3, None), (4, "clean"), (4, "clean"), (None, long)]
+    schema = "doc_id long, text string, row_key string, at string, pieces string, words string, __light string"
+    docs = spark.createDataFrame([(d, t, "mine", "a", "p", "w", "l") for d, t in rows], schema)
+    items = bench(spark, [(1, TEXT)])
+    out = decontaminate.remove_spans(docs, items)
+    assert out.columns == docs.columns
+    cut = "-- Keep this, please: And this text of a dozen words more than the passage holds in all"
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(((d, t, "mine", "a", "p", "w", "l") for d, t in [(1, cut), (1, cut), (3, None), (4, "clean"), (4, "clean"), (None, cut)]), key=str)
+    for most in (50_000, 0):
+        kept = decontaminate.drop_contaminated(docs, items, max_windows=most).collect()
+        assert sorted((r["doc_id"], r["row_key"]) for r in kept) == [(3, "mine"), (4, "mine"), (4, "mine")]
+
+
+def test_hits_by_joins_equal_hits_by_literals(spark, sf_dir):
+    docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    few, many = (sorted(map(str, decontaminate.find_hits(docs, items, max_windows=most).collect())) for most in (50_000, 0))
+    assert few == many and any("n_hit=0" not in r for r in few)
 
 
 @pytest.mark.parametrize("name", ["op7_url_filter", "op8_chat_format", "op9_decontaminate"])
