@@ -7,8 +7,15 @@ decides whether the document stays.  The base counts fail a document before that
 The field has features of the line (length, symbols, case, digits, end mark, repeated words, licence and site words) and
 transitions between neighbouring lines.  It is fitted by gradient steps on the exact likelihood over a bounded sample of
 labelled documents (``MAX_PER_CLASS`` of each quality with at most ``MAX_LINES`` lines and ``MAX_TRAIN_CHARS``
-characters; the smallest hashes of their id); the lines of a bad document count as boilerplate, those of a good one as
-content.  All documents are then decoded whole, whatever their number of lines.
+characters; the smallest hashes of their id; ids with crc32 mod 3 = 1 are held out).  All documents are then decoded
+whole, whatever their number of lines.
+
+The labels are of documents, the states of lines are latent.  A logistic fit tells how well each line fits good documents
+rather than bad ones; a line that fits bad ones, or that is full of site words, starts as boilerplate wherever it stands,
+so a bad document keeps its clean lines as content.  The label of the document only bounds the share: at least half the
+words of a bad document are boilerplate and at least half of a good one are content, the least certain lines giving way.
+The field is fitted to these states, decodes them anew under the same bounds, and is fitted again (``ROUNDS``), so its
+transitions are those within mixed documents.
 
 Everything runs over slices of an Arrow batch with numpy: all lines of a slice at once, Viterbi over all documents of a
 slice step by step.
@@ -27,18 +34,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import crc32_mod, text_slices
+from .compression_quality import fit_logistic
 from .token_counts import span_hashes
 
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MIN_CONTENT_SHARE = 0.5
-MAX_PER_CLASS, MAX_LINES, MAX_TRAIN_CHARS = 500, 40, 60_000
+MAX_PER_CLASS, MAX_LINES, MAX_TRAIN_CHARS = 500, 100, 60_000
+#: Fits of the field, the states decoded anew before each but the first.
+ROUNDS = 3
+#: Share of site words from which a line starts as boilerplate.
+SITE_SHARE = 0.25
 SLICE_BYTES = 1_000_000
 #: Words that mark notices and site furniture.
 SITE_WORDS = ["license", "licensed", "licence", "copyright", "rights", "reserved", "cookie", "cookies", "privacy", "subscribe", "login", "menu", "terms", "share", "newsletter"]
 
+#: Place of the share of site words among the features.
+SITE = 12
+
 _bytes = np.arange(256)
 _is_space = np.isin(_bytes, [0x20, *range(0x09, 0x0E)])
 _is_symbol = np.isin(_bytes, list(b"#*$%&|<>"))
@@ -141,7 +156,10 @@ def measure(texts: list[str]) -> Slice:
         return (run[last] - run[first]) / k
 
     echo = np.concatenate(([False], (word[1:] == word[:-1]) & (owner[1:] == owner[:-1]))) if n else np.zeros(0, bool)
-    lowered = span_hashes(_lower[data], begins, ends) if n else np.zeros(0, np.uint64)
+    # A word without the marks after it.
+    letter_at = np.maximum.accumulate(np.where(_is_letter[data] | _is_digit[data], np.arange(len(data)), -1))
+    bare_ends = np.maximum(begins, letter_at[ends - 1] + 1)
+    lowered = span_hashes(_lower[data], begins, bare_ends) if n else np.zeros(0, np.uint64)
     site = np.isin(lowered, _site_hashes())
     symbol_share = share(symbols, length)
     letter_count = letters[line_end] - letters[line_begin]
@@ -162,7 +180,7 @@ def measure(texts: list[str]) -> Slice:
             _is_end[final],
             words_share(echo),
             words_share(covered),
-            words_share(site),
+            words_share(site),  # column SITE
             dup,
             position == 0,
         ]
@@ -235,21 +253,21 @@ def viterbi(scores: np.ndarray, transition: np.ndarray, chain: np.ndarray, n_cha
         step += 1
 
 
-def fit(chains: list[tuple[np.ndarray, np.ndarray]], steps: int = 80, rate: float = 0.1, l2: float = 1e-3) -> Field:
+def fit(chains: list[tuple[np.ndarray, np.ndarray]], steps: int = 80, rate: float = 0.1, l2: float = 1e-3, start: Field | None = None) -> Field:
     """Maximum likelihood of (features, labels) chains by Adam steps on exact forward-backward gradients."""
-    longest, n_features = max(len(y) for _, y in chains), chains[0][0].shape[1]
-    n = len(chains)
-    x = np.zeros((n, longest, n_features))
+    sizes = np.array([len(y) for _, y in chains])
+    n, longest = len(chains), int(sizes.max())
+    x = np.concatenate([f for f, _ in chains])
+    n_features = x.shape[1]
+    there = np.arange(longest) < sizes[:, None]
     y = np.zeros((n, longest), np.int64)
-    there = np.zeros((n, longest), bool)
-    for k, (f, labels) in enumerate(chains):
-        x[k, : len(labels)], y[k, : len(labels)], there[k, : len(labels)] = f, labels, True
+    y[there] = np.concatenate([labels for _, labels in chains])
     pair = there[:, 1:]
     one_hot = np.eye(2)[y] * there[..., None]
-    seen_e = np.einsum("ntf,ntl->fl", x, one_hot)
+    seen_e = x.T @ one_hot[there]
     seen_t = np.einsum("nta,ntb->ab", one_hot[:, :-1] * pair[..., None], one_hot[:, 1:])
     total = there.sum()
-    theta = [np.zeros((n_features, 2)), np.zeros((2, 2))]
+    theta = [start.emission, start.transition] if start else [np.zeros((n_features, 2)), np.zeros((2, 2))]
     moment, speed = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
 
     def soft(a: np.ndarray, axis: int) -> np.ndarray:
@@ -258,7 +276,8 @@ def fit(chains: list[tuple[np.ndarray, np.ndarray]], steps: int = 80, rate: floa
 
     for step in range(1, steps + 1):
         emission, transition = theta
-        s = (x @ emission) * there[..., None]
+        s = np.zeros((n, longest, 2))
+        s[there] = x @ emission
         ahead, behind = np.zeros_like(s), np.zeros_like(s)
         ahead[:, 0] = s[:, 0]
         for t in range(1, longest):
@@ -270,7 +289,7 @@ def fit(chains: list[tuple[np.ndarray, np.ndarray]], steps: int = 80, rate: floa
         z = soft(ahead[:, -1], 1)
         single = np.exp(ahead + behind - z[:, None, None]) * there[..., None]
         double = np.exp(ahead[:, :-1, :, None] + transition + (s + behind)[:, 1:, None, :] - z[:, None, None, None]) * pair[..., None, None]
-        gradient = [(np.einsum("ntf,ntl->fl", x, single) - seen_e) / total + l2 * emission, (double.sum(axis=(0, 1)) - seen_t) / total + l2 * transition]
+        gradient = [(x.T @ single[there] - seen_e) / total + l2 * emission, (double.sum(axis=(0, 1)) - seen_t) / total + l2 * transition]
         for k in range(2):
             moment[k] = 0.9 * moment[k] + 0.1 * gradient[k]
             speed[k] = 0.99 * speed[k] + 0.01 * gradient[k] ** 2
@@ -278,23 +297,60 @@ def fit(chains: list[tuple[np.ndarray, np.ndarray]], steps: int = 80, rate: floa
     return Field(*theta)
 
 
+def within_bounds(content: np.ndarray, certain: np.ndarray, words: np.ndarray, label: int) -> np.ndarray:
+    """States of a document's lines with at least half its words on the side of its label.
+
+    ``certain``: how surely each line is content; those that fit the label best change first.
+    """
+    content = content.astype(bool).copy()
+    half = words.sum() / 2
+    order = np.argsort(certain if label == 0 else -certain, kind="stable")
+    for k in order:
+        if words[content == bool(label)].sum() >= half:
+            break
+        content[k] = bool(label)
+    return content
+
+
+def train(texts: list[tuple[str, int]]) -> Field:
+    """Field of (text, label of the document) pairs; both labels must occur."""
+    chains = []
+    for text, label in texts:
+        m = measure([text])
+        if 0 < len(m.line_text) <= MAX_LINES:
+            chains.append((m.features, m.line_words, label))
+    if len({c[2] for c in chains}) < 2:
+        return Field.all_content(measure([""]).features.shape[1])
+    x = np.concatenate([f for f, _, _ in chains])
+    y = np.concatenate([np.full(len(f), label) for f, _, label in chains]).astype(float)
+    # Each document weighs the same, and so do both classes.
+    n_of = {c: sum(label == c for _, _, label in chains) for c in (0, 1)}
+    weight = np.concatenate([np.full(len(f), len(chains) / 2 / n_of[label] / len(f)) for f, _, label in chains])
+    odds = x @ fit_logistic(x, y, weight)
+    cuts = np.cumsum([len(f) for f, _, _ in chains])[:-1]
+    start = [o - 10.0 * (f[:, SITE] >= SITE_SHARE) for (f, _, _), o in zip(chains, np.split(odds, cuts), strict=True)]
+    states = [within_bounds(o > 0, o, words, label) for (_, words, label), o in zip(chains, start, strict=True)]
+    field = fit([(f, s.astype(np.int64)) for (f, _, _), s in zip(chains, states, strict=True)])
+    for _ in range(ROUNDS - 1):
+        states = []
+        for features, words, label in chains:
+            scores = features @ field.emission
+            decoded = viterbi(scores, field.transition, np.zeros(len(scores), np.int64), 1) == 1
+            notice = features[:, SITE] >= SITE_SHARE
+            states.append(within_bounds(decoded & ~notice, scores[:, 1] - scores[:, 0] - 10.0 * notice, words, label))
+        field = fit([(f, s.astype(np.int64)) for (f, _, _), s in zip(chains, states, strict=True)], steps=40, start=field)
+    return field
+
+
 def learn(documents: DataFrame, labels: DataFrame) -> Field:
-    """Field from a bounded sample of labelled documents."""
-    labelled = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("label"), F.xxhash64("doc_id").alias("h"))
+    """Field from a bounded sample of the labelled documents that are not held out."""
+    labelled = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(crc32_mod(F.col("doc_id"), 3) != 1)
+    labelled = labelled.select("doc_id", F.col("quality").cast("int").alias("label"), F.xxhash64("doc_id").alias("h"))
     ids = [labelled.where(F.col("label") == c).orderBy("h", "doc_id").limit(MAX_PER_CLASS) for c in (0, 1)]
     fitting = documents.where(F.length("text") <= MAX_TRAIN_CHARS).select("doc_id", "text")
     # One text per chosen id, however many rows it has.
     single = fitting.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").groupBy("h", "doc_id", "label").agg(F.min("text").alias("text"))
-    rows = sorted((r["h"], r["label"], r["text"]) for r in single.collect())
-    chains, seen = [], set()
-    for _, label, text in rows:
-        m = measure([text])
-        if 0 < len(m.line_text) <= MAX_LINES:
-            chains.append((m.features, np.full(len(m.line_text), label)))
-            seen.add(label)
-    if len(seen) < 2:
-        return Field.all_content(measure([""]).features.shape[1])
-    return fit(chains)
+    return train([(text, label) for _, label, text in sorted((r["h"], r["label"], r["text"]) for r in single.collect())])
 
 
 def judge(documents: DataFrame, field: Field, min_share: float = MIN_CONTENT_SHARE) -> DataFrame:
