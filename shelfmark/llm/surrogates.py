@@ -3,16 +3,20 @@ r"""PII surrogates: every detected entity gets a keyed replacement of its own ki
 Found are e-mail addresses, telephone, card and social security numbers, IBANs, IPv4 addresses, secrets (long hex
 strings and well-known key shapes) and names after a title.  The replacement keeps kind and format: digits become
 digits, letters become letters of the same case and script, separators and lengths stay; cards keep the issuer's first
-two digits and get a valid check digit; an IPv4 address stays one; the mail domain becomes a reserved one; a name keeps its title
-and number of words and ends as names of that gender do.
+two digits and get a valid check digit, IBANs keep their country and get valid ones; an IPv4 address stays one; the mail
+domain becomes a reserved one; a name keeps its title and number of words and ends as names of that gender do.
 
-A replacement is drawn from SHA-256 of a secret key, the kind, the entity in canonical form (digits only, lower case)
-and an attempt number.  Equal entities thus get equal replacements in all documents and formats (coreference).  All
-distinct entities of the corpus are checked: of those that drew the same replacement, or one that is itself an entity of
-the corpus, only the least keeps it, the others draw again until all are distinct.
+A replacement is drawn from SHA-256 of a secret key, the kind, the entity in canonical form (digits only, lower case; a
+name with the gender of its title, so "Mr. Smith" and "Herr Smith" are one) and an attempt number.  Equal entities thus
+get equal replacements in all documents and formats (coreference).  All distinct entities of the corpus are checked: of
+those that drew the same replacement, or one that is itself an entity of the corpus, only the least keeps it, the others
+draw again until all are distinct within their kind.  Mail names and names grow with the attempts, so they cannot run out; a
+format of fixed length whose numbers are nearly all taken (``MAX_ATTEMPTS`` draws in vain) ends with an error.
 
-Documents without an entity are passed through untouched and unshuffled.  The table of entities is joined by a shuffle on
-the entity, and the replacements of a text come back to it by the text's hash, so no broadcast grows with the data.
+The texts are searched once; what was found is written beside them to the shared folder.  Documents without an entity
+are passed through unshuffled.  Each distinct surface is dressed once, and occurrences are joined to surfaces by a join
+that Spark splits where one surface is very frequent; the replacements of a text come back to it by the text's hash, so
+no broadcast grows with the data.
 
 Defined results: null and empty texts come back as they are; repeated rows stay; several entities of one text are
 replaced from left to right without overlap; extra columns are kept.
@@ -23,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 KEY = "shelfmark surrogate key"
 #: Kinds that a telephone number must not run into, with their patterns (Java).
@@ -51,6 +55,8 @@ ANY_KIND = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A text without any of these holds no entity.
 HINT = r"[0-9@]|Mrs?\.|Ms\.|Herr|Frau|Señor|Monsieur|Madame|Госпо"
 FEMALE = r"^(?:Mrs\.|Ms\.|Frau|Señora|Madame|Госпожа) "
+#: First letters of a canonical name, by gender.
+FEMALE_MARK, MALE_MARK = "f ", "m "
 LATIN = ["ba", "de", "fi", "go", "lu", "ma", "ne", "pi", "ro", "su", "ta", "ve", "wi", "jo", "ha", "ke"]
 CYRILLIC = ["ба", "де", "фи", "го", "лу", "ма", "не", "пи", "ро", "су", "та", "ве", "ви", "жо", "ха", "ке"]
 MAX_ATTEMPTS = 64
@@ -75,7 +81,8 @@ def canonical(kind: Column, surface: Column) -> Column:
     return (
         F.when(kind.isin("card", "ssn", "phone"), digits)
         .when(kind == "iban", F.replace(surface, F.lit(" "), F.lit("")))
-        .when(kind.isin("email", "name"), F.lower(surface))
+        .when(kind == "email", F.lower(surface))
+        .when(kind == "name", F.concat(F.when(surface.rlike(FEMALE), FEMALE_MARK).otherwise(MALE_MARK), F.lower(F.regexp_replace(surface, r"^\S+ ", ""))))
         .otherwise(surface)
     )
 
@@ -120,10 +127,18 @@ def _card(value: Column, stream: Column) -> Column:
     return F.concat(body, F.pmod(F.lit(10) - _luhn(body, 0) % 10, F.lit(10)).cast("string"))
 
 
+def _iban(value: Column, stream: Column) -> Column:
+    """The country stays, letters and digits are drawn, the two check digits are those of ISO 7064 (mod 97)."""
+    country, body = F.substr(value, F.lit(1), F.lit(2)), F.substr(_masked(value, stream), F.lit(5), F.length(value))
+    number = lambda c: F.when(c.rlike("[A-Z]"), F.ascii(c) - 55).otherwise(c.cast("int"))
+    rest = F.aggregate(F.split(F.concat(body, country, F.lit("00")), ""), F.lit(0), lambda acc, c: F.pmod(acc * F.when(c.rlike("[A-Z]"), 100).otherwise(10) + number(c), F.lit(97)).cast("int"))
+    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), body)
+
+
 def _name(value: Column, stream: Column, attempt: Column) -> Column:
     """Syllables of the name's script with the ending of its gender; more of them at each attempt."""
     words = F.split(F.regexp_replace(value, r"^\S+ ", ""), " ")
-    female = value.rlike("(?iu)" + FEMALE)
+    female = value.startswith(FEMALE_MARK)
     cyrillic = value.rlike(r"\p{IsCyrillic}")
     pool = F.when(cyrillic, F.array(*map(F.lit, CYRILLIC))).otherwise(F.array(*map(F.lit, LATIN)))
     ending = F.when(cyrillic, F.when(female, "на").otherwise("н")).otherwise(F.when(female, "na").otherwise("n"))
@@ -138,16 +153,17 @@ def _name(value: Column, stream: Column, attempt: Column) -> Column:
 def surrogate(kind: Column, value: Column, attempt: Column, s: Column) -> Column:
     """Replacement of an entity in canonical form (of a name: without the title), drawn from the stream ``s``."""
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    mail = F.concat(_masked(F.concat(local, F.lit("@"), F.substring_index(domain, ".", 1)), s), F.lit(".example."), F.substring_index(domain, ".", -1))
+    # After a few draws in vain the local part gets more letters.
+    more = F.substr(F.translate(s, "0123456789", "ghijklmnop"), F.lit(2), F.floor(attempt.cast("int") / 4).cast("int"))
+    mail = F.concat(_masked(local, s), more, F.lit("@"), _masked(F.substring_index(domain, ".", 1), F.reverse(s)), F.lit(".example."), F.substring_index(domain, ".", -1))
     ip = F.concat_ws(".", *[(_draw(s, F.lit(k), 254) + 1).cast("string") for k in range(4)])
     number = F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(_masked(value, s), F.lit(2), F.length(value)))
-    iban = F.concat(F.substr(value, F.lit(1), F.lit(2)), F.substr(_masked(value, s), F.lit(3), F.length(value)))
     return (
         F.when(kind == "email", mail)
         .when(kind == "ip", ip)
         .when(kind == "card", _card(value, s))
         .when(kind == "phone", number)
-        .when(kind == "iban", iban)
+        .when(kind == "iban", _iban(value, s))
         .when(kind == "name", _name(value, s, attempt))
         .when(kind == "ssn", _masked(value, s))
         .otherwise(F.coalesce(_hex(value, s), _masked(value, s)))
@@ -180,47 +196,57 @@ def distinct_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, value, replacement): one row per entity, replacements distinct within a kind and no entity themselves."""
     # The expressions cost more than their few bytes tell, so the rows are dealt out evenly before they run.
     parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = settle(entities.select("kind", "value").distinct().repartition(parts, "kind", "value").withColumn("attempt", F.lit(0)), "values")
-    table = settle(draw(table, key), "entities")
-    # A drawn name has no title, so it is held against the names of the corpus without theirs.
+    values = settle(entities.select("kind", "value").distinct().repartition(parts, "kind", "value").withColumn("attempt", F.lit(0)), "values")
+    table = settle(draw(values, key), "entities")
+    # A drawn name has no gender mark, so it is held against the names of the corpus without theirs.
     bare = F.when(F.col("kind") == "name", F.regexp_replace("value", r"^\S+ ", "")).otherwise(F.col("value"))
     real = settle(table.select("kind", bare.alias("replacement")).distinct(), "real")
+    discard(values)
     for _ in range(MAX_ATTEMPTS):
         claims = table.groupBy("kind", "replacement").agg(F.min("value").alias("first"), F.count("*").alias("n"))
         claims = claims.join(real.withColumn("is_real", F.lit(True)), ["kind", "replacement"], "left").where("n > 1 OR is_real")
         claims = settle(claims.select("kind", "replacement", "first", F.coalesce("is_real", F.lit(False)).alias("is_real")), "claims")
         if claims.isEmpty():
+            discard(real, claims)
             return table.select("kind", "value", "replacement")
         judged = table.join(claims, ["kind", "replacement"], "left").withColumn("again", F.coalesce(F.col("is_real") | (F.col("value") != F.col("first")), F.lit(False)))
         kept = judged.where("NOT again").select("kind", "value", "attempt", "replacement")
         drawn = draw(judged.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")), key)
-        table = settle(kept.unionByName(drawn), "entities")
+        old, table = table, settle(kept.unionByName(drawn), "entities")
+        discard(old, claims)
     raise ValueError("surrogates stay ambiguous: too many entities of one kind for its format")
 
 
 def found_entities(documents: DataFrame) -> DataFrame:
-    """The documents' columns, __found (array of surfaces) and __key (hash of the text); only rows with an entity."""
-    hinted = documents.where(F.col("text").rlike(HINT))
-    found = hinted.withColumn("__found", F.regexp_extract_all("text", F.lit(ANY_KIND), F.lit(0)))
-    return found.where(F.size("__found") > 0).withColumn("__key", F.md5(F.col("text").cast("binary")))
+    """The documents' columns, __found (array of surfaces, null for none) and __key (hash of the text, null for none), settled.
+
+    This is the only search over all texts.
+    """
+    hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
+    found = documents.withColumn("__found", F.when(hinted, F.regexp_extract_all("text", F.lit(ANY_KIND), F.lit(0))))
+    found = found.withColumn("__found", F.when(F.size("__found") > 0, F.col("__found")))
+    return settle(found.withColumn("__key", F.when(F.col("__found").isNotNull(), F.md5(F.col("text").cast("binary")))), "found")
 
 
 def pseudonymise(documents: DataFrame, key: str = KEY) -> DataFrame:
-    """The documents with replaced entities, and __n_entities."""
+    """The documents with replaced entities, and __n_entities.  Columns that begin with ``__`` are kept by other names inside."""
     columns = documents.columns
-    dirty = found_entities(documents)
-    surfaces = dirty.select("__key", F.posexplode("__found").alias("pos", "surface")).withColumn("kind", kind_of(F.col("surface")))
-    surfaces = settle(surfaces.where("kind IS NOT NULL").withColumn("value", canonical(F.col("kind"), F.col("surface"))).distinct(), "surfaces")
-    table = distinct_surrogates(surfaces, key)
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dressed = surfaces.join(table, ["kind", "value"]).repartition(parts, "kind", "value").select("__key", "pos", dress(F.col("kind"), F.col("surface"), F.col("replacement")).alias("new"))
-    by_text = dressed.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("pos", "new"))).alias("__new"))
-    both = dirty.join(by_text, "__key", "left")
+    inner = [f"c{k}" if c != "text" else c for k, c in enumerate(columns)]
+    found = found_entities(documents.toDF(*inner))
+    dirty = found.where("__key IS NOT NULL")
+    # Rows of one text have one set of occurrences.
+    surfaces = settle(dirty.select("__key", "__found").dropDuplicates(["__key"]).select("__key", F.posexplode("__found").alias("pos", "surface")), "surfaces")
+    forms = surfaces.select("surface").distinct().withColumn("kind", kind_of(F.col("surface"))).where("kind IS NOT NULL")
+    forms = settle(forms.withColumn("value", canonical(F.col("kind"), F.col("surface"))), "forms")
+    table = distinct_surrogates(forms, key)
+    dressed = settle(forms.join(table, ["kind", "value"]).select("surface", dress(F.col("kind"), F.col("surface"), F.col("replacement")).alias("new")), "dressed")
+    by_text = surfaces.join(dressed, "surface").groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("pos", "new"))).alias("__new"))
+    both = dirty.join(settle(by_text, "by_text"), "__key", "left")
     gaps = F.split("text", ANY_KIND, -1)
     woven = F.transform(gaps, lambda gap, i: F.when(i == 0, gap).otherwise(F.concat(F.coalesce(F.element_at("__new", i - 1), F.element_at("__found", i)), gap)))
-    rewritten = both.withColumn("text", F.array_join(woven, "")).withColumn("__n_entities", F.coalesce(F.size("__new"), F.lit(0)).cast("long")).select(*columns, "__n_entities")
-    untouched = documents.where(~F.coalesce(F.col("text").rlike(HINT), F.lit(False)) | (F.size(F.regexp_extract_all("text", F.lit(ANY_KIND), F.lit(0))) == 0))
-    return untouched.withColumn("__n_entities", F.lit(0).cast("long")).unionByName(rewritten)
+    rewritten = both.withColumn("text", F.array_join(woven, "")).withColumn("__n_entities", F.coalesce(F.size("__new"), F.lit(0)).cast("long")).select(*inner, "__n_entities")
+    untouched = found.where("__key IS NULL").select(*inner, F.lit(0).cast("long").alias("__n_entities"))
+    return untouched.unionByName(rewritten).toDF(*columns, "__n_entities")
 
 
 def op5_surrogates(spark: SparkSession, documents: DataFrame) -> DataFrame:
