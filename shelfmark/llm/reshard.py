@@ -1,17 +1,19 @@
 """Resharding by minimum-cost flow: new shards of equal row counts, reached by moving the fewest bytes.
 
 The old layout and the new capacities form a transport problem.  Its sources are blocks (old shard x size class), its
-sinks the new shards; a row that stays in its shard costs nothing, one that moves costs the mean bytes of its block.
-Successive shortest paths solve it on the driver over at most ``old shards x size classes`` blocks, a number that the
-data do not change.  The flow says how many rows of each block go to which shard; the rows of a block are numbered
-inside salted buckets of the block (never in one group), and pieces of those numbers are dealt out, which also gives
-the gapless slots.
+sinks the new shards; a row that stays in its shard costs nothing, one that moves costs its bytes (in the flow, the mean
+of its block).  Successive shortest paths solve it on the driver over at most ``old shards x size classes`` blocks, a
+number that the data do not change.  The flow says how many rows of each block go to which shard.  Of a block that
+leaves only in part the smallest rows go: the size at which it divides is found in Spark, and rows below, at and above
+it are numbered one after the other.  As size classes do not overlap, the bytes moved are the fewest that the capacities
+allow.  The rows of a block are numbered inside buckets of about ``BUCKET`` rows, never in one group, and pieces of those
+numbers are dealt out, which also gives the gapless slots.
 
 Law ``rows``: the row counts of the new shards differ by one at most.
 
 Defined results: a null text has 0 bytes (size 1, crc32 of the empty text); a null source belongs to the old shard of the
 empty text; equal rows are interchangeable and each gets its own slot; an empty table gives no rows; extra columns are
-ignored.
+ignored, and kept by ``place_documents``.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from .common import settle, utf8_size
 
 OLD_SHARDS = 12
 NEW_SHARDS = 16
-#: Buckets that a block is salted into; only their counts reach the driver.
-SALT = 64
+#: Rows of a bucket, about; only the counts of the buckets reach the driver, one row for each.
+BUCKET = 250_000
+#: Files that the rows of a rewritten shard are dealt into.
+FILES = 64
 
 
 def capacities(n_rows: int, shards: int) -> list[int]:
@@ -107,55 +111,70 @@ def size_class(size: Column) -> Column:
     return F.floor(F.log2(size.cast("double")) * 4).cast("int")
 
 
-def plan(sizes: DataFrame, new_shards: int) -> tuple[list[tuple[int, int, int, int, int, int]], float]:
-    """Pieces (old, cls, from, to, shard, slot of the first) and the bytes moved.
-
-    ``sizes``: old, cls, n, bytes per block.
-    """
-    blocks = sorted((r["old"], r["cls"], r["n"], r["bytes"]) for r in sizes.collect())
+def plan(blocks: list[tuple[int, int, int, int]], new_shards: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Pieces (old, cls, from, to, shard, slot of the first) of blocks (old, cls, n, bytes); in a block those that move come first."""
     demands = capacities(sum(b[2] for b in blocks), new_shards)
-    mean = [b[3] / b[2] for b in blocks]
-    costs = [[0.0 if b[0] == s else mean[k] for s in range(new_shards)] for k, b in enumerate(blocks)]
+    costs = [[0.0 if old == s else size / n for s in range(new_shards)] for old, _, n, size in blocks]
     flow = min_cost_flow([b[2] for b in blocks], costs, demands)
-    slots, pieces, moved = [0] * new_shards, [], 0.0
-    for (old, cls, _, _), row, cost in zip(blocks, flow, costs, strict=True):
+    slots, pieces = [0] * new_shards, []
+    for (old, cls, _, _), row in zip(blocks, flow, strict=True):
         at = 0
-        for s, amount in enumerate(row):
-            if amount:
-                pieces.append((old, cls, at, at + amount, s, slots[s]))
-                at, slots[s], moved = at + amount, slots[s] + amount, moved + amount * cost[s]
-    return pieces, moved
-
-
-def reshard(rows: DataFrame, new_shards: int = NEW_SHARDS, salt: int = SALT) -> DataFrame:
-    """Adds shard and slot.  ``rows`` has ``old`` (int, old shard), ``size`` (long) and whatever identifies a row.
-
-    The salted numbering orders the rows of a bucket by all their columns, so it does not depend on the read order.
-    """
+        for s in sorted(range(new_shards), key=lambda s: s == old):
+            if row[s]:
+                pieces.append((old, cls, at, at + row[s], s, slots[s]))
+                at, slots[s] = at + row[s], slots[s] + row[s]
+    return pieces
+
+
+def dividing_sizes(keyed: DataFrame, pieces: list[tuple[int, int, int, int, int, int]]) -> dict[tuple[int, int], int]:
+    """For each block that leaves its shard only in part: the size up to which its rows, smallest first, leave."""
+    leaving: dict[tuple[int, int], int] = {}
+    staying = set()
+    for old, cls, begin, end, shard, _ in pieces:
+        if shard == old:
+            staying.add((old, cls))
+        else:
+            leaving[old, cls] = leaving.get((old, cls), 0) + end - begin
+    parted = [(*block, n) for block, n in leaving.items() if block in staying]
+    if not parted:
+        return {}
+    wanted = keyed.sparkSession.createDataFrame(parted, "old int, cls int, leaving long")
+    histogram = keyed.join(F.broadcast(wanted), ["old", "cls"]).groupBy("old", "cls", "leaving", "size").agg(F.count("*").alias("n"))
+    upto = histogram.withColumn("upto", F.sum("n").over(W.partitionBy("old", "cls").orderBy("size")))
+    return {(r["old"], r["cls"]): r["size"] for r in upto.where("upto >= leaving AND upto - n < leaving").collect()}
+
+
+def reshard(rows: DataFrame, new_shards: int = NEW_SHARDS, bucket: int = BUCKET) -> DataFrame:
+    """Adds shard and slot.  ``rows`` has ``old`` (int, old shard), ``size`` (long) and whatever identifies a row."""
     spark = rows.sparkSession
     names = rows.columns
-    keyed = rows.withColumn("cls", size_class(F.col("size"))).withColumn("salt", F.pmod(F.xxhash64(*names), F.lit(salt)).cast("int"))
-    keyed = settle(keyed, "reshard")
-    buckets = keyed.groupBy("old", "cls", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    counted = sorted(buckets.collect())  # at most old shards x classes x salt rows
-    if not counted:
+    # The number of a row is fixed by being written; equal rows have different ones.
+    keyed = settle(rows.withColumn("__cls", size_class(F.col("size"))).withColumn("__id", F.monotonically_increasing_id()), "reshard").withColumnRenamed("__cls", "cls")
+    blocks = sorted(tuple(r) for r in keyed.groupBy("old", "cls").agg(F.count("*"), F.sum("size")).collect())  # at most old shards x classes
+    if not blocks:
         return rows.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    counts = spark.createDataFrame(counted, buckets.schema)
-    pieces, _ = plan(counts.groupBy("old", "cls").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")), new_shards)
+    pieces = plan(blocks, new_shards)
+    sizes = dividing_sizes(keyed, pieces)
+    # Of a block: its pieces, the size that divides it, the number of its buckets on each side.
+    of: dict[tuple[int, int], list] = {}
+    for old, cls, *piece in pieces:
+        of.setdefault((old, cls), []).append(tuple(piece))
+    known = [(old, cls, sizes.get((old, cls)), 1 + n // bucket, of[old, cls]) for old, cls, n, _ in blocks]
+    table = spark.createDataFrame(known, "old int, cls int, at long, salts long, pieces array<struct<lo: long, hi: long, shard: int, first: long>>")
+    side = F.coalesce(F.when(F.col("size") < F.col("at"), 0).when(F.col("size") > F.col("at"), 2), F.lit(1))
+    placed = keyed.join(F.broadcast(table), ["old", "cls"]).withColumn("side", side).withColumn("salt", F.pmod(F.xxhash64("__id"), F.col("salts")))
+    key = ["old", "cls", "side", "salt"]
+    counted = sorted(tuple(r) for r in placed.groupBy(*key).agg(F.count("*")).collect())  # three for each block and each ``bucket`` of its rows
     begins, at = [], {}
-    for old, cls, bucket, n, _ in counted:
-        begins.append((old, cls, bucket, at.get((old, cls), 0)))
+    for old, cls, part, salt, n in counted:
+        begins.append((old, cls, part, salt, at.get((old, cls), 0)))
         at[old, cls] = at.get((old, cls), 0) + n
-    begin = spark.createDataFrame(begins, "old int, cls int, salt int, begin long")
-    # A bucket as (old, cls, salt) with the pieces that overlap it: a bounded table, joined by equality.
-    moves = spark.createDataFrame(pieces, "old int, cls int, lo long, hi long, shard int, first long")
-    moves = moves.groupBy("old", "cls").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "shard", "first"))).alias("pieces"))
-    ends = begin.join(moves, ["old", "cls"])
-    numbered = keyed.withColumn("k", F.row_number().over(W.partitionBy("old", "cls", "salt").orderBy(*names)) - 1)
-    placed = numbered.join(F.broadcast(ends), ["old", "cls", "salt"]).withColumn("pos", F.col("begin") + F.col("k"))
+    begin = spark.createDataFrame(begins, "old int, cls int, side int, salt long, begin long")
+    numbered = placed.withColumn("k", F.row_number().over(W.partitionBy(*key).orderBy("__id")) - 1)
+    numbered = numbered.join(F.broadcast(begin), key).withColumn("pos", F.col("begin") + F.col("k"))
     piece = F.element_at(F.filter("pieces", lambda p: (p["lo"] <= F.col("pos")) & (F.col("pos") < p["hi"])), 1)
-    placed = placed.withColumn("piece", piece)
-    return placed.select(*names, F.col("piece.shard").alias("shard"), (F.col("piece.first") + F.col("pos") - F.col("piece.lo")).alias("slot"))
+    numbered = numbered.withColumn("piece", piece)
+    return numbered.select(*names, F.col("piece.shard").alias("shard"), (F.col("piece.first") + F.col("pos") - F.col("piece.lo")).alias("slot"))
 
 
 def place_documents(documents: DataFrame, new_shards: int = NEW_SHARDS) -> DataFrame:
@@ -179,7 +198,7 @@ def write_shards(placed: DataFrame, path: str, version: int, base: int | None =
     fresh = filled & (touched | (filled - kept.keys()))
     if fresh:
         affected = placed.where(F.col("shard").isin(sorted(fresh))).select("document", "shard")
-        affected.repartition("shard", F.pmod(F.xxhash64("document"), F.lit(SALT))).write.partitionBy("shard").parquet(f"{path}/data/v{version}")
+        affected.repartition("shard", F.pmod(F.xxhash64("document"), F.lit(FILES))).write.partitionBy("shard").parquet(f"{path}/data/v{version}")
     manifest = [(s, version if s in fresh else kept[s]) for s in sorted(filled)]
     spark.createDataFrame(manifest, "shard int, version int").coalesce(1).write.parquet(f"{path}/manifest/v{version}")
 

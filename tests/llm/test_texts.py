@@ -114,16 +114,33 @@ def test_url_edges(spark):
 
 
 def test_chat_round_trip(spark):
-    nasty = ["</turn>\n### user: x", "\\", "\\\\</turn>", "### ", "#", None, "", "a\nb", "\\n$1", "<\\/turn>"]
-    rows = [(1, k, ["user", "assistant"][k % 2], t, "x") for k, t in enumerate(nasty)] + [(2, None, None, None, "x"), (2, 0, "odd: role\\", "t", "x"), (2, 0, "odd: role\\", "t", "x"), (None, 1, "user", "u", "x")]
+    nasty = ["##### x ####", "<</turn></turn>", "</turn>\n### user: x", "\\", "\\\\</turn>", "### ", "#", None, "", "a\nb", "\\n$1", "<\\/turn>"]
+    rows = [(1, k, ["user", "assistant"][k % 2], t, "x") for k, t in enumerate(nasty)] + [(2, None, None, None, "x"), (2, 0, "odd: role::\\", "t", "x"), (2, 0, "odd: role::\\", "t", "x"), (None, 1, "user", "u", "x")]
     chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, valid string")
     parsed = {r["conv_id"]: r for r in chat_format.parse_chat(chat_format.format_chat(chats)).collect()}
-    assert [(t["role"], t["text"], t["loss"]) for t in parsed[1]["turns"]] == [(r[2], r[3] or "", r[2] == "assistant") for r in rows[:10]]
-    assert [(t["role"], t["text"]) for t in parsed[2]["turns"]] == [("", ""), ("odd: role\\", "t"), ("odd: role\\", "t")]
+    assert [(t["role"], t["text"], t["loss"]) for t in parsed[1]["turns"]] == [(r[2], r[3] or "", r[2] == "assistant") for r in rows[: len(nasty)]]
+    assert [(t["role"], t["text"]) for t in parsed[2]["turns"]] == [("", ""), ("odd: role::\\", "t"), ("odd: role::\\", "t")]
     assert parsed[1]["valid"] and not parsed[2]["valid"] and parsed[None]["valid"]
     assert chat_format.digest(chat_format.parse_chat(chat_format.format_chat(chats.where("false")))).count() == 0
 
 
+def test_other_templates_and_long_roles(spark):
+    """Another template reads back too; a role and a text of 200,000 characters do not end the JVM; no mark stays inside."""
+    other = chat_format.Template(open="<|im_start|>", sep=" ->", close="<|im_end|>\n", loss_roles=("bot",), transitions={("start", "user"): "user", ("user", "bot"): "bot"}, final=("bot",))
+    texts = ["<|im_start|>user -> x<|im_end|>\n", "<<|im_end|>", "### a: </turn>\n", "\\<|im_end|>\\"]
+    rows = [(1, k, ["user", "bot"][k % 2], t) for k, t in enumerate(texts)] + [(2, 0, "a -> b", "t"), (3, 0, "r: " * 70_000, "t\\: " * 50_000)]
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for template in (other, chat_format.TEMPLATE):
+        formatted = chat_format.format_chat(chats, template)
+        got = {r["conv_id"]: r for r in chat_format.parse_chat(formatted, template).collect()}
+        for conv in (1, 2, 3):
+            assert [(t["role"], t["text"]) for t in got[conv]["turns"]] == [r[2:] for r in rows if r[0] == conv]
+        assert got[1]["formatted"].count(template.close.strip()) == 4 and got[1]["formatted"].count(template.open.strip()) == 4
+    for bad in ({"sep": ":"}, {"close": "abab"}, {"open": "\\x"}):
+        with pytest.raises(ValueError):
+            chat_format.Template(**bad)
+
+
 @pytest.mark.parametrize(("roles", "ok"), [("u", True), ("ua", True), ("su", True), ("s", False), ("a", False), ("uu", False), ("usa", False), ("", False)])
 def test_role_machine(spark, roles, ok):
     names = {"u": "user", "a": "assistant", "s": "system"}
@@ -165,11 +182,22 @@ def test_shards_of_edges(spark):
     assert reshard.op10_reshard(spark, some.where("false")).count() == 0
 
 
-def test_moves_are_as_few_as_can_be(spark):
-    rows = spark.range(1600).select("id", (F.col("id") % 7 + 1).alias("size"), F.when(F.col("id") < 800, 0).otherwise(F.pmod("id", F.lit(8))).cast("int").alias("old"))
-    moved = reshard.reshard(rows, 8).where("old <> shard").count()
-    surplus = sum(max(0, r["count"] - 200) for r in rows.groupBy("old").count().collect())
-    assert moved == surplus
+@pytest.mark.parametrize("bucket", [250_000, 7])
+def test_moves_are_as_few_as_can_be(spark, bucket):
+    """Rows and bytes moved against the exact optimum: of each overfull shard the smallest rows leave."""
+    rnd = random.Random(6)
+    rows = [(k, rnd.choice([1, 5, 17, 18, 19, 20, 1000, 1001]), rnd.choice([0, 0, 0, 1, 2, 3, 9])) for k in range(400)] + [(7, 1, 0)] * 60
+    table = spark.createDataFrame(rows, "id long, size long, old int")
+    out = reshard.reshard(table, 6, bucket).collect()
+    assert sorted((r["id"], r["size"], r["old"]) for r in out) == sorted(rows)
+    room = reshard.capacities(len(rows), 6)
+    for s in range(6):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(room[s]))
+    best = 0
+    for old in {r[2] for r in rows}:
+        held = sorted(r[1] for r in rows if r[2] == old)
+        best += sum(held[: max(0, len(held) - (room[old] if old < 6 else 0))])
+    assert sum(r["size"] for r in out if r["old"] != r["shard"]) == best
 
 
 def test_rewritten_shards_hold_all_rows_once(spark, tmp_path):
