@@ -60,6 +60,14 @@ def discard(*tables: DataFrame | None) -> None:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def apart(documents: DataFrame, *needed: str) -> DataFrame:
+    """The documents with all but the needed columns named by their place, so that no helper column can clash.
+
+    ``toDF(*documents.columns)`` gives the names back.
+    """
+    return documents.toDF(*[c if c in needed else f"c{k}" for k, c in enumerate(documents.columns)])
+
+
 def utf8_size(text: Column) -> Column:
     """Bytes of the text in UTF-8, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

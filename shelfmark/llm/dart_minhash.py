@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, settle, text_slices
+from .common import apart, discard, settle, text_slices
 from .token_counts import span_hashes
 
 SHINGLE = 5
@@ -218,12 +218,12 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def similar_pairs(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, size: int, weighting: str, similarity: float) -> DataFrame:
+def similar_pairs(pairs: DataFrame, n_pairs: int, nodes: DataFrame, documents: DataFrame, size: int, weighting: str, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are similar enough, by exact comparison, settled.  ``nodes``: key, node."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = settle(nodes.join(wanted, "node"), "needed")
-    texts = documents.select(text_key().alias("key"), "text").join(_small(needed, needed.count()), "key")
-    texts = settle(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    needed = nodes.join(_small(wanted, 2 * n_pairs), "node")
+    needed = F.broadcast(needed) if 2 * n_pairs <= BROADCAST_ROWS else settle(needed, "needed")
+    texts = settle(documents.select(text_key().alias("key"), "text").join(needed, "key").groupBy("node").agg(F.first("text").alias("text")), "texts")
     left = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -241,10 +241,10 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, size
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component), settled: component is the least node reachable; only nodes with an edge.
+    """(node, component): component is the least node reachable; only nodes with an edge.
 
-    The least neighbours are settled before they are joined, so that the edges of a node with very many are dealt out by
-    Spark's skew join.
+    With many edges the least neighbours are settled before they are joined, so that the edges of a node with very many
+    are dealt out by Spark's skew join.
     """
     edges = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
 
@@ -253,35 +253,39 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     before = signature(edges)
     while True:
+        held: list[DataFrame] = [edges]
+
+        def kept(df: DataFrame, many: bool = before[0] > BROADCAST_ROWS, held: list[DataFrame] = held) -> DataFrame:
+            if many:
+                held.append(settle(df, "star"))
+            return held[-1] if many else df
+
         # Large star: each node's greater neighbours are tied to the least node around it.
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = settle(around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-        large = settle(around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        least = kept(around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = kept(around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
         # Small star: the lesser neighbours and the node itself are tied to the least of them.
-        lower = settle(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
+        lower = kept(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        old, edges = edges, settle(small.union(lower.select("u", "m")).where("u <> v").distinct(), "edges")
-        discard(old, least, large, lower)
+        edges = settle(small.union(lower.select("u", "m")).where("u <> v").distinct(), "edges")
+        discard(*held)
         after = signature(edges)
         if after == before:
-            break
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
         before = after
-    found = settle(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct()), "components")
-    discard(edges)
-    return found
 
 
 def merge_components(components: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(node, component) after new links (a, b): only the components that the links tie together are worked on."""
+    """(node, component), settled, after new links (a, b): only the components that the links tie together are worked on."""
     if components is None:
-        return connected_components(links)
+        return settle(connected_components(links), "components")
     of = {c: components.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in ("a", "b")}
     ends = links.join(of["a"], "a", "left").join(of["b"], "b", "left")
     merged = connected_components(ends.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")))
     onto = merged.select(F.col("node").alias("component"), F.col("component").alias("onto"))
     moved = components.join(onto, "component", "left").select("node", F.coalesce("onto", "component").alias("component"))
     out = settle(moved.unionByName(merged.join(components, "node", "left_anti")), "components")
-    discard(components, merged)
+    discard(components)
     return out
 
 
@@ -303,37 +307,42 @@ def near_duplicate_groups(
     discard(signed)
     spread = described.select("node", F.explode("bands").alias("key"))
     shared = settle(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    members = settle(spread.join(shared, "key").join(described.select("node", "size", *MAP), "node"), "members")
+    members = settle(spread.join(_small(shared, shared.count()), "key").join(described.select("node", "size", *MAP), "node"), "members")
     discard(shared)
     links = None
     components = None
+    n_components = 0
     elected_cells = ELECTED_FIRST
     while True:
-        grouped = members if components is None else members.join(components, "node", "left")
-        grouped = settle(grouped.select("key", "node", "size", *MAP, (F.col("node") if components is None else F.coalesce("component", "node")).alias("c")), "grouped")
+        if components is None:
+            grouped = members.withColumn("c", F.col("node"))
+        else:
+            grouped = members.join(_small(components, n_components), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        # Buckets that lie in several groups.  They are settled, so that a large bucket is dealt out by the skew join.
         open_buckets = settle(grouped.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"), "open")
-        placed = settle(grouped.join(open_buckets, "key"), "placed")
-        discard(members, grouped, open_buckets)
-        if placed.isEmpty():
+        if not (n_open := open_buckets.count()):
             break
+        before, placed = members, settle(grouped.join(_small(open_buckets, n_open), "key"), "placed")
+        n_placed = placed.count()
         # A small bucket elects nearly all its members at once, a large one a few in each round.
         cells = F.when(F.col("n") <= SMALL_BUCKET, F.lit(SMALL_BUCKET**2)).otherwise(F.lit(elected_cells))
-        elected = placed.groupBy("key", F.pmod(F.xxhash64("node"), cells).alias("cell")).agg(F.min("node").alias("node")).drop("cell")
-        elected = settle(placed.join(elected, ["key", "node"], "left_semi"), "elected")
+        elected = settle(placed.groupBy("key", F.pmod(F.xxhash64("node"), cells).alias("cell")).agg(F.min("node").alias("node")).drop("cell"), "elected")
+        chosen = _small(elected, n_placed)
         parts = F.ceil(F.col("n") / PART).cast("int")
-        copies = elected.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        copies = placed.join(chosen, ["key", "node"], "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
         dealt = placed.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int"))
         met = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.c") != F.col("b.c")) & may_be_similar(similarity)
         against = copies.alias("a").join(dealt.alias("b"), met).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
         pairs = settle(against.distinct(), "pairs")
-        if not pairs.isEmpty():
-            found = similar_pairs(pairs, nodes, documents, size, weighting, similarity)
+        if n_pairs := pairs.count():
+            found = similar_pairs(pairs, n_pairs, nodes, documents, size, weighting, similarity)
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
                 components = merge_components(components, found)
+                n_components = components.count()
         # Elected members have been held against all others of their bucket.
-        members = settle(placed.drop("n", "c").join(elected.select("key", "node"), ["key", "node"], "left_anti"), "members")
-        discard(placed, elected, pairs)
+        members = settle(placed.join(chosen, ["key", "node"], "left_anti").drop("n", "c"), "members")
+        discard(before, open_buckets, placed, elected, pairs)
         elected_cells *= ELECTED_GROWTH
     if links is None:
         return numbered.withColumn("component", F.col("node")), documents.sparkSession.createDataFrame([], "a long, b long"), nodes
@@ -369,6 +378,8 @@ def keep_one(documents: DataFrame, **parameters) -> DataFrame:
     Of a component the row with the least (doc_id, text identity) stays; a null text has no component and always stays.
     Rows are told apart by id and text, never by the id alone.
     """
+    columns = documents.columns
+    documents = apart(documents, "doc_id", "text")
     grouped, _, _ = near_duplicate_groups(documents, **parameters)
     judged = group_ids(grouped).where("component IS NOT NULL").groupBy("doc_id", "key", "kept").agg(F.count("*").alias("n"))
     marked = judged.select(F.col("doc_id").alias("__id"), F.col("key").alias("__text"), "kept", "n")
@@ -377,12 +388,11 @@ def keep_one(documents: DataFrame, **parameters) -> DataFrame:
     counts = {r["kept"]: r["count"] for r in marked.groupBy("kept").count().collect()}
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text"))
     keyed = documents.withColumn("__key", text_key())
-    left = keyed.join(_small(marked.drop("kept"), sum(counts.values())), same, "left_anti")
-    if not counts.get(True):
-        return left.select(*documents.columns)
-    again = keyed.join(_small(marked.where("kept").drop("kept"), counts[True]), same, "left_semi")
-    once = again.dropDuplicates(["doc_id", "__key"])
-    return left.select(*documents.columns).unionByName(once.select(*documents.columns))
+    left = keyed.join(_small(marked.drop("kept"), sum(counts.values())), same, "left_anti").drop("__key")
+    if counts.get(True):
+        again = keyed.join(_small(marked.where("kept").drop("kept"), counts[True]), same, "left_semi")
+        left = left.unionByName(again.dropDuplicates(["doc_id", "__key"]).drop("__key"))
+    return left.toDF(*columns)
 
 
 def op4_near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:

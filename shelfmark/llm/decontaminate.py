@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import apart, settle
 
 WINDOW = 10
 #: Largest benchmark (in windows) that is sent out as literals.
@@ -178,8 +178,8 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = WINDO
         return documents
     if n_windows > max_windows:
         dirty = find_hits(documents, benchmark, n, max_windows).where("n_hit > 0").select("row_key").distinct()
-        dirty = settle(dirty.withColumnRenamed("row_key", "__row_key"), "dirty")
-        return documents.withColumn("__row_key", row_key()).join(dirty, "__row_key", "left_anti").select(*documents.columns)
+        dirty = settle(dirty, "dirty")
+        return apart(documents, "doc_id", "text").withColumn("row_key", row_key()).join(dirty, "row_key", "left_anti").drop("row_key").toDF(*documents.columns)
     per_length: dict[int, list[str]] = {}
     for row in windows.select("m", "window").distinct().collect():
         per_length.setdefault(row["m"], []).append(row["window"])
@@ -200,22 +200,23 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, ma
     lengths = sorted(r[0] for r in windows.select("m").distinct().collect())
     if not lengths:
         return documents
-    dirty = find_hits(documents, benchmark, n).where("n_hit > 0").select(F.col("row_key").alias("__row_key"), "n_words", "n_hit").distinct()
-    dirty = settle(dirty.select("__row_key", (F.col("n_hit") <= max_share * F.col("n_words")).alias("__light")), "dirty")
-    keyed = documents.withColumn("__row_key", row_key())
-    clean = keyed.join(dirty, "__row_key", "left_anti").drop("__row_key")
-    light = dirty.where("__light").select("__row_key")
-    words = keyed.join(light, "__row_key", "left_semi").select("__row_key", F.split(normalise(F.col("text")), " ").alias("words")).dropDuplicates(["__row_key"])
-    runs = reduce(DataFrame.unionByName, [words.select("__row_key", F.posexplode(_windows(F.col("words"), m)).alias("start", "window")).select("*", F.lit(m).alias("m")) for m in lengths])
+    columns = documents.columns
+    documents = apart(documents, "doc_id", "text")
+    dirty = find_hits(documents, benchmark, n).where("n_hit > 0").select("row_key", "n_words", "n_hit").distinct()
+    dirty = settle(dirty.select("row_key", (F.col("n_hit") <= max_share * F.col("n_words")).alias("light")), "dirty")
+    keyed = documents.withColumn("row_key", row_key())
+    clean = keyed.join(dirty, "row_key", "left_anti").drop("row_key")
+    words = keyed.join(dirty.where("light").select("row_key"), "row_key", "left_semi").select("row_key", F.split(normalise(F.col("text")), " ").alias("words")).dropDuplicates(["row_key"])
+    runs = reduce(DataFrame.unionByName, [words.select("row_key", F.posexplode(_windows(F.col("words"), m)).alias("start", "window")).select("*", F.lit(m).alias("m")) for m in lengths])
     spans = runs.join(windows.select("window").distinct(), "window", "left_semi")
-    at = spans.groupBy("__row_key").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("m") - 1)))).alias("__at"))
+    at = spans.groupBy("row_key").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("m") - 1)))).alias("at"))
     # The original words (case and punctuation) are the runs between separators; hit ones are dropped.
     word, separator = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     pieces = F.regexp_extract_all("text", F.lit(f"({word}++{separator}*+)"), F.lit(0))
-    cut = F.array_join(F.filter(F.transform(pieces, lambda x, i: F.when(~F.array_contains("__at", i), x)), lambda x: x.isNotNull()), "")
+    cut = F.array_join(F.filter(F.transform(pieces, lambda x, i: F.when(~F.array_contains("at", i), x)), lambda x: x.isNotNull()), "")
     before = F.regexp_extract("text", f"^{separator}*+", 0)
-    touched = keyed.join(settle(at, "at"), "__row_key").withColumn("text", F.concat(before, cut))
-    return clean.unionByName(touched.select(*documents.columns))
+    touched = keyed.join(settle(at, "at"), "row_key").withColumn("text", F.concat(before, cut))
+    return clean.unionByName(touched.select(*documents.columns)).toDF(*columns)
 
 
 def op9_decontaminate(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:

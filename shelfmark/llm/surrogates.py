@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, settle
+from .common import apart, discard, settle
 
 KEY = "shelfmark surrogate key"
 #: Kinds that a telephone number must not run into, with their patterns (Java).
@@ -229,10 +229,11 @@ def found_entities(documents: DataFrame) -> DataFrame:
 
 
 def pseudonymise(documents: DataFrame, key: str = KEY) -> DataFrame:
-    """The documents with replaced entities, and __n_entities.  Columns that begin with ``__`` are kept by other names inside."""
+    """The documents with replaced entities, and __n_entities."""
     columns = documents.columns
-    inner = [f"c{k}" if c != "text" else c for k, c in enumerate(columns)]
-    found = found_entities(documents.toDF(*inner))
+    documents = apart(documents, "text")
+    inner = documents.columns
+    found = found_entities(documents)
     dirty = found.where("__key IS NOT NULL")
     # Rows of one text have one set of occurrences.
     surfaces = settle(dirty.select("__key", "__found").dropDuplicates(["__key"]).select("__key", F.posexplode("__found").alias("pos", "surface")), "surfaces")
