@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from shelfmark.llm import chat_format, reshard, surrogates, url_automaton
@@ -73,6 +74,70 @@ def test_surrogates_stay_distinct(spark):
     assert any(same[r["value"]] != r["replacement"] for r in other)
 
 
+def kind_by_hand(surface):
+    kind = next(k for k, p in surrogates.KINDS.items() if regex.fullmatch(p, surface))
+    return None if kind == "card" and not luhn(re.sub("[^0-9]", "", surface)) else kind
+
+
+def value_by_hand(kind, surface):
+    if kind in ("card", "ssn", "phone"):
+        return re.sub("[^0-9]", "", surface)
+    if kind == "name":
+        return ("f " if regex.match(surrogates.FEMALE, surface) else "m ") + surface.split(" ", 1)[1].lower()
+    return {"iban": surface.replace(" ", ""), "email": surface.lower()}.get(kind, surface)
+
+
+def mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_surrogates_against_brute_force(spark, sf_dir):
+    """Every text: nothing but its entities changes, one entity has one replacement everywhere, none is an entity of the corpus."""
+    made = [(1_000_000, PII), (1_000_001, PII + " Herr Smith and Monsieur Smith saw Mrs. Smith. GB82 WEST 1234 5698 7654 32"), (None, PII), (None, None), (1_000_002, "Mr. Smith " * 3000), (1_000_002, "Mr. Smith " * 3000)]
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string")).distinct()
+    before = [(r["doc_id"], r["text"]) for r in table.collect()]
+    out = {}
+    for r in surrogates.op5_surrogates(spark, table).collect():
+        out.setdefault(r["doc_id"], []).append(r)
+    of, real, kinds = {}, set(), set()
+    for doc_id, text in before:
+        if text is None:
+            assert any(r["text"] is None for r in out[doc_id])
+            continue
+        found = [(m.group(), kind_by_hand(m.group())) for m in regex.finditer(surrogates.ANY_KIND, text)]
+        gaps, at = [], 0
+        for m in regex.finditer(surrogates.ANY_KIND, text):
+            gaps.append(text[at : m.start()])
+            at = m.end()
+        gaps.append(text[at:])
+        pattern = regex.escape(gaps[0], special_only=True)
+        for (surface, kind), gap in zip(found, gaps[1:], strict=True):
+            pattern += ("(.+?)" if kind else regex.escape(surface, special_only=True)) + regex.escape(gap, special_only=True)
+        entities = [(s, k) for s, k in found if k]
+        hits = [(r, m) for r in out[doc_id] if r["text"] is not None and (m := regex.fullmatch(pattern, r["text"], regex.S))]
+        assert hits and hits[0][0]["n_entities"] == len(entities), doc_id
+        for (surface, kind), new in zip(entities, hits[0][1].groups(), strict=True):
+            value, fresh = value_by_hand(kind, surface), value_by_hand(kind, new)
+            assert of.setdefault((kind, value), fresh) == fresh
+            real.add((kind, value))
+            kinds.add(kind)
+            if kind in ("card", "phone", "ssn", "iban"):
+                assert re.sub("[0-9]", "0", re.sub("[A-Z]", "A", new)) == re.sub("[0-9]", "0", re.sub("[A-Z]", "A", surface))
+            if kind == "card":
+                assert luhn(fresh)
+            if kind == "iban":
+                assert mod97(fresh) == 1 and fresh[:2] == value[:2]
+    assert len(set((k, v) for (k, _), v in of.items())) == len(of) and not real & {(k, v) for (k, _), v in of.items()}
+    assert {"email", "phone", "ip", "card", "iban", "name", "ssn", "secret"} <= kinds
+
+
+def test_a_full_format_does_not_run_out(spark):
+    """All addresses of one letter at domains of one letter."""
+    entities = spark.createDataFrame([("email", f"{a}@{b}.com") for a, b in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=2)], "kind string, value string")
+    table = surrogates.distinct_surrogates(entities).collect()
+    assert len(table) == 676 == len({r["replacement"] for r in table})
+
+
 def test_no_surrogate_is_a_name_of_the_corpus(spark):
     """The name first drawn for one entity stands in the corpus under several titles."""
     one = spark.createDataFrame([("name", "mr. smith", 0)], "kind string, value string, attempt int")
@@ -220,6 +285,59 @@ def test_rewritten_shards_hold_all_rows_once(spark, tmp_path):
     assert sorted(r["count"] for r in back.groupBy("shard").count().collect()) == [1, 2, 2, 2]
 
 
+def test_stages_keep_odd_rows_and_columns(spark, sf_dir):
+    """Nulls in any column, empty and repeated rows, an empty table, and columns named like helpers."""
+    import corpus_pipeline
+
+    helpers = ["__key", "row_key", "node", "component", "__found", "__text", "c0", "key", "kept", "hits"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in helpers)
+    good = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").first()["text"]
+    texts = [(1, good), (1, good), (None, good + " more"), (None, None), (None, None), (2, ""), (3, "Mail x@y.org now"), (None, "\n \t")]
+    odd = spark.createDataFrame([(d, t, None, None, None, *helpers) for d, t in texts], schema)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, odd.where("false"), sf_dir).count() == 0, name
+        out = stage(spark, odd, sf_dir)
+        rows = out.collect()
+        if k < 4:
+            assert out.columns == odd.columns and all(list(r)[5:] == helpers for r in rows), name
+        if name == "near_duplicates":
+            assert sorted(str(r["text"]) for r in rows) == sorted(str(t) for t in [good, None, None, "", "Mail x@y.org now", "\n \t"])
+        elif k > 1:
+            assert len(rows) == len(texts), name
+
+
+def test_pipeline_against_brute_force(spark, sf_dir):
+    import corpus_pipeline
+    import public_tokenizers
+    import sentencepiece
+
+    from shelfmark.llm import compression_quality, suffix_pieces
+
+    from .test_pairs import brute_groups
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    model = compression_quality.learn(docs, labels)
+    ids = sorted(texts)
+    good = [d for d, s in zip(ids, model.scores([texts[d] for d in ids]), strict=True) if s >= 0.5]
+    firsts = sorted({g for _, g in brute_groups([(d, texts[d]) for d in good])})
+
+    def words(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+
+    def runs(w, n):
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    items = [words(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    banned = {(min(10, len(w)), x) for w in items if w for x in runs(w, min(10, len(w)))}
+    lengths = {n for n, _ in banned}
+    clean = [d for d in firsts if not any((n, x) in banned for n in lengths for x in runs(words(texts[d]), n))]
+    changed = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(docs.where(F.col("doc_id").isin(clean))).collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(suffix_pieces.MODEL))
+    got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert 0 < len(clean) < len(firsts) < len(good) < len(ids) and got == {d: sp.encode(changed[d]) for d in clean}
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
