@@ -54,6 +54,11 @@ def sort_keys(sort: str, order: str = "asc") -> list[Column]:
     return [expr.desc() if down else expr.asc(), F.col("id")]
 
 
+def manual_order(members: DataFrame, set_id: int) -> DataFrame:
+    """A set's members by their manual position, those without one last."""
+    return members.where(F.col("set_id") == set_id).orderBy(F.asc_nulls_last("position"), "checksum")
+
+
 def unorganised_first(scored: DataFrame, organised: DataFrame) -> DataFrame:
     """Adds ``organised`` (0 before 1): rows that are in no set come first, each part by score."""
     flags = organised.select("id").distinct().withColumn("organised", F.lit(1))

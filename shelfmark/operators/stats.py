@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -55,3 +56,21 @@ def frame_times(frames: DataFrame) -> DataFrame:
 
     before = W.partitionBy("file_id").orderBy("frame_index").rowsBetween(W.unboundedPreceding, -1)
     return frames.withColumn("time_ms", F.coalesce(F.sum("duration").over(before), F.lit(0)).cast("long"))
+
+
+def counts_per_hour(events: DataFrame, ts: str = "ts", kind: str = "event_type") -> DataFrame:
+    """(start, kind, n): events of each kind in each hour."""
+    return events.groupBy(F.date_trunc("hour", ts).alias("start"), kind).agg(F.count("*").alias("n"))
+
+
+def top_of_each(events: DataFrame, kind: str, who: str, k: int) -> DataFrame:
+    """(kind, who, n): the k most frequent of each kind; each task gives k rows of a kind at most."""
+    counted = events.groupBy(kind, who).agg(F.count("*").alias("n"))
+    ranked = counted.withColumn("__r", F.row_number().over(W.partitionBy(kind).orderBy(F.desc("n"), who)))
+    return ranked.where(F.col("__r") <= k).drop("__r")
+
+
+def rollup_counts(rows: DataFrame, key: str, places: DataFrame, levels: list[str]) -> DataFrame:
+    """Counts per place and, by rollup of the levels, above; rows are counted per key before they meet the places."""
+    counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__k"))
+    return counted.join(places, key).rollup(*levels).agg(F.sum("__k").alias("n"))

@@ -101,7 +101,7 @@ def page_by_size(t: Library) -> DataFrame:
 
 @query("SELECT id, view_count FROM files WHERE NOT hidden ORDER BY view_count, id LIMIT 50", "files")
 def least_viewed(t: Library) -> DataFrame:
-    return catalog.visible(t.files).select("id", "view_count").orderBy("view_count", "id").limit(50)
+    return catalog.page(catalog.visible(t.files).select("id", "view_count"), [F.asc("view_count"), F.asc("id")], 50)
 
 
 @query(
@@ -284,7 +284,7 @@ def cards(t: Library) -> DataFrame:
 
 @query("SELECT set_id, checksum, position FROM members WHERE set_id = 7 ORDER BY position NULLS LAST, checksum", "members")
 def manual_order(t: Library) -> DataFrame:
-    return t.members.where("set_id = 7").orderBy(F.asc_nulls_last("position"), "checksum")
+    return search.manual_order(t.members, 7)
 
 
 @query("SELECT id, size FROM files WHERE NOT EXISTS (SELECT 1 FROM tags t WHERE t.checksum = files.checksum AND t.polarity = 'positive') ORDER BY size DESC, id LIMIT 8", "files", "tags")
@@ -685,21 +685,15 @@ def confirm_above_threshold(t: Library) -> DataFrame:
 
 @query("WITH a AS (SELECT * FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) <= 3) SELECT event_type, user_id, n FROM a")
 def top_per_type(t: Library) -> DataFrame:
-    """Top three of each type: one aggregation, then a window per type that keeps only ranks."""
-    from pyspark.sql import Window as W
-
-    counted = t.raw("events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
-    ranked = counted.withColumn("r", F.row_number().over(W.partitionBy("event_type").orderBy(F.desc("n"), "user_id")))
-    return ranked.where("r <= 3").drop("r")
+    return stats.top_of_each(t.raw("events"), "event_type", "user_id", 3)
 
 
 @query("SELECT r_name, n_name, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ROLLUP (r_name, n_name)")
 def place_rollup(t: Library) -> DataFrame:
-    nations = t.raw("nation").join(F.broadcast(t.raw("region")), F.col("n_regionkey") == F.col("r_regionkey"))  # five rows
-    per_nation = t.raw("customer").groupBy("c_nationkey").agg(F.count("*").alias("k"))
-    return per_nation.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).rollup("r_name", "n_name").agg(F.sum("k").alias("n"))
+    nations = t.raw("nation").join(t.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumnRenamed("n_nationkey", "c_nationkey")
+    return stats.rollup_counts(t.raw("customer"), "c_nationkey", nations, ["r_name", "n_name"])
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def hourly_events(t: Library) -> DataFrame:
-    return t.raw("events").groupBy(F.date_trunc("hour", "ts").alias("start"), "event_type").agg(F.count("*").alias("n"))
+    return stats.counts_per_hour(t.raw("events"))

@@ -17,6 +17,10 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+def rows_any(df):
+    return [str(tuple(r)) for r in df.collect()]
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
@@ -311,11 +315,19 @@ def test_streamed_upserts(spark, tmp_path):
     from shelfmark.streaming import ingest
 
     source = str(tmp_path / "in")
-    spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], "id long, v string, at long").coalesce(1).write.parquet(source)
-    stream = ingest.stream_listing(spark, source, "id long, v string, at long")
-    q = ingest.upsert_stream(stream, str(tmp_path / "t"), ["id"], "at", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "t" / "v=0"))) == [(1, "b", 2), (2, "c", 1)]
+    table = str(tmp_path / "t")
+
+    def feed(data):
+        spark.createDataFrame(data, "id long, v string, at long").coalesce(1).write.mode("append").parquet(source)
+        stream = ingest.stream_listing(spark, source, "id long, v string, at long")
+        ingest.upsert_stream(stream, table, ["id"], "at", str(tmp_path / "cp"), buckets=8).trigger(availableNow=True).start().awaitTermination()
+
+    feed([(1, "a", 1), (1, "b", 2), (2, "c", 1)])
+    assert rows(ingest.read_upserted(spark, table, 0)) == [(1, "b", 2), (2, "c", 1)]
+    feed([(2, "d", 5), (3, "e", 1), (None, "f", 1)])
+    assert sorted(rows_any(ingest.read_upserted(spark, table, 1))) == sorted([str((1, "b", 2)), str((2, "d", 5)), str((3, "e", 1)), str((None, "f", 1))])
+    written = {r["bucket"] for r in spark.read.parquet(f"{table}/data/v=1").select("bucket").distinct().collect()}
+    assert len(written) <= 3  # only the buckets of the new keys
 
 
 def test_block_joins_equal_one_block(spark, sf_dir, monkeypatch):
