@@ -243,8 +243,8 @@ def similar_pairs(pairs: DataFrame, n_pairs: int, nodes: DataFrame, documents: D
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the least node reachable; only nodes with an edge.
 
-    With many edges the least neighbours are settled before they are joined, so that the edges of a node with very many
-    are dealt out by Spark's skew join.
+    The least neighbours of all nodes are broadcast while the edges are few, else settled before they are joined, so that
+    the edges of a node with very many do not meet in one task.
     """
     edges = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
 
@@ -255,15 +255,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         held: list[DataFrame] = [edges]
 
-        def kept(df: DataFrame, many: bool = before[0] > BROADCAST_ROWS, held: list[DataFrame] = held) -> DataFrame:
+        def kept(df: DataFrame, many: bool = 2 * before[0] > BROADCAST_ROWS, held: list[DataFrame] = held) -> DataFrame:
             if many:
                 held.append(settle(df, "star"))
-            return held[-1] if many else df
+            return held[-1] if many else F.broadcast(df)
 
         # Large star: each node's greater neighbours are tied to the least node around it.
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = kept(around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = kept(around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
+        large = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # Small star: the lesser neighbours and the node itself are tied to the least of them.
         lower = kept(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -1,6 +1,7 @@
 """Near-duplicates and decontamination against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -17,7 +18,12 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute_groups(rows):
+def shingle_counts(text):
+    w = "".join(c.lower() if c < "\x7f" else c for c in text).split()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def brute_groups(rows, weighted=False):
     parent = list(range(len(rows)))
 
     def find(x):
@@ -26,6 +32,8 @@ def brute_groups(rows):
         return x
 
     sets = [shingle_set(t) if t is not None else None for _, t in rows]
+    if weighted:  # the k-th occurrence of a shingle is an element of its own
+        sets = [{(x, k) for x, n in shingle_counts(t).items() for k in range(n)} if t is not None else None for _, t in rows]
     for i in range(len(rows)):
         for j in range(i):
             a, b = sets[i], sets[j]
@@ -62,6 +70,32 @@ def test_groups_equal_brute_force(spark):
     assert got == brute_groups(rows)
 
 
+def test_weighted_groups_equal_brute_force(spark):
+    """Texts that repeat a part differently often: their counts differ though their sets hardly do."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    rows = []
+    for _ in range(12):
+        head, part = [word() for _ in range(40)], [word() for _ in range(12)]
+        rows += [" ".join(head + part * n) for n in (1, 2, 3, 8, 9)]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame([(d, t, "s", "n", "w") for d, t in rows], DOCS).repartition(5)
+    for weighting in ("set", "count"):
+        grouped, _, _ = dart_minhash.near_duplicate_groups(docs, weighting=weighting)
+        got = sorted((r["doc_id"], r["group_id"]) for r in dart_minhash.group_ids(grouped).collect())
+        assert got == brute_groups(rows, weighted=weighting == "count")
+    assert brute_groups(rows, weighted=True) != brute_groups(rows)
+
+
+def test_large_buckets_are_dealt_out(spark, monkeypatch):
+    """Parts of two members and shuffles instead of broadcasts give the same groups."""
+    monkeypatch.setattr(dart_minhash, "PART", 2)
+    monkeypatch.setattr(dart_minhash, "BROADCAST_ROWS", 3)
+    rows = made_documents()
+    docs = spark.createDataFrame([(d, t, "s", "n", "w") for d, t in rows], DOCS).repartition(5)
+    assert sorted((r["doc_id"], r["group_id"]) for r in dart_minhash.op4_near_duplicates(spark, docs).collect()) == brute_groups(rows)
+
+
 def test_groups_of_the_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
