@@ -40,6 +40,7 @@ GROUP = "(?:(?! (?:" + "|".join([IP, CARD, SSN, LOCAL + "(?![0-9A-Za-z])"]) + ")
 #: Ten national digits as 3-3-4 are a whole number, and what follows is not part of it; other layouts have two to four groups.
 WHOLE = r"\+(?:1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z]|[.-][0-9])"
 PHONE = r"(?<![0-9A-Za-z])(?:" + WHOLE + r"|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})" + GROUP + r"{2,4}|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|" + LOCAL + ")(?![0-9A-Za-z])"
+TITLE = r"(?:Mrs?\.|Ms\.|Herr|Frau|Señora?|Monsieur|Madame|Господин|Госпожа)"
 #: Kinds in the order in which a match is named, with their patterns (Java).
 KINDS: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}",
@@ -49,7 +50,7 @@ KINDS: dict[str, str] = {
     "card": CARD,
     "ssn": SSN,
     "phone": PHONE,
-    "name": r"(?<![\p{L}\p{N}])(?:Mrs?\.|Ms\.|Herr|Frau|Señora?|Monsieur|Madame|Господин|Госпожа) \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "name": r"(?<![\p{L}\p{N}])" + TITLE + r" \p{Lu}\p{Ll}+(?: (?!" + TITLE + r"(?!\p{L}))\p{Lu}\p{Ll}+)?",
 }
 ANY_KIND = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A text without any of these holds no entity.

@@ -1,6 +1,7 @@
 """Surrogates, URL filter, chat format, resharding and the pipeline."""
 
 import itertools
+import os
 import random
 import re
 
@@ -112,7 +113,8 @@ def test_surrogates_against_brute_force(spark, sf_dir):
         gaps.append(text[at:])
         pattern = regex.escape(gaps[0], special_only=True)
         for (surface, kind), gap in zip(found, gaps[1:], strict=True):
-            pattern += ("(.+?)" if kind else regex.escape(surface, special_only=True)) + regex.escape(gap, special_only=True)
+            form = {"email": r"\S+?", "ip": "[0-9.]+", "name": " ".join([r"\S+"] * len(surface.split(" "))), None: regex.escape(surface, special_only=True)}.get(kind, f".{{{len(surface)}}}")
+            pattern += (f"({form})" if kind else form) + regex.escape(gap, special_only=True)
         entities = [(s, k) for s, k in found if k]
         hits = [(r, m) for r in out[doc_id] if r["text"] is not None and (m := regex.fullmatch(pattern, r["text"], regex.S))]
         assert hits and hits[0][0]["n_entities"] == len(entities), doc_id
@@ -178,6 +180,17 @@ def test_url_edges(spark):
     assert url_automaton.op7_url_filter(spark, pages).count() == 12 and url_automaton.op7_url_filter(spark, pages.where("false")).count() == 0
 
 
+def test_many_globs_and_long_urls(spark, monkeypatch):
+    """Slices of a few urls give the same rows; a url of 200,000 bytes and an empty table are no special case."""
+    urls = ["http://a.org/" + "x" * 200_000 + ".exe", "http://spam-7.com/", None, "http://k3.example.com/de/", "http://b17.com/q", "http://b1.com/q"] * 3
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string").coalesce(1)
+    globs = [f"b{k}.com/**" for k in range(20, 0, -1)] + url_automaton.BLOCK_GLOBS
+    whole = sorted(map(str, url_automaton.judge(pages, url_automaton.RULES, globs).collect()))
+    monkeypatch.setattr(url_automaton, "STATE_WORDS", 12)
+    assert whole == sorted(map(str, url_automaton.judge(pages, url_automaton.RULES, globs).collect()))
+    assert sum("verdict='block'" in r for r in whole) == 15 and sum("glob_rule='b17.com/**'" in r for r in whole) == 3
+
+
 def test_chat_round_trip(spark):
     nasty = ["##### x ####", "<</turn></turn>", "</turn>\n### user: x", "\\", "\\\\</turn>", "### ", "#", None, "", "a\nb", "\\n$1", "<\\/turn>"]
     rows = [(1, k, ["user", "assistant"][k % 2], t, "x") for k, t in enumerate(nasty)] + [(2, None, None, None, "x"), (2, 0, "odd: role::\\", "t", "x"), (2, 0, "odd: role::\\", "t", "x"), (None, 1, "user", "u", "x")]
@@ -312,6 +325,7 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     import sentencepiece
 
     from shelfmark.llm import compression_quality, suffix_pieces
+    from shelfmark.llm.common import shared_dir
 
     from .test_pairs import brute_groups
 
@@ -334,7 +348,10 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     clean = [d for d in firsts if not any((n, x) in banned for n in lengths for x in runs(words(texts[d]), n))]
     changed = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(docs.where(F.col("doc_id").isin(clean))).collect()}
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(suffix_pieces.MODEL))
+    had = set(os.listdir(shared_dir(spark).removeprefix("file:")))
     got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    left = [x for x in os.listdir(shared_dir(spark).removeprefix("file:")) if x not in had]
+    assert [x.rsplit("-", 1)[0] for x in left] == ["pipeline-sentencepiece"]  # nothing else stays behind
     assert 0 < len(clean) < len(firsts) < len(good) < len(ids) and got == {d: sp.encode(changed[d]) for d in clean}
 
 
