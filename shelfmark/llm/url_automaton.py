@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ANY, NO_SLASH = "any", "no_slash"
+#: Words of 64 bits that the states of the urls advancing together may take.
+STATE_WORDS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -131,7 +133,8 @@ def judge(urls: DataFrame, rules: list[Rule], block_globs: list[str], key: str =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = ShiftAnd([g for r in rules for g in r.globs()] + block_globs)
         by_length = sorted(range(len(rules)), key=lambda k: -len(names[k]))
-        for pdf in batches:
+        step = max(1, STATE_WORDS // max(automaton.words, len(automaton.globs) // 8))
+        for pdf in (batch.iloc[k : k + step] for batch in batches for k in range(0, len(batch), step)):
             hits = automaton.match([(h + p).encode() for h, p in zip(pdf["host"], pdf["path"], strict=True)])
             rule = np.full(len(pdf), None, object)
             verdict = np.full(len(pdf), "allow", object)
