@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_workspace: ContextVar[list[DataFrame] | None] = ContextVar("workspace", default=None)
+
+
+@contextmanager
+def workspace() -> Iterator[None]:
+    """Tables settled inside are removed at its end, when the result that was made of them has been written."""
+    held: list[DataFrame] = []
+    token = _workspace.set(held)
+    try:
+        yield
+    finally:
+        _workspace.reset(token)
+        discard(*held)
+
+
 def settle(df: DataFrame, label: str = "step") -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as parquet and read it back.
 
@@ -47,17 +64,22 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
+    if (held := _workspace.get()) is not None:
+        held.append(out)
     return out
 
 
+def remove(spark: SparkSession, at: str) -> None:
+    """Delete a folder of any file system that Spark writes to."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Remove the files of settled tables that no plan reads any more."""
     for df in tables:
-        at = getattr(df, "_settled_at", None)
-        if at:
-            sc = df.sparkSession.sparkContext
-            path = sc._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        if at := getattr(df, "_settled_at", None):
+            remove(df.sparkSession, at)
 
 
 def apart(documents: DataFrame, *needed: str) -> DataFrame:
