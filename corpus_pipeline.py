@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import shared_dir, table
+from shelfmark.llm.common import remove, shared_dir, table, workspace
 from shelfmark.llm.compression_quality import keep_good, learn
 from shelfmark.llm.dart_minhash import keep_one
 from shelfmark.llm.decontaminate import drop_contaminated
@@ -58,9 +58,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    where = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{where}/{k}-{name}")
-        docs = spark.read.parquet(f"{where}/{k}-{name}")
+    """All stages; of what they write to the shared folder only the last result stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        with workspace():
+            out = stage(spark, docs, sf_dir)
+            target = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+            out.write.parquet(target)
+        docs = spark.read.parquet(target)
+        if before:
+            remove(spark, before)
+        before = target
     return docs
