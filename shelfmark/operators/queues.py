@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import MIN_TILE_PX, tiles
+from .curation import replace_group
+
 
 def unprocessed(files: DataFrame, done: DataFrame, where: Column | None = None, key: str = "file_id") -> DataFrame:
     """Files without a row in ``done`` (rows of the primary frame when the table has frames)."""
@@ -34,6 +37,30 @@ def run_model(queue: DataFrame, model, schema: str) -> DataFrame:
     return queue.mapInPandas(model, schema)
 
 
+def stage_queue(files: DataFrame, markers: DataFrame, stage: str, where: Column | None = None) -> DataFrame:
+    """Files that a stage has not seen yet, by the marker table."""
+    return unprocessed(files, markers.where(F.col("stage") == stage), where)
+
+
+def take_outcomes(table: DataFrame, markers: DataFrame, outcomes: DataFrame, stage: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(table, markers, failures) after a stage: rows of its files are replaced, files with no result count as done, failed ones do not.
+
+    ``outcomes`` are the written results of ``run_model``: the table's columns, file_id and error; a row with a null in
+    the first column besides file_id says that nothing was found.
+    """
+    failed = outcomes.where("error IS NOT NULL").select("file_id", "error").distinct()
+    done = outcomes.where("error IS NULL")
+    first = next(c for c in table.columns if c != "file_id")
+    found = done.where(F.col(first).isNotNull()).select(*table.columns)
+    return replace_group(table, found, ["file_id"], done.select("file_id")), mark_processed(markers, done, stage), failed
+
+
+def tile_queue(images: DataFrame, min_px: int = MIN_TILE_PX) -> DataFrame:
+    """(file_id, tile_index, box) of the tiles of sized images, in order, as a model takes them."""
+    boxes = tiles(F.col("width"), F.col("height"), min_px)
+    return images.select("file_id", F.posexplode(boxes).alias("tile_index", "box"))
+
+
 def embedding_stats(embeddings: DataFrame) -> DataFrame:
     """(n_rows, dim, n_bytes): dim of the first usable vector size, bytes at four per value."""
     sizes = embeddings.select(F.size("embedding").alias("dim")).where("dim > 0")

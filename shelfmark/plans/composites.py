@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -437,6 +440,69 @@ def duplicate_lines(t: Library) -> DataFrame:
     return sinks.duplicate_lines(rows, "id").select("id", F.translate("value", "\t", " ").alias("line"))
 
 
+@query(
+    """WITH b AS (SELECT l_orderkey, l_linenumber % 3 AS c, l_linenumber * 2 AS x1, l_linenumber AS y1, l_linenumber * 2 + 10 AS x2, l_linenumber + 5 AS y2 FROM lineitem WHERE l_orderkey % 4 = 0),
+l AS (SELECT l_orderkey, printf('%d %.6f %.6f %.6f %.6f', c, (x1 + x2) / 2::DOUBLE / 630, (y1 + y2) / 2::DOUBLE / 470, (x2 - x1) / 630::DOUBLE, (y2 - y1) / 470::DOUBLE) AS line FROM b)
+SELECT l_orderkey AS checksum, string_agg(line, chr(10) ORDER BY line) AS labels FROM l GROUP BY 1"""
+)
+def detection_labels(t: Library) -> DataFrame:
+    """Label files of a detector's data set, before they are written."""
+    n = F.col("l_linenumber").cast("double")
+    box = F.struct((n * 2).alias("x1"), n.alias("y1"), (n * 2 + 10).alias("x2"), (n + 5).alias("y2"))
+    boxes = t.raw("lineitem").where("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("checksum"), (F.col("l_linenumber") % 3).alias("class_id"), box.alias("box"), F.lit(630).alias("width"), F.lit(470).alias("height"))
+    return sinks.detection_labels(boxes)
+
+
+# Model stages
+
+
+def _word_model(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stands for a detector: one row per kind of mark in a text, an error for some files, nothing for others."""
+    for pdf in batches:
+        rows = []
+        for file_id, text in zip(pdf["id"], pdf["text"], strict=True):
+            if file_id % 50 == 7:
+                rows.append((file_id, None, None, "unreadable"))
+                continue
+            found = [(c, text.count(c)) for c in "!|#" if c in text]
+            rows += [(file_id, c, n / len(text), None) for c, n in found] or [(file_id, None, None, None)]
+        yield pd.DataFrame(rows, columns=["file_id", "class_name", "confidence", "error"])
+
+
+STAGE = """d AS (SELECT doc_id AS file_id, text, doc_id % 3 = 0 AS seen FROM documents), marks AS (SELECT * FROM (VALUES ('!'), ('|'), ('#')) AS m(c)),
+found AS (SELECT file_id, c AS class_name, (length(text) - length(replace(text, c, ''))) / length(text)::DOUBLE AS confidence FROM d, marks WHERE NOT seen AND file_id % 50 <> 7 AND contains(text, c))"""
+
+
+@query(
+    f"""WITH {STAGE} SELECT 'table' AS part, file_id, class_name AS what, round(confidence, 9) AS confidence FROM found
+UNION ALL SELECT 'table', file_id, 'old', 1.0 FROM d WHERE seen OR file_id % 50 = 7
+UNION ALL SELECT 'done', file_id, 'detect', NULL FROM d WHERE seen OR file_id % 50 <> 7 UNION ALL SELECT 'failed', file_id, 'unreadable', NULL FROM d WHERE NOT seen AND file_id % 50 = 7"""
+)
+def index_stage(t: Library) -> DataFrame:
+    """A whole stage: what is open, a model over it, results in place of the old rows, markers and failures."""
+    files = t.raw("documents").select(F.col("doc_id").alias("id"), "text")
+    seen = files.where("id % 3 = 0").select(F.col("id").alias("file_id"), F.lit("detect").alias("stage"))
+    other = files.select(F.col("id").alias("file_id"), F.lit("embed").alias("stage"))
+    markers = seen.unionByName(other)
+    table = files.select(F.col("id").alias("file_id"), F.lit("old").alias("class_name"), F.lit(1.0).alias("confidence"))
+    queue = queues.stage_queue(files, markers, "detect")
+    outcomes = queues.run_model(queue, _word_model, "file_id long, class_name string, confidence double, error string")
+    rows, done, failed = queues.take_outcomes(table, markers, outcomes, "detect")
+    parts = [
+        rows.select(F.lit("table").alias("part"), "file_id", F.col("class_name").alias("what"), F.round("confidence", 9).alias("confidence")),
+        done.where("stage = 'detect'").select(F.lit("done").alias("part"), "file_id", F.col("stage").alias("what"), F.lit(None).cast("double").alias("confidence")),
+        failed.select(F.lit("failed").alias("part"), "file_id", F.col("error").alias("what"), F.lit(None).cast("double").alias("confidence")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT p_partkey AS file_id, count(*) AS n, min(tile_index) AS least FROM (SELECT p_partkey, unnest(generate_series(0, 13)) AS tile_index FROM part WHERE p_size >= 10) GROUP BY 1")
+def tile_queue(t: Library) -> DataFrame:
+    """Tiles of large images, as they go to a model: one whole, four of a grid of two, nine of a grid of three."""
+    images = t.raw("part").where("p_size >= 10").select(F.col("p_partkey").alias("file_id"), (F.col("p_size") * 12 + 3).alias("width"), (F.col("p_size") * 8 + 5).alias("height"))
+    return queues.tile_queue(images).groupBy("file_id").agg(F.count("*").alias("n"), F.min("tile_index").alias("least"))
+
+
 @query("SELECT doc_id AS path, 'no ' || quality AS message FROM labels WHERE toxic = 0 ORDER BY doc_id % 17 DESC, doc_id LIMIT 50")
 def list_errors(t: Library) -> DataFrame:
     log = t.raw("labels").select(F.col("doc_id").alias("path"), F.concat(F.lit("no "), F.col("quality").cast("string")).alias("message"), (F.col("doc_id") % 17).alias("created_at"), (F.col("toxic") == 1).alias("read"))

@@ -30,12 +30,16 @@ def duplicate_report(classified: DataFrame, path: str) -> None:
     duplicate_lines(classified).write.mode("append").text(path)
 
 
+def detection_labels(boxes: DataFrame) -> DataFrame:
+    """(checksum, labels): the label file text of each image, one line per box, sorted."""
+    lines = boxes.select("checksum", yolo_line(F.col("class_id"), F.col("box"), F.col("width"), F.col("height")).alias("line"))
+    return lines.groupBy("checksum").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("labels"))
+
+
 def detection_dataset(boxes: DataFrame, path: str, validation_share: float = 0.2) -> None:
-    """One label file text per image under split=train|val; an image is in one split, by the hash of its checksum."""
-    lines = boxes.withColumn("line", yolo_line(F.col("class_id"), F.col("box"), F.col("width"), F.col("height")))
-    images = lines.groupBy("checksum").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("labels"))
+    """The label files under split=train|val; an image is in one split, by the hash of its checksum."""
     split = F.when(F.pmod(F.xxhash64("checksum"), F.lit(1000)) < int(1000 * validation_share), "val").otherwise("train")
-    images.withColumn("split", split).write.mode("overwrite").partitionBy("split").json(path)
+    detection_labels(boxes).withColumn("split", split).write.mode("overwrite").partitionBy("split").json(path)
 
 
 def log_errors(errors: DataFrame, path: str) -> None:
