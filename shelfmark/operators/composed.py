@@ -140,6 +140,45 @@ def person_photos(instances: DataFrame, files: DataFrame, ages: DataFrame, sort:
     return rows.orderBy(*keys, F.asc_nulls_last("face_id")).offset(offset).limit(limit).select("face_id", "id", "path", "age")
 
 
+def person_page(instances: DataFrame, tags: DataFrame, members: DataFrame, linked: DataFrame) -> DataFrame:
+    """(kind, value, n): how often each tag stands on a person's photos, and the sets linked to the person or holding such a photo.
+
+    ``instances``: checksum; ``tags``: checksum, label; ``members``: checksum, set_id; ``linked``: set_id.
+    """
+    photos = instances.select("checksum").distinct()
+    counted = tags.select("checksum", "label").distinct().join(photos, "checksum", "left_semi").groupBy("label").agg(F.count("*").alias("n"))
+    holding = members.join(photos, "checksum", "left_semi").select("set_id").union(linked.select("set_id")).distinct()
+    sets = holding.select(F.lit("set").alias("kind"), F.col("set_id").cast("string").alias("value"), F.lit(None).cast("long").alias("n"))
+    return counted.select(F.lit("tag").alias("kind"), F.col("label").alias("value"), "n").unionByName(sets)
+
+
+def gallery_page(files: DataFrame, favourites: DataFrame, touched: Sequence[DataFrame], seed: int = 0, top: int = 60, few: int = 6) -> DataFrame:
+    """(section, place, checksum): most favoured files, least viewed ones that nobody has touched, and random ones.
+
+    ``favourites``: checksum, count; ``touched``: frames of checksums that have a name, a set, a tag or a category.
+    """
+    loved = favourites.where("count > 0").join(files.select("checksum", "id"), "checksum").withColumn("section", F.lit("favorites"))
+    open_ = reduce(lambda df, gone: df.join(gone.select("checksum").distinct(), "checksum", "left_anti"), touched, files)
+    parts = [
+        _placed(loved, [F.desc("count"), F.col("checksum")], top),
+        _placed(open_.withColumn("section", F.lit("needs_attention")), [F.asc("view_count"), F.col("id")], few),
+        _placed(files.withColumn("section", F.lit("random")), [F.xxhash64(F.lit(seed), F.col("id")), F.col("id")], few),
+    ]
+    return reduce(DataFrame.unionByName, [p.select("section", "place", "checksum") for p in parts])
+
+
+def probe_examples(embeddings: DataFrame, decisions: DataFrame, regions: DataFrame) -> DataFrame:
+    """(id, embedding, label) that a probe learns from: files with a decision and a vector, and decided regions by their own vectors.
+
+    ``embeddings``: id, checksum, embedding; ``decisions``: checksum, polarity (one per file); ``regions``: id, embedding
+    (null where a crop could not be read; such regions are skipped), polarity.
+    """
+    label = (F.col("polarity") == "positive").cast("int").alias("label")
+    whole = embeddings.join(decisions, "checksum").select(F.concat(F.lit("file:"), F.col("id").cast("string")).alias("id"), "embedding", label)
+    parts = regions.where("embedding IS NOT NULL").select(F.concat(F.lit("region:"), F.col("id").cast("string")).alias("id"), "embedding", label)
+    return whole.unionByName(parts)
+
+
 def set_detail(members: DataFrame, files: DataFrame, sort: str = "position", order: str = "asc") -> DataFrame:
     """A set's files in manual or any other order.  ``members``: checksum, position."""
     return files.join(members.select("checksum", "position"), "checksum").orderBy(*search.sort_keys(sort, order))

@@ -249,6 +249,50 @@ def person_photos(t: Library) -> DataFrame:
     return composed.person_photos(instances, _gallery(t).drop("age"), ages, "age", "desc", 5, 20)
 
 
+@query(
+    """WITH ph AS (SELECT DISTINCT checksum FROM faces WHERE identity = 'person 1' AND checksum IS NOT NULL)
+SELECT 'tag' AS kind, label AS value, count(DISTINCT checksum) AS n FROM tags WHERE polarity = 'positive' AND checksum IN (SELECT checksum FROM ph) GROUP BY 2
+UNION ALL SELECT 'set', v, NULL FROM (SELECT source AS v FROM documents WHERE md5(text) IN (SELECT checksum FROM ph) UNION SELECT 'linked ' || n_nationkey FROM nation WHERE n_nationkey < 3)""",
+    "faces",
+    "tags",
+)
+def person_page(t: Library) -> DataFrame:
+    instances = t.faces.where("identity = 'person 1' AND checksum IS NOT NULL")
+    members = t.raw("documents").select(F.md5(F.col("text").cast("binary")).alias("checksum"), F.col("source").alias("set_id"))
+    linked = t.raw("nation").where("n_nationkey < 3").select(F.concat(F.lit("linked "), F.col("n_nationkey").cast("string")).alias("set_id"))
+    return composed.person_page(instances, t.tags.where("polarity = 'positive'"), members, linked)
+
+
+@query(
+    """WITH fav AS (SELECT l.checksum, count(*) AS n FROM events e JOIN listing l ON l.id = e.user_id WHERE event_type = 'purchase' GROUP BY 1)
+(SELECT 'favorites' AS section, row_number() OVER (ORDER BY n DESC, checksum) - 1 AS place, checksum FROM fav WHERE checksum IN (SELECT checksum FROM files) QUALIFY place < 60)
+UNION ALL (SELECT 'needs_attention', row_number() OVER (ORDER BY view_count, id) - 1 AS place, checksum FROM files WHERE checksum NOT IN (SELECT checksum FROM tags WHERE polarity = 'positive') AND checksum NOT IN (SELECT checksum FROM faces WHERE identity IS NOT NULL AND checksum IS NOT NULL) QUALIFY place < 6)""",
+    "files",
+    "tags",
+    "faces",
+)
+def gallery_page(t: Library) -> DataFrame:
+    """Without the random part, which no SQL repeats; its rows are drawn by a seeded hash."""
+    sums = t.listing.select(F.col("id").alias("user_id"), "checksum")
+    favourites = t.raw("events").where("event_type = 'purchase'").join(sums, "user_id").groupBy("checksum").agg(F.count("*").alias("count"))
+    touched = [t.tags.where("polarity = 'positive'"), t.faces.where("identity IS NOT NULL AND checksum IS NOT NULL")]
+    return composed.gallery_page(t.files, favourites, touched).where("section <> 'random'")
+
+
+@query(
+    """WITH p AS (SELECT checksum, arg_max(polarity, id) AS polarity FROM tags WHERE label = 'quality' GROUP BY 1)
+SELECT 'file:' || f.id AS id, CASE WHEN polarity = 'positive' THEN 1 ELSE 0 END AS label, round(f.e[1], 6) AS first FROM faces f JOIN p USING (checksum)
+UNION ALL SELECT 'region:' || id, CASE WHEN label = 1 THEN 1 ELSE 0 END, round(e[1], 6) FROM vectors WHERE id % 5 = 0 AND id % 10 <> 0""",
+    "tags",
+    "faces",
+)
+def probe_examples(t: Library) -> DataFrame:
+    """Whole files by their last decision, regions by their own vectors; regions without one are skipped."""
+    regions = t.vectors.where("id % 5 = 0").select("id", F.when(F.col("id") % 10 != 0, F.col("embedding")).alias("embedding"), F.when(F.col("label") == 1, "positive").otherwise("negative").alias("polarity"))
+    out = composed.probe_examples(t.faces.select("id", "checksum", "embedding"), lookups.last_polarity(t.tags, "quality"), regions)
+    return out.select("id", "label", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+
+
 @query(f"WITH {GALLERY} SELECT id, CASE WHEN id % 3 = 0 THEN id * 7 % 101 END AS position FROM gallery WHERE starts_with(path, 'src3/')", "files")
 def set_detail(t: Library) -> DataFrame:
     files = _gallery(t).drop("position")
