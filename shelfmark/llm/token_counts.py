@@ -134,6 +134,8 @@ def cut_starts(points: np.ndarray, classes: np.ndarray, text_starts: np.ndarray)
     return np.flatnonzero(start)
 
 
+#: Powers that a process keeps; longer texts work out their own.
+KEPT_POWERS = 1 << 20
 _powers = np.ones(1, np.uint64)
 
 
@@ -142,14 +144,16 @@ def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     global _powers
     n = len(points)
     base, inverse = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-    if len(_powers) < n + 1:
-        _powers = np.ones(n + 1, np.uint64)
-        np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, base))), out=_powers)
+    powers = _powers
+    if len(powers) < n + 1:
+        powers = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, base))))
+        if n <= KEPT_POWERS:
+            _powers = powers
     down = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, inverse))))
     scrambled = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     scrambled ^= scrambled >> np.uint64(32)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(scrambled * _powers[:n], out=total[1:])
+    np.cumsum(scrambled * powers[:n], out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
     h ^= (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
     h ^= h >> np.uint64(29)
