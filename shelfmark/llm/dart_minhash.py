@@ -218,12 +218,24 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def similar_pairs(pairs: DataFrame, n_pairs: int, nodes: DataFrame, documents: DataFrame, size: int, weighting: str, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar enough, by exact comparison, settled.  ``nodes``: key, node."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = nodes.join(_small(wanted, 2 * n_pairs), "node")
-    needed = F.broadcast(needed) if 2 * n_pairs <= BROADCAST_ROWS else settle(needed, "needed")
-    texts = settle(documents.select(text_key().alias("key"), "text").join(needed, "key").groupBy("node").agg(F.first("text").alias("text")), "texts")
+def with_texts(texts: DataFrame | None, wanted: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(node, text), settled: ``texts`` and the texts of those ``wanted`` nodes that are not in it.
+
+    The first call reads the documents for nearly all texts that are ever compared; later ones look for the few that are missing.
+    """
+    missing = settle(wanted if texts is None else wanted.join(texts.select("node"), "node", "left_anti"), "missing")
+    n_missing = missing.count()
+    if texts is not None and not n_missing:
+        return texts
+    needed = nodes.join(_small(missing, n_missing), "node")
+    needed = F.broadcast(needed) if n_missing <= BROADCAST_ROWS else settle(needed, "needed")
+    more = settle(documents.select(text_key().alias("key"), "text").join(needed, "key").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    discard(missing)
+    return more if texts is None else texts.unionByName(more)
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, size: int, weighting: str, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar enough, by exact comparison, settled.  ``texts``: node, text."""
     left = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -235,9 +247,7 @@ def similar_pairs(pairs: DataFrame, n_pairs: int, nodes: DataFrame, documents: D
                 part = part.filter(pa.array(ok))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"])
 
-    found = settle(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
-    discard(needed, texts)
-    return found
+    return settle(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -309,8 +319,7 @@ def near_duplicate_groups(
     shared = settle(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     members = settle(spread.join(_small(shared, shared.count()), "key").join(described.select("node", "size", *MAP), "node"), "members")
     discard(shared)
-    links = None
-    components = None
+    links = components = texts = None
     n_components = 0
     elected_cells = ELECTED_FIRST
     while True:
@@ -334,8 +343,9 @@ def near_duplicate_groups(
         met = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.c") != F.col("b.c")) & may_be_similar(similarity)
         against = copies.alias("a").join(dealt.alias("b"), met).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
         pairs = settle(against.distinct(), "pairs")
-        if n_pairs := pairs.count():
-            found = similar_pairs(pairs, n_pairs, nodes, documents, size, weighting, similarity)
+        if not pairs.isEmpty():
+            texts = with_texts(texts, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, documents)
+            found = similar_pairs(pairs, texts, size, weighting, similarity)
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
                 components = merge_components(components, found)
