@@ -497,6 +497,33 @@ def detection_labels(t: Library) -> DataFrame:
     return sinks.detection_labels(boxes)
 
 
+@query("SELECT doc_id AS id, sha256(text) AS checksum FROM documents WHERE doc_id % 9 <> 4 UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 9 = 4")
+def content_hashes(t: Library) -> DataFrame:
+    """SHA-256 of contents; a file without content has none."""
+    files = t.raw("documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 9 != 4, F.col("text").cast("binary")).alias("content"))
+    return scan.content_hash(files, "sha256").select("id", "checksum")
+
+
+@query("SELECT id, len(e) AS dim FROM vectors WHERE id % 4 > 0", "vectors")
+def usable_vectors(t: Library) -> DataFrame:
+    """Empty vectors and those of another size are dropped."""
+    ragged = F.when(F.col("id") % 8 == 0, F.slice("embedding", 1, 3)).when(F.col("id") % 4 == 0, F.slice("embedding", 1, 0)).otherwise(F.col("embedding"))
+    return vectors.usable(t.vectors.select("id", ragged.alias("embedding")), 64).select("id", F.size("embedding").alias("dim"))
+
+
+@query("SELECT c_custkey AS id, greatest(0, least(1, c_acctbal / 5000)) AS temperature FROM customer")
+def clamped_temperatures(t: Library) -> DataFrame:
+    return t.raw("customer").select(F.col("c_custkey").alias("id"), curation.clamp(F.col("c_acctbal") / 5000).alias("temperature"))
+
+
+@query("SELECT media FROM (SELECT p_name || CASE p_size % 4 WHEN 0 THEN '.JPG' WHEN 1 THEN '.webm' WHEN 2 THEN '.txt' ELSE '' END AS media, p_size FROM part) WHERE p_size % 4 < 2 GROUP BY 1")
+def media_only(t: Library) -> DataFrame:
+    """Tracked extensions, whatever their case, without what lies in the library's own folder."""
+    suffix = F.when(F.col("p_size") % 4 == 0, ".JPG").when(F.col("p_size") % 4 == 1, ".webm").when(F.col("p_size") % 4 == 2, ".txt").otherwise("")
+    own = t.raw("part").select(F.concat(F.lit("a/.media/"), "p_name", F.lit(".jpg")).alias("path"))
+    return scan.media_only(t.raw("part").select(F.concat("p_name", suffix).alias("path")).unionByName(own)).select(F.col("path").alias("media")).distinct()
+
+
 # Model stages
 
 
