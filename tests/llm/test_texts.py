@@ -10,6 +10,7 @@ import regex
 from pyspark.sql import functions as F
 
 from shelfmark.llm import chat_format, reshard, surrogates, url_automaton
+from shelfmark.llm.common import settle, shared_dir, workspace
 
 PII = (
     "Mr. John Smith met Frau Müller and Mr. John Smith. Call +1 (663) 555-6869 or +1-663-555-6869; 4111 1111 1111 1111, 4111111111111111. "
@@ -325,7 +326,6 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     import sentencepiece
 
     from shelfmark.llm import compression_quality, suffix_pieces
-    from shelfmark.llm.common import shared_dir
 
     from .test_pairs import brute_groups
 
@@ -369,3 +369,26 @@ def test_pipeline_stages(spark, sf_dir):
         assert k == 4 or docs.columns == columns
         seen = set(ids)
     assert corpus_pipeline.run(spark, sf_dir).count() == len(seen)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        def __init__(self, **values):
+            self.conf, self.values = self, values
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(Session(**{"spark.master": master}))
+    assert shared_dir(Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
+
+
+def test_a_workspace_leaves_nothing(spark, tmp_path):
+    with workspace():
+        df = settle(spark.range(3), "kept")
+        df.write.parquet(str(tmp_path / "out"))
+        where = df._settled_at.removeprefix("file:")
+        assert os.path.exists(where)
+    assert not os.path.exists(where) and spark.read.parquet(str(tmp_path / "out")).count() == 3
