@@ -83,7 +83,7 @@ def _summed(packed: DataFrame, size: int, part: Callable[[np.ndarray, np.ndarray
     return np.array(rows.agg(F.array(*[F.sum(F.col("g")[i]) for i in range(size)])).first()[0])
 
 
-def fit(examples: DataFrame, seed: int = 0) -> Probe:
+def fit(examples: DataFrame, seed: int = 0, epochs: int = EPOCHS) -> Probe:
     """``examples``: id, embedding, label (0/1).  Stratified 80/20 with ten of each class, else up to five folds; then all.
 
     At every size the same full-batch Adam as ``fit_local``; the fits with a fold held out and the one on all rows take
@@ -99,7 +99,7 @@ def fit(examples: DataFrame, seed: int = 0) -> Probe:
     shape = (len(held), len(examples.select("embedding").first()[0]) + 1)
     used = _summed(packed, len(held), lambda x, y, fold: (fold[:, None] != held).sum(axis=0))
     w, m, v = np.zeros(shape), np.zeros(shape), np.zeros(shape)
-    for t in range(1, EPOCHS + 1):
+    for t in range(1, epochs + 1):
 
         def gradient(x: np.ndarray, y: np.ndarray, fold: np.ndarray, w: np.ndarray = w) -> np.ndarray:
             return (((1 / (1 + np.exp(-(x @ w.T))) - y[:, None]) * (fold[:, None] != held)).T @ x).ravel()

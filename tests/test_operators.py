@@ -284,9 +284,9 @@ def test_probe(spark):
     rng = np.random.default_rng(1)
     data = [(k, (rng.normal(size=4) + (3 if k % 2 else -3)).tolist(), k % 2) for k in range(40)]
     examples = spark.createDataFrame(data, "id long, embedding array<double>, label int")
-    fitted = probe.fit(examples)
+    fitted = probe.fit(examples, epochs=60)
     assert fitted.scheme == "80/20" and fitted.accuracy == 1.0
-    assert probe.fit(examples.where("id < 10")).scheme == "5-fold"
+    assert probe.fit(examples.where("id < 10"), epochs=5).scheme == "5-fold"
     with pytest.raises(ValueError):
         probe.fit(examples.where("id < 8"))
     scored = probe.score(examples, fitted).join(examples, "id").collect()
