@@ -31,6 +31,8 @@ OLD_SHARDS = 12
 NEW_SHARDS = 16
 #: Rows of a bucket, about; only the counts of the buckets reach the driver, one row for each.
 BUCKET = 250_000
+#: Buckets of a block at least, so that a block of many equal rows is dealt out at every size.
+LEAST_BUCKETS = 16
 #: Files that the rows of a rewritten shard are dealt into.
 FILES = 64
 
@@ -159,12 +161,12 @@ def reshard(rows: DataFrame, new_shards: int = NEW_SHARDS, bucket: int = BUCKET)
     of: dict[tuple[int, int], list] = {}
     for old, cls, *piece in pieces:
         of.setdefault((old, cls), []).append(tuple(piece))
-    known = [(old, cls, sizes.get((old, cls)), 1 + n // bucket, of[old, cls]) for old, cls, n, _ in blocks]
+    known = [(old, cls, sizes.get((old, cls)), max(LEAST_BUCKETS, -(-n // bucket)), of[old, cls]) for old, cls, n, _ in blocks]
     table = spark.createDataFrame(known, "old int, cls int, at long, salts long, pieces array<struct<lo: long, hi: long, shard: int, first: long>>")
     side = F.coalesce(F.when(F.col("size") < F.col("at"), 0).when(F.col("size") > F.col("at"), 2), F.lit(1))
     placed = keyed.join(F.broadcast(table), ["old", "cls"]).withColumn("side", side).withColumn("salt", F.pmod(F.xxhash64("__id"), F.col("salts")))
     key = ["old", "cls", "side", "salt"]
-    counted = sorted(tuple(r) for r in placed.groupBy(*key).agg(F.count("*")).collect())  # three for each block and each ``bucket`` of its rows
+    counted = sorted(tuple(r) for r in placed.groupBy(*key).agg(F.count("*")).collect())  # three for each block and bucket of it at most
     begins, at = [], {}
     for old, cls, part, salt, n in counted:
         begins.append((old, cls, part, salt, at.get((old, cls), 0)))
