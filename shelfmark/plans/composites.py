@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import composed, curation, lookups, probe, queues, rosters, search, vectors
+from ..operators import catalog, composed, curation, lookups, probe, queues, rosters, search, vectors
 from ..sources import scan, sinks
 from .fixtures import Library
 from .registry import query
@@ -372,6 +372,36 @@ def captures_of(t: Library) -> DataFrame:
     return lookups.captures_of(captures, t.raw("labels").select(F.col("doc_id").alias("parent")))
 
 
+@query("SELECT id, checksum FROM canon WHERE id % 3 = 0", "canon")
+def find_by_checksums(t: Library) -> DataFrame:
+    files = catalog.canonical_files(t.listing)
+    return catalog.find_by_checksums(files, files.where("id % 3 = 0")).select("id", "checksum")
+
+
+@query("SELECT path FROM file_paths WHERE file_id = (SELECT min(file_id) FROM (SELECT file_id FROM file_paths GROUP BY 1 HAVING count(*) > 1))", "file_paths")
+def paths_of_file(t: Library) -> DataFrame:
+    """All paths of the first file that has several."""
+    first = t.file_paths.groupBy("file_id").agg(F.count("*").alias("n")).where("n > 1").agg(F.min("file_id").alias("id")).first()["id"]
+    return catalog.paths_of_file(t.file_paths, first).select("path")
+
+
+@query(
+    "WITH r AS (SELECT DISTINCT checksum, label AS category FROM tags WHERE polarity = 'positive'), c AS (SELECT DISTINCT label AS category FROM tags UNION SELECT 'empty') SELECT c.category, count(r.checksum) AS n_files FROM c LEFT JOIN r USING (category) GROUP BY 1",
+    "tags",
+)
+def category_counts(t: Library) -> DataFrame:
+    """Categories with their number of files, those without any included."""
+    resolved = t.tags.where("polarity = 'positive'").select("checksum", F.col("label").alias("category")).distinct()
+    known = t.tags.select(F.col("label").alias("category")).distinct().unionByName(t.spark.createDataFrame([("empty",)], "category string"))
+    return rosters.category_counts(resolved, known)
+
+
+@query("SELECT user_id AS key, count FROM (WITH c AS (SELECT user_id, event_id AS ts, CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END AS d FROM events WHERE event_type IN ('purchase', 'error')), r AS (SELECT user_id, ts, sum(d) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM c) SELECT user_id, (arg_max(s, ts) - least(0, min(s)))::BIGINT AS count FROM r GROUP BY 1) WHERE count > 0")
+def favourite_counters(t: Library) -> DataFrame:
+    """Counters that stand above zero."""
+    return curation.favourite_counters(t.favourite_changes, "key")
+
+
 # Write paths
 
 
@@ -580,6 +610,22 @@ def list_errors(t: Library) -> DataFrame:
     return sinks.list_errors(log, unread_only=True).select("path", "message")
 
 
+@query(
+    "SELECT id, regexp_extract(path, '[^/]*$') AS name, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, '.txt' AS suffix FROM listing",
+    "listing",
+)
+def path_parts(t: Library) -> DataFrame:
+    upper = F.when(F.col("id") % 2 == 0, F.regexp_replace("path", r"\.txt$", ".TXT")).otherwise(F.col("path"))
+    return t.listing.select("id", scalar.basename(F.col("path")).alias("name"), scalar.dirname(F.col("path")).alias("folder"), scalar.extension(upper).alias("suffix"))
+
+
+@query("SELECT p_partkey AS id, string_agg(w, ' ' ORDER BY k) AS tokens FROM part, unnest(string_split(lower(p_name), ' ')) WITH ORDINALITY AS u(w, k) WHERE length(w) > 1 GROUP BY 1")
+def query_tokens(t: Library) -> DataFrame:
+    """Words of a query without stop words and single characters."""
+    text = F.concat(F.lit("  The a "), F.upper("p_name"), F.lit(" of\tX with "))
+    return t.raw("part").select(F.col("p_partkey").alias("id"), F.array_join(scalar.query_tokens(text), " ").alias("tokens"))
+
+
 # Scalars
 
 

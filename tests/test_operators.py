@@ -374,3 +374,35 @@ def test_nearest_city_against_all_cities(spark):
     for p in points:
         boxed = [c for c in cities if abs(c[1] - p[1]) <= 0.75 and abs(c[2] - p[2]) <= 0.75]
         assert got[p[0]] == min(boxed or cities, key=lambda c: (km(p, c), c[0]))[0]
+
+
+def test_terms_and_failures(spark, tmp_path):
+    (tmp_path / "terms.txt").write_text("# kinds\r\ncat\n\n  hot dog \ncat\n")
+    assert [r["term"] for r in scan.read_terms(spark, str(tmp_path / "terms.txt")).orderBy("pos").collect()] == ["cat", "hot dog", "cat"]
+
+    def model(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "v": pdf["id"] * 2, "error": [None if k % 2 else "odd" for k in pdf["id"]]})
+
+    good, bad = scan.map_model(spark.range(5), model, "id long, v long, error string")
+    assert rows(good.select("id", "v")) == [(1, 2), (3, 6)] and rows(bad.select("id")) == [(0,), (2,), (4,)]
+
+
+def test_detection_dataset(spark, tmp_path):
+    box = F.struct(F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(5.0).alias("x2"), F.lit(10.0).alias("y2"))
+    boxes = spark.range(200).select(F.concat(F.lit("c"), F.col("id") % 100).alias("checksum"), F.lit(1).alias("class_id"), box.alias("box"), F.lit(10).alias("width"), F.lit(20).alias("height"))
+    sinks.detection_dataset(boxes, str(tmp_path / "set"))
+    back = spark.read.json(str(tmp_path / "set"))
+    assert back.count() == 100 and {r["split"] for r in back.select("split").distinct().collect()} == {"train", "val"}
+    assert back.first()["labels"].split("\n") == ["1 0.250000 0.250000 0.500000 0.500000"] * 2
+
+
+def test_windowed_views(spark, tmp_path):
+    from shelfmark.streaming import ingest
+
+    events = spark.sql("SELECT timestamp'2024-01-01 00:10:00' + make_interval(0, 0, 0, 0, 0, id * 20) AS ts, 'view' AS event_type FROM range(6)")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    q = ingest.windowed_views(stream).writeStream.format("memory").queryName("views").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r["n"] for r in spark.table("views").collect()) == [3, 3]
