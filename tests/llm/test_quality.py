@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -25,6 +26,30 @@ def test_held_out_accuracy(spark):
     assert compression_quality.held_out_accuracy(scored, labels) >= 0.93
 
 
+def test_scores_against_brute_force(spark, sf_dir):
+    """Every score from the two compressed sizes, worked out text by text; slices of few bytes change nothing."""
+    import math
+
+    import zstandard
+
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    odd = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "word " * 40000)]
+    every = docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
+    model = compression_quality.learn(docs, labels)
+    packers = [zstandard.ZstdCompressor(level=compression_quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d)) for d in (model.good, model.bad)]
+    got = {r["doc_id"]: (r["score"], r["predicted"], r["held_out"]) for r in compression_quality.op3_quality_classifier(spark, every, labels).collect()}
+    for r in every.collect():
+        raw = (r["text"] or "").encode()
+        a, b = (len(p.compress(raw)) for p in packers)
+        x = [(b - a) / (a + b), (b - a) / (len(raw) + 300), (a + b) / (2 * len(raw) + 300)]
+        x = [(v - m) / s for v, m, s in zip(x, model.mean, model.scale, strict=True)]
+        terms = [1.0, *x, *[x[i] * x[j] for i in range(3) for j in range(i, 3)]]
+        score = 1 / (1 + math.exp(-max(-35, min(35, sum(t * w for t, w in zip(terms, model.weights, strict=True))))))
+        mine = got.pop(r["doc_id"])
+        assert abs(mine[0] - score) < 1e-9 and mine[1] == int(score >= 0.5) and mine[2] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+    assert not got
+
+
 def test_labels_that_are_held_out_change_nothing(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -151,6 +176,29 @@ def test_states_keep_within_the_label():
     assert line_crf.within_bounds(content, np.array([3.0, 1.0, -1.0]), words, 1).tolist() == [True, True, False]
 
 
+def test_verdicts_against_all_paths(spark, sf_dir):
+    """Whole verdicts of documents with few lines: every path of states is tried."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    field = line_crf.learn(docs, labels)
+    got = {r["doc_id"]: r for r in line_crf.judge(docs, field).collect()}
+    seen = 0
+    for r in docs.collect():
+        m = line_crf.measure([r["text"]])
+        n = len(m.line_text)
+        counts = brute(r["text"])
+        mine = got[r["doc_id"]]
+        assert (mine["n_words"], mine["word_chars"], mine["n_symbols"], mine["n_dup_lines"], mine["n_repeat_words"]) == counts
+        failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
+        assert mine["base_failed"] == failed
+        if n <= 9:
+            scores = m.features @ field.emission
+            path = max(itertools.product([0, 1], repeat=n), key=lambda p: sum(scores[i, x] for i, x in enumerate(p)) + sum(field.transition[a, b] for a, b in itertools.pairwise(p)))
+            share = sum(w for w, x in zip(m.line_words, path, strict=True) if x) / max(1, counts[0])
+            assert mine["content_lines"] == [x == 1 for x in path] and mine["kept"] == (not failed and share >= 0.5)
+            seen += 1
+    assert seen > 50
+
+
 def test_crf_edges(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     got = line_crf.op6_line_crf(spark, edge(spark), labels).orderBy("doc_id").collect()
