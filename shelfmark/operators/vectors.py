@@ -16,8 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of a block: as many references go out with the tasks at most, and beyond it both sides are split by it.
-BLOCK = 2048
+#: Rows of a block: as many references go out with the tasks at most, and beyond it both sides are split by it.  A row is
+#: copied once for each block of the other side, so blocks are as large as a worker can hold.
+BLOCK = 8192
+#: Vectors that are scored at once against a block, and rows of a block of a cohort.
+SLICE, COHORT_BLOCK = 512, 2048
 AUTO_MATCH, SUGGEST_FACE, SUGGEST_TAG, SUGGEST_SET, BODY_MATCH, FACE_SEARCH = 0.6, 0.45, 0.45, 0.75, 0.5, 0.3
 
 
@@ -90,8 +93,8 @@ def block_scores(vectors: DataFrame, references: DataFrame, columns: list[str],
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                for begin in range(0, len(batch), BLOCK):
-                    yield scored(batch.iloc[begin : begin + BLOCK], sent.value)
+                for begin in range(0, len(batch), SLICE):
+                    yield scored(batch.iloc[begin : begin + SLICE], sent.value)
 
         return narrow.mapInPandas(run, schema)
     parts = [max(1, -(-count // BLOCK)) for count in (narrow.count(), n)]
@@ -105,7 +108,7 @@ def block_scores(vectors: DataFrame, references: DataFrame, columns: list[str],
     def meet(batch: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(batch) or not len(block):
             return pd.DataFrame({c: [] for c in [x.split()[0] for x in schema.split(", ")]})
-        return pd.concat([scored(batch.iloc[k : k + BLOCK], block) for k in range(0, len(batch), BLOCK)])
+        return pd.concat([scored(batch.iloc[k : k + SLICE], block) for k in range(0, len(batch), SLICE)])
 
     return placed(narrow, 0).groupBy("__0", "__1").cogroup(placed(held, 1).groupBy("__0", "__1")).applyInPandas(meet, schema)
 
@@ -185,7 +188,7 @@ def cohort_outliers(faces: DataFrame, group: str = "identity", reviewed: DataFra
 
     Each group is split in blocks and two blocks meet in one task, each pair of blocks once, so no group is gathered whole.
     """
-    counts = faces.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__n"))
+    counts = faces.groupBy(group).agg(F.ceil(F.count("*") / COHORT_BLOCK).cast("int").alias("__n"))
     placed = faces.select("id", group, "embedding").join(counts, group).withColumn("__home", F.pmod(F.xxhash64("id"), F.col("__n")).cast("int"))
     met = placed.withColumn("__met", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     met = met.select("id", group, "embedding", "__home", F.least("__home", "__met").alias("__a"), F.greatest("__home", "__met").alias("__b"))
