@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 BLOCK = 8192
 #: Vectors that are scored at once against a block, and rows of a block of a cohort.
 SLICE, COHORT_BLOCK = 512, 2048
+#: Rows of found scores that a task holds before it cuts them to the best.
+HELD_ROWS = 500_000
 AUTO_MATCH, SUGGEST_FACE, SUGGEST_TAG, SUGGEST_SET, BODY_MATCH, FACE_SEARCH = 0.6, 0.45, 0.45, 0.75, 0.5, 0.3
 
 
@@ -73,30 +75,39 @@ def _matrix(frame: pd.DataFrame) -> np.ndarray:
     return np.stack(frame["embedding"].to_numpy()).astype(np.float64)
 
 
-def block_scores(vectors: DataFrame, references: DataFrame, columns: list[str], pick: Callable[[pd.DataFrame, np.ndarray, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def block_scores(vectors: DataFrame, references: DataFrame, columns: list[str], pick: Callable[[pd.DataFrame, np.ndarray, pd.DataFrame], pd.DataFrame], schema: str, cut: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
     """What ``pick`` keeps of the scores of all vectors against all references (``id``, ``columns`` and embedding).
 
-    ``pick`` gets a batch of vectors, the score matrix and the references of a block, in which a row does not meet itself.
+    ``pick`` gets some vectors, their score matrix and the references of a block, in which a row does not meet itself.
+    ``cut``, if given, cuts what a task has found so far to what can still be wanted.
     """
-    narrow, held = vectors.select("id", "embedding"), references.select("id", *columns, "embedding")
-    n = held.count()
+    narrow, refs = vectors.select("id", "embedding"), references.select("id", *columns, "embedding")
+    n = refs.count()
 
     def scored(batch: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         scores = _matrix(batch) @ _matrix(block).T
         scores[batch["id"].to_numpy()[:, None] == block["id"].to_numpy()[None, :]] = -np.inf
         return pick(batch, scores, block)
 
+    def found(batches: Iterator[pd.DataFrame], block: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            for begin in range(0, len(batch), SLICE):
+                some = scored(batch.iloc[begin : begin + SLICE], block)
+                if cut is None:
+                    yield some
+                    continue
+                held.append(some)
+                if sum(map(len, held)) > HELD_ROWS:
+                    held = [cut(pd.concat(held))]
+        if held:
+            yield cut(pd.concat(held))
+
     if not n:
         return vectors.sparkSession.createDataFrame([], schema)
     if n <= BLOCK:
-        sent = vectors.sparkSession.sparkContext.broadcast(held.toPandas())
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for begin in range(0, len(batch), SLICE):
-                    yield scored(batch.iloc[begin : begin + SLICE], sent.value)
-
-        return narrow.mapInPandas(run, schema)
+        sent = vectors.sparkSession.sparkContext.broadcast(refs.toPandas())
+        return narrow.mapInPandas(lambda batches: found(batches, sent.value), schema)
     parts = [max(1, -(-count // BLOCK)) for count in (narrow.count(), n)]
 
     def placed(df: DataFrame, own: int) -> DataFrame:
@@ -108,15 +119,15 @@ def block_scores(vectors: DataFrame, references: DataFrame, columns: list[str],
     def meet(batch: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(batch) or not len(block):
             return pd.DataFrame({c: [] for c in [x.split()[0] for x in schema.split(", ")]})
-        return pd.concat([scored(batch.iloc[k : k + SLICE], block) for k in range(0, len(batch), SLICE)])
+        return pd.concat(found(iter([batch]), block))
 
-    return placed(narrow, 0).groupBy("__0", "__1").cogroup(placed(held, 1).groupBy("__0", "__1")).applyInPandas(meet, schema)
+    return placed(narrow, 0).groupBy("__0", "__1").cogroup(placed(refs, 1).groupBy("__0", "__1")).applyInPandas(meet, schema)
 
 
 def top_k_join(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
     """(query_id, id, score, rank): for each row of a stated query set the k best of all vectors, itself excluded.
 
-    Each batch gives the k best of it for each query; Spark cuts those to k in each task before they are shuffled.
+    Each task gives the k best that it has met for each query; the rest is one ranked window per query.
     """
     least = -np.inf if threshold is None else threshold
 
@@ -127,7 +138,10 @@ def top_k_join(queries: DataFrame, vectors: DataFrame, k: int, threshold: float
         v, q = np.nonzero((scores >= floor[None, :]) & np.isfinite(scores) & (scores >= least))
         return pd.DataFrame({"query_id": block["id"].to_numpy()[q], "id": batch["id"].to_numpy()[v], "score": scores[v, q]})
 
-    found = block_scores(vectors, queries, [], best, "query_id long, id long, score double")
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
+
+    found = block_scores(vectors, queries, [], best, "query_id long, id long, score double", cut)
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 

@@ -343,8 +343,8 @@ def test_block_joins_equal_one_block(spark, sf_dir, monkeypatch):
         yield vectors.category_matches(v, v.selectExpr("label AS category", "embedding"), v.selectExpr("label AS category", "label / 20.0 AS temperature").distinct(), some.selectExpr("id", "label AS category"))
 
     whole = [sorted((*r[:2], round(r["score"], 9)) for r in df.collect()) for df in results()]
-    for name in ("BLOCK", "SLICE", "COHORT_BLOCK"):
-        monkeypatch.setattr(vectors, name, 16 if name != "SLICE" else 5)
+    for name, rows_ in {"BLOCK": 16, "SLICE": 5, "COHORT_BLOCK": 16, "HELD_ROWS": 40}.items():
+        monkeypatch.setattr(vectors, name, rows_)
     parts = [sorted((*r[:2], round(r["score"], 9)) for r in df.collect()) for df in results()]
     assert whole == parts and all(whole)
 
