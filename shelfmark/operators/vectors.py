@@ -84,22 +84,23 @@ def block_scores(vectors: DataFrame, references: DataFrame, columns: list[str],
     narrow, refs = vectors.select("id", "embedding"), references.select("id", *columns, "embedding")
     n = refs.count()
 
-    def scored(batch: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        scores = _matrix(batch) @ _matrix(block).T
+    def scored(batch: pd.DataFrame, block: pd.DataFrame, across: np.ndarray) -> pd.DataFrame:
+        scores = _matrix(batch) @ across
         scores[batch["id"].to_numpy()[:, None] == block["id"].to_numpy()[None, :]] = -np.inf
         return pick(batch, scores, block)
 
     def found(batches: Iterator[pd.DataFrame], block: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held, most, across = [], HELD_ROWS, _matrix(block).T
         for batch in batches:
             for begin in range(0, len(batch), SLICE):
-                some = scored(batch.iloc[begin : begin + SLICE], block)
+                some = scored(batch.iloc[begin : begin + SLICE], block, across)
                 if cut is None:
                     yield some
                     continue
                 held.append(some)
-                if sum(map(len, held)) > HELD_ROWS:
+                if sum(map(len, held)) > most:
                     held = [cut(pd.concat(held))]
+                    most = max(HELD_ROWS, 2 * len(held[0]))
         if held:
             yield cut(pd.concat(held))
 
