@@ -39,7 +39,7 @@ from .common import settle, text_slices, utf8_size
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 #: Pre-tokens that are summed without a shuffle, and their greatest length.
-HOT, HOT_CHARS = 50_000, 40
+HOT, HOT_CHARS = 100_000, 40
 #: Bytes of text that are cut at once, and distinct pre-tokens held before they go to Spark.
 SLICE_BYTES = 400_000
 FLUSH = 100_000
