@@ -15,6 +15,7 @@ from .line_crf import op6_line_crf
 from .reshard import op10_reshard
 from .suffix_pieces import op2_sentencepiece
 from .surrogates import op5_surrogates
+from .token_alignment import op13_token_alignment
 from .token_counts import op1_token_counts
 from .url_automaton import OP7_SQL, op7_url_filter
 from .whitening import op11_embedding_whitening
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": lambda s, d: op8_chat_format(s, table(s, d, "conversations")),
         "op9_decontaminate": lambda s, d: op9_decontaminate(s, table(s, d, "documents"), table(s, d, "benchmark")),
         "op10_reshard": lambda s, d: op10_reshard(s, table(s, d, "documents")),
+        "op13_token_alignment": lambda s, d: op13_token_alignment(s, table(s, d, "documents")),
         "op11_embedding_whitening": lambda s, d: op11_embedding_whitening(s, table(s, d, "embeddings")),
     }
 
