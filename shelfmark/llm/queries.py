@@ -12,6 +12,7 @@ from .compression_quality import op3_quality_classifier
 from .dart_minhash import op4_near_duplicates
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .line_crf import op6_line_crf
+from .repeat_anchors import OP12_SQL, op12_substring_dedup
 from .reshard import op10_reshard
 from .suffix_pieces import op2_sentencepiece
 from .surrogates import op5_surrogates
@@ -33,10 +34,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": lambda s, d: op8_chat_format(s, table(s, d, "conversations")),
         "op9_decontaminate": lambda s, d: op9_decontaminate(s, table(s, d, "documents"), table(s, d, "benchmark")),
         "op10_reshard": lambda s, d: op10_reshard(s, table(s, d, "documents")),
-        "op13_token_alignment": lambda s, d: op13_token_alignment(s, table(s, d, "documents")),
         "op11_embedding_whitening": lambda s, d: op11_embedding_whitening(s, table(s, d, "embeddings")),
+        "op12_substring_dedup": lambda s, d: op12_substring_dedup(s, table(s, d, "documents")),
+        "op13_token_alignment": lambda s, d: op13_token_alignment(s, table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL, "op8_chat_format": OP8_SQL, "op9_decontaminate": OP9_SQL}
+    return {"op7_url_filter": OP7_SQL, "op8_chat_format": OP8_SQL, "op9_decontaminate": OP9_SQL, "op12_substring_dedup": OP12_SQL}
