@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +80,14 @@ def exif_timestamp(raw: Column) -> Column:
     return F.unix_timestamp(F.try_to_timestamp(raw, F.lit("yyyy:MM:dd HH:mm:ss")))
 
 
+def xxh64(content: Column) -> Column:
+    """XXH64 with seed 0 of bytes, as 16 hex digits; null for null.  Spark's own expression, which SQL only offers with seed 42."""
+    jvm = SparkContext._active_spark_context._jvm
+    bridge = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    hashed = jvm.org.apache.spark.sql.catalyst.expressions.XxHash64(jvm.PythonUtils.toSeq([bridge.expression(content._jc)]), 0)
+    return F.when(content.isNotNull(), F.lpad(F.lower(F.hex(Column(bridge.column(hashed)))), 16, "0"))
+
+
 def containment(face: Column, body: Column) -> Column:
     """Share of the face's box inside the body's; boxes are structs x1, y1, x2, y2."""
     width = F.least(face["x2"], body["x2"]) - F.greatest(face["x1"], body["x1"])

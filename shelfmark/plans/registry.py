@@ -27,7 +27,7 @@ def query(sql: str | None = None, *tables: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import composites, queries  # noqa: F401  (they register themselves)
+    from . import composites, media, queries  # noqa: F401  (they register themselves)
 
     return {name: (lambda spark, sf_dir, f=f: f(Library(spark, sf_dir))) for name, f in QUERIES.items()}
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import xxh64
+
 #: Extensions that are tracked (fixed values).
 IMAGE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".webp"]
 VIDEO_EXTENSIONS = [".mp4", ".mov", ".m4v", ".webm"]
@@ -32,17 +34,8 @@ def media_only(files: DataFrame) -> DataFrame:
 
 
 def content_hash(files: DataFrame, method: str = "xxh64") -> DataFrame:
-    """Adds checksum of ``content``: XXH64 with seed 0 in Arrow batches, or SHA-256 without Python."""
-    if method == "sha256":
-        return files.withColumn("checksum", F.sha2("content", 256))
-
-    @F.pandas_udf("string")
-    def digest(content: pd.Series) -> pd.Series:
-        import xxhash  # a worker without it fails: one table holds one kind of checksum
-
-        return content.map(lambda b: None if b is None else xxhash.xxh64(b).hexdigest())
-
-    return files.withColumn("checksum", digest("content"))
+    """Adds checksum of ``content``, without Python: XXH64 with seed 0, or SHA-256."""
+    return files.withColumn("checksum", F.sha2("content", 256) if method == "sha256" else xxh64(F.col("content")))
 
 
 def ignore_condition(path: Column, patterns: list[str]) -> Column:
@@ -142,12 +135,16 @@ def replace_places(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
     return rows, files.withColumn("city_id", F.lit(None).cast("long"))
 
 
-def map_model(files: DataFrame, model, schema: str, on_error: str = "error") -> tuple[DataFrame, DataFrame]:
-    """(results, failures) of a per-batch model whose rows may carry a message in the column ``on_error``."""
+def map_model(files: DataFrame, model, schema: str, at: str, on_error: str = "error") -> tuple[DataFrame, DataFrame]:
+    """(results, failures) of a per-batch model whose rows may carry a message in the column ``on_error``.
+
+    The model runs once on every file: its rows are written to the folder ``at``, and both tables read them there.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield from model(iter([pdf]))
 
-    out = files.mapInPandas(run, schema)
+    files.mapInPandas(run, schema).write.mode("overwrite").parquet(at)
+    out = files.sparkSession.read.schema(schema).parquet(at)
     return out.where(F.col(on_error).isNull()), out.where(F.col(on_error).isNotNull())

@@ -385,7 +385,7 @@ def test_terms_and_failures(spark, tmp_path):
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "v": pdf["id"] * 2, "error": [None if k % 2 else "odd" for k in pdf["id"]]})
 
-    good, bad = scan.map_model(spark.range(5), model, "id long, v long, error string")
+    good, bad = scan.map_model(spark.range(5), model, "id long, v long, error string", str(tmp_path / "rows"))
     assert rows(good.select("id", "v")) == [(1, 2), (3, 6)] and rows(bad.select("id")) == [(0,), (2,), (4,)]
 
 
