@@ -5,27 +5,34 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import grid_cell, haversine_km
 
 BOX_DEGREES = 0.75
+#: Cells of the search on the sphere in degrees, each ``STEP`` times finer than the one before, and the cities that a cell
+#: holds on average where it needs no finer ones.
+STEP = 4
+LEVELS = (10.0, 2.5, 0.625)
+FEW_CITIES = 4
 
 
-def nearest_city(points: DataFrame, cities: DataFrame, box: float = BOX_DEGREES, max_km: float | None = None) -> DataFrame:
+def nearest_city(points: DataFrame, cities: DataFrame, box: float = BOX_DEGREES, max_km: float | None = None, exact: bool = False) -> DataFrame:
     """(id, city_id, km): the nearest city inside the box of +-``box`` degrees, km to one decimal; ties to the least id.
 
     Cells of the box's size turn the range join into an equi-join with the nine cells around a point.  Points whose box
-    is empty meet only the cities of those coarse cells that can hold their nearest one; no row without cities or beyond
-    ``max_km``.
+    is empty get the nearest city on the sphere; ``exact`` gives it to all points, box or not.  No row without cities or
+    beyond ``max_km``.
     """
     located = points.where("lat IS NOT NULL AND lon IS NOT NULL").select("id", "lat", "lon")
-    near = _in_cells(located, cities, box)
-    near = near.where((F.abs(F.col("lat") - F.col("clat")) <= box) & (F.abs(F.col("lon") - F.col("clon")) <= box))
-    best = _nearest(near)
-    rest = located.join(best.select("id"), "id", "left_anti")
-    far = _nearest_anywhere(rest, cities)
-    found = best.unionByName(far)
+    if exact:
+        found = _nearest_anywhere(located, cities)
+    else:
+        near = _in_cells(located, cities, box)
+        near = near.where((F.abs(F.col("lat") - F.col("clat")) <= box) & (F.abs(F.col("lon") - F.col("clon")) <= box))
+        best = _nearest(near)
+        found = best.unionByName(_nearest_anywhere(located.join(best.select("id"), "id", "left_anti"), cities))
     out = found.select("id", "city_id", F.round("km", 1).alias("km"))
     return out if max_km is None else out.where(F.col("km") <= max_km)
 
@@ -43,31 +50,44 @@ def _nearest(pairs: DataFrame) -> DataFrame:
 
 
 def _nearest_anywhere(points: DataFrame, cities: DataFrame) -> DataFrame:
-    """Exact nearest city by coarse cells of the globe.
+    """Exact nearest city on the sphere, by cells that are refined where they can still matter.
 
-    For each cell that holds points, the cells that can hold the nearest city of one of them: those whose least possible
-    distance is not above the least of all greatest possible ones.  That is worked out between cells, at most 2,592 of
-    points by 648 of cities, whatever the number of points; points and cities then only meet by equal cells.
+    For each cell that holds points, those cells of cities stay whose least possible distance is not above the least of all
+    greatest possible ones.  That is settled between cells alone: first of ten degrees, at most 648 by 648, then between
+    the sixteen parts of a point's cell and those of the cells that stayed, and so on.  In the finest cells points and
+    cities meet by equal cells: only the cities that lie hardly further than the nearest one.  Distances between centres are
+    great circles, so the seam at 180 degrees and the poles need no case of their own.
     """
-    fine, grid = 5.0, 10.0
-
-    def cell(size: float, x: str, y: str) -> list[Column]:
-        return [grid_cell(F.col("lat"), size).alias(x), grid_cell(F.col("lon"), size).alias(y)]
-
-    def radius(size: float) -> float:  # of a cell, at the equator at most
-        return 6371.0 * math.radians(size) * math.sqrt(0.5) * 1.01
-
-    placed = points.select("*", *cell(fine, "px", "py"))
-    held = cities.select(*cell(grid, "gx", "gy")).distinct()
-    centre = haversine_km((F.col("px") + 0.5) * fine, (F.col("py") + 0.5) * fine, (F.col("gx") + 0.5) * grid, (F.col("gy") + 0.5) * grid)
-    slack = radius(fine) + radius(grid)
-    met = placed.select("px", "py").distinct().join(F.broadcast(held), F.lit(True)).withColumn("centre", centre)
-    nearest = F.struct(F.col("centre"), F.struct("gx", "gy").alias("g"))
-    of = met.groupBy("px", "py").agg(F.min("centre").alias("least"), F.collect_list(nearest).alias("all"))  # at most 648 in a list
-    useful = of.select("px", "py", F.explode(F.filter("all", lambda x: x["centre"] <= F.col("least") + 2 * slack)).alias("x")).select("px", "py", "x.g.gx", "x.g.gy")
-    where = cities.select(F.col("id").alias("city_id"), F.col("lat").alias("clat"), F.col("lon").alias("clon"), *cell(grid, "gx", "gy"))
-    around = useful.join(where, ["gx", "gy"]).select("px", "py", "city_id", "clat", "clon")
-    return _nearest(placed.join(around, ["px", "py"]))
+    n = cities.count()
+    levels = [size for k, size in enumerate(LEVELS) if not k or n > FEW_CITIES * (180 / LEVELS[k - 1]) * (360 / LEVELS[k - 1])]
+    placed = points.select("id", "lat", "lon", *_cell("p", levels[-1]))
+    held = cities.select(F.col("id").alias("city_id"), F.col("lat").alias("clat"), F.col("lon").alias("clon"), *_cell("g", levels[-1]))
+    kept = None
+    for size in levels:
+        own = [placed.select(*_coarser("p", size, levels[-1])).distinct(), held.select(*_coarser("g", size, levels[-1])).distinct()]
+        if kept is None:
+            met = own[0].join(F.broadcast(own[1]), F.lit(True))
+        else:
+            up = lambda c, n: F.floor(F.col(c) / STEP).alias(n)
+            parents = kept.select(*[F.col(c).alias(f"up_{c}") for c in ("px", "py", "gx", "gy")])
+            of_points = own[0].select("px", "py", up("px", "up_px"), up("py", "up_py")).join(parents, ["up_px", "up_py"])
+            met = of_points.join(own[1].select("gx", "gy", up("gx", "up_gx"), up("gy", "up_gy")), ["up_gx", "up_gy"])
+        centre = haversine_km((F.col("px") + 0.5) * size, (F.col("py") + 0.5) * size, (F.col("gx") + 0.5) * size, (F.col("gy") + 0.5) * size)
+        # From the centre of a cell to its corner it is as far as at the equator at most; twice for each of both cells.
+        slack = 4 * 6371.0 * math.radians(size) * math.sqrt(0.5) * 1.01
+        least = F.min("centre").over(W.partitionBy("px", "py"))
+        kept = met.withColumn("centre", centre).withColumn("least", least).where(F.col("centre") <= F.col("least") + slack).select("px", "py", "gx", "gy")
+    around = placed.join(kept, ["px", "py"]).join(held, ["gx", "gy"])
+    return _nearest(around)
+
+
+def _cell(name: str, size: float) -> list[Column]:
+    return [grid_cell(F.col("lat"), size).alias(f"{name}x"), grid_cell(F.col("lon"), size).alias(f"{name}y")]
+
+
+def _coarser(name: str, size: float, finest: float) -> list[Column]:
+    """The cell of that size around a finest one."""
+    return [F.floor(F.col(f"{name}{axis}") / round(size / finest)).alias(f"{name}{axis}") for axis in "xy"]
 
 
 def distances(points: DataFrame, lat: float, lon: float) -> DataFrame:

@@ -15,6 +15,9 @@ EPOCHS, RATE = 200, 0.01
 MIN_PER_CLASS = 5
 #: Hash buckets in which the rows of a class are numbered.
 BUCKETS = 1024
+#: Values (rows x dimensions) up to which one task takes all steps on rows held in its memory; beyond it each step is a
+#: pass over the rows.  The steps, and so the fit, are the same.
+HELD_VALUES = 16_000_000
 
 
 @dataclass(frozen=True)
@@ -25,15 +28,30 @@ class Probe:
     scheme: str
 
 
-def fit_local(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndarray, float]:
+def fit_local(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the logistic loss."""
-    w, m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
-    xb = np.column_stack([x, np.ones(len(x))])
+    w = _adam((1, x.shape[1] + 1), epochs, lambda w, xb=np.column_stack([x, np.ones(len(x))]): _gradient(xb, y, np.zeros(len(y)), np.array([-1]), w) / len(y))
+    return w[0, :-1], float(w[0, -1])
+
+
+def _adam(shape: tuple[int, int], epochs: int, gradient: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Weights (a row for each fit) after the steps from zero."""
+    w, m, v = np.zeros(shape), np.zeros(shape), np.zeros(shape)
     for t in range(1, epochs + 1):
-        g = xb.T @ (1 / (1 + np.exp(-(xb @ w))) - y) / len(y)
+        g = gradient(w)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], float(w[-1])
+        w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def _gradient(x: np.ndarray, y: np.ndarray, fold: np.ndarray, held: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Summed gradient of each fit over these rows, without those of the fold that the fit holds out."""
+    return ((1 / (1 + np.exp(-(x @ w.T))) - y[:, None]) * (fold[:, None] != held)).T @ x
+
+
+def _right(x: np.ndarray, y: np.ndarray, fold: np.ndarray, held: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Rows of each fit's held-out fold that it gets right."""
+    return (((x @ w.T >= 0) == (y == 1)[:, None]) & (fold[:, None] == held)).sum(axis=0)
 
 
 def _folded(examples: DataFrame, folds: int, seed: int) -> DataFrame:
@@ -68,26 +86,50 @@ def _packed(folded: DataFrame) -> DataFrame:
     return folded.mapInArrow(pack, "x binary, y binary, fold binary").persist()
 
 
+def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for x, y, fold in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "fold")), strict=True):
+        y = np.frombuffer(y)
+        yield np.frombuffer(x).reshape(len(y), -1), y, np.frombuffer(fold, np.int32)
+
+
 def _summed(packed: DataFrame, size: int, part: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Sum of ``part`` (x, y, fold) over all rows: one partial row per task, summed by Spark."""
+    """Sum of ``part`` (x, y, fold) over all rows: a row per task and number, summed by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
-            for x, y, fold in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "fold")), strict=True):
-                y = np.frombuffer(y)
-                total += part(np.frombuffer(x).reshape(len(y), -1), y, np.frombuffer(fold, np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["g"])
+            for x, y, fold in _matrices(batch):
+                total += part(x, y, fold).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["i", "g"])
+
+    out = np.zeros(size)
+    for i, g in packed.mapInArrow(run, "i long, g double").groupBy("i").agg(F.sum("g")).collect():
+        out[i] = g
+    return out
 
-    rows = packed.mapInArrow(run, "g array<double>")
-    return np.array(rows.agg(F.array(*[F.sum(F.col("g")[i]) for i in range(size)])).first()[0])
+
+def _fit_in_one_task(packed: DataFrame, shape: tuple[int, int], held: np.ndarray, epochs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, right rows) of all fits, worked out by a task that holds the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [p for batch in batches for p in _matrices(batch)]
+        if parts:
+            x, y, fold = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            order = np.lexsort((*x.T[::-1], fold, y))  # the sums do not depend on how the rows came
+            x, y, fold = x[order], y[order], fold[order]
+            used = (fold[:, None] != held).sum(axis=0)[:, None]
+            w = _adam(shape, epochs, lambda w: _gradient(x, y, fold, held, w) / used)
+            yield pa.RecordBatch.from_arrays([pa.array([w.ravel().tolist()]), pa.array([_right(x, y, fold, held, w).tolist()])], ["w", "right"])
+
+    row = packed.coalesce(1).mapInArrow(run, "w array<double>, right array<long>").first()
+    return np.array(row["w"]).reshape(shape), np.array(row["right"])
 
 
 def fit(examples: DataFrame, seed: int = 0, epochs: int = EPOCHS) -> Probe:
     """``examples``: id, embedding, label (0/1).  Stratified 80/20 with ten of each class, else up to five folds; then all.
 
     At every size the same full-batch Adam as ``fit_local``; the fits with a fold held out and the one on all rows take
-    their steps together, each step one pass whose gradients are summed by Spark.
+    their steps together, in one task up to ``HELD_VALUES`` and beyond it in passes whose gradients are summed by Spark.
     """
     counts = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
     if min(counts.get(0, 0), counts.get(1, 0)) < MIN_PER_CLASS:
@@ -95,19 +137,15 @@ def fit(examples: DataFrame, seed: int = 0, epochs: int = EPOCHS) -> Probe:
     enough = min(counts.values()) >= 10
     folds = 5 if enough else min(5, *counts.values())
     held = np.array([*([0] if enough else range(folds)), -1])  # -1: no fold is held out
-    packed = _packed(_folded(examples, folds, seed))
+    folded = _folded(examples, folds, seed)
     shape = (len(held), len(examples.select("embedding").first()[0]) + 1)
+    packed = _packed(folded)
     used = _summed(packed, len(held), lambda x, y, fold: (fold[:, None] != held).sum(axis=0))
-    w, m, v = np.zeros(shape), np.zeros(shape), np.zeros(shape)
-    for t in range(1, epochs + 1):
-
-        def gradient(x: np.ndarray, y: np.ndarray, fold: np.ndarray, w: np.ndarray = w) -> np.ndarray:
-            return (((1 / (1 + np.exp(-(x @ w.T))) - y[:, None]) * (fold[:, None] != held)).T @ x).ravel()
-
-        g = _summed(packed, w.size, gradient).reshape(shape) / used[:, None]
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    right = _summed(packed, len(held), lambda x, y, fold: (((x @ w.T >= 0) == (y == 1)[:, None]) & (fold[:, None] == held)).sum(axis=0))
+    if sum(counts.values()) * shape[1] <= HELD_VALUES:
+        w, right = _fit_in_one_task(packed, shape, held, epochs)
+    else:
+        w = _adam(shape, epochs, lambda w: _summed(packed, w.size, lambda x, y, fold: _gradient(x, y, fold, held, w)).reshape(shape) / used[:, None])
+        right = _summed(packed, len(held), lambda x, y, fold: _right(x, y, fold, held, w))
     packed.unpersist()
     accuracy = float((right[:-1] / (used[-1] - used[:-1])).mean())
     return Probe(w[-1, :-1].tolist(), float(w[-1, -1]), accuracy, "80/20" if enough else f"{folds}-fold")

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import pivots
+from ..operators import geo, pivots, requests
 from ..sources import media, scan, vector_store
 from . import blobs
 from .fixtures import Library
@@ -130,3 +130,110 @@ def nn_pruning(t: Library) -> DataFrame:
     found = pivots.nearest_with_counts(all_.where("id % 2 = 0"), pivots.build(references, "label"), 0.9)
     n = references.agg(F.count("*").alias("n"))
     return found.where("score IS NOT NULL").join(F.broadcast(n)).select("id", "label", F.round("score", 4).alias("score"), (F.col("pairs") * 2 < F.col("n")).alias("pruned"))
+
+
+# Requests by picture
+
+
+def _tiles(t: Library) -> DataFrame:
+    """Four tiles for each vector, the first of them the whole image; files whose id ends in 7 have only that one."""
+    tile = F.explode(F.sequence(F.lit(0), F.when(F.col("id") % 10 == 7, 0).otherwise(3))).alias("k")
+    spread = t.vectors.select("id", "embedding", tile)
+    moved = F.transform("embedding", lambda x, i: x.cast("double") * (1 + (i + F.col("k") * 7) % 5))
+    left, top = (F.col("k") % 2) * 300.0, F.floor(F.col("k") / 2) * 200.0
+    whole = F.col("k") == 0
+    return spread.select(
+        F.col("id").alias("file_id"), F.when(whole, 0.0).otherwise(left).alias("x1"), F.when(whole, 0.0).otherwise(top).alias("y1"), F.when(whole, 640.0).otherwise(left + 300).alias("x2"),
+        F.when(whole, 480.0).otherwise(top + 200).alias("y2"), moved.alias("embedding"),
+    )
+
+
+REGION = "region AS (SELECT id AS own, e AS q FROM vectors WHERE id = 3)"
+
+
+@query(
+    f"""WITH {REGION}, tiles AS (SELECT id AS file_id, k, list_transform(e, lambda x, i: x * (1 + (i - 1 + k * 7) % 5)) AS e FROM vectors, range(4) r(k) WHERE k = 0 OR id % 10 <> 7),
+s AS (SELECT file_id, k, list_inner_product(e, q) AS x FROM tiles, region WHERE file_id <> own),
+b AS (SELECT file_id, max(x) AS score, arg_max(k, x) FILTER (k > 0) AS k FROM s GROUP BY 1)
+SELECT file_id, round(score, 4) AS score, CASE WHEN k IS NOT NULL THEN CAST([round(k % 2 * 300 / CASE WHEN file_id % 10 = 7 THEN 1 ELSE 640 END, 4), round((k // 2) * 200 / 480, 4), round((k % 2 * 300 + 300) / 640, 4), round(((k // 2) * 200 + 200) / 480, 4)] AS VARCHAR) END AS box, 'tiles' AS mode
+FROM b ORDER BY score DESC, file_id LIMIT 50""",
+    "vectors",
+)
+def region_by_tiles(t: Library) -> DataFrame:
+    """Files by the tile most like a region, and where in the picture that is."""
+    region = t.vectors.where("id = 3").select(F.col("id").alias("file_id"), "embedding")
+    found = requests.region_search(region, _tiles(t), t.vectors)
+    return found.withColumn("score", F.round("score", 4)).withColumn("box", F.concat(F.lit("["), F.array_join(F.col("box").cast("array<string>"), ", "), F.lit("]")))
+
+
+@query(f"WITH {REGION} SELECT id AS file_id, round(list_inner_product(e, q), 4) AS score, 'whole' AS mode FROM vectors, region WHERE id <> own ORDER BY list_inner_product(e, q) DESC, id LIMIT 50", "vectors")
+def region_by_wholes(t: Library) -> DataFrame:
+    """The same request while no tile has been indexed."""
+    region = t.vectors.where("id = 3").select(F.col("id").alias("file_id"), "embedding")
+    return requests.region_search(region, _tiles(t).where(F.lit(False)), t.vectors).select("file_id", F.round("score", 4).alias("score"), "mode")
+
+
+@query(
+    """WITH q AS (SELECT e AS q FROM vectors WHERE id = 5), f AS (SELECT min(id) AS id, checksum, min(path) AS path FROM listing GROUP BY checksum),
+u AS (SELECT v.id // 3 AS file_id, 'auto:' || v.id AS ref, NULL AS identity, v.e FROM vectors v WHERE v.id % 2 = 0 AND v.id % 10 <> 4
+UNION ALL SELECT f.id, 'manual:' || a.id, a.identity, a.e FROM faces a JOIN f USING (checksum) WHERE a.id % 2 = 1),
+s AS (SELECT u.*, list_inner_product(e, q) AS x FROM u, q), b AS (SELECT * FROM s WHERE x >= 0.1 QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY x DESC, ref) = 1)
+SELECT b.file_id, round(x, 4) AS score, ref, identity, f.path, regexp_extract(f.path, '[^/]*$') AS filename FROM b LEFT JOIN f ON f.id = b.file_id ORDER BY x DESC, b.file_id LIMIT 50""",
+    "faces",
+)
+def search_by_face(t: Library) -> DataFrame:
+    """Files by the face most like one, over detected and curated faces; faces 4, 14, ... were promoted."""
+    detected = t.vectors.where("id % 2 = 0").select("id", F.floor(F.col("id") / 3).alias("file_id"), "embedding")
+    files = t.listing.groupBy("checksum").agg(F.min("id").alias("id"), F.min("path").alias("path"))
+    promoted = t.vectors.where("id % 10 = 4").select("id")
+    found = requests.face_search(t.vectors.where("id = 5"), detected, t.faces.where("id % 2 = 1"), promoted, files, threshold=0.1)
+    return found.withColumn("score", F.round("score", 4))
+
+
+@query(
+    """WITH f AS (SELECT min(id) AS id, checksum, min(path) AS path FROM listing GROUP BY checksum), c AS (SELECT row_number() OVER (ORDER BY checksum) AS o, checksum FROM f),
+q AS (SELECT e AS q FROM vectors WHERE id = 5), near AS (SELECT id, list_inner_product(e, q) AS x FROM vectors, q ORDER BY x DESC, id LIMIT 40),
+person AS (SELECT DISTINCT checksum FROM faces WHERE identity = 'person 2' UNION SELECT checksum FROM listing WHERE id % 50 = 1),
+s AS (SELECT 'similar' AS kind, f.id, f.checksum, -x AS place FROM near JOIN f USING (id) WHERE id <> 5 UNION ALL SELECT 'identity', f.id, checksum, 0 FROM person JOIN f USING (checksum)
+UNION ALL SELECT 'set', f.id, l.checksum, min(CASE WHEN l.id % 3 > 0 THEN 1000 - l.id ELSE 1e9 END) FROM listing l JOIN f USING (checksum) WHERE l.id % 7 = 2 GROUP BY 1, 2, 3)
+SELECT kind, id, checksum, path FROM s JOIN f USING (id, checksum) WHERE id % 4 > 0 QUALIFY row_number() OVER (PARTITION BY kind ORDER BY place, id) <= 20""",
+    "faces",
+)
+def feed_injection(t: Library) -> DataFrame:
+    """More of a person (asked for by an alias), of a set and of what looks alike, without what the feed has."""
+    files = t.listing.groupBy("checksum").agg(F.min("id").alias("id"), F.min("path").alias("path"))
+    aliases = t.spark.createDataFrame([("p2", "person 2")], "alias string, owner string")
+    assigned = t.listing.where("id % 50 = 1").select(F.lit("person 2").alias("identity"), "checksum")
+    members = t.listing.where("id % 7 = 2").select(F.lit(9).alias("set_id"), "checksum", F.when(F.col("id") % 3 > 0, 1000 - F.col("id")).alias("position"))
+    kinds = {"identity": requests.more_of_identity("p2", t.faces, assigned, aliases), "set": requests.more_of_set(9, members), "similar": requests.more_like(5, t.vectors, files)}
+    excluded = files.where("id % 4 = 0")
+    parts = [requests.feed_more(files, more, excluded).select(F.lit(kind).alias("kind"), "id", "checksum", "path") for kind, more in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    """SELECT c_custkey AS set_id, c_name AS name, CASE WHEN a.l IS NULL THEN '' ELSE a.l END AS aliases FROM customer LEFT JOIN
+(SELECT k, string_agg(x, '|' ORDER BY x) AS l FROM (SELECT DISTINCT o_custkey AS k, 'alias ' || o_orderstatus AS x FROM orders) GROUP BY k) a ON k = c_custkey"""
+)
+def cards_with_aliases(t: Library) -> DataFrame:
+    cards = t.sets.select(F.col("id").alias("set_id"), "name")
+    aliases = t.raw("orders").select(F.col("o_custkey").alias("set_id"), F.concat(F.lit("alias "), "o_orderstatus").alias("alias"))
+    return requests.set_aliases(cards, aliases).withColumn("aliases", F.array_join("aliases", "|"))
+
+
+# Places
+
+
+@query(
+    """WITH edge AS (SELECT id, CASE id % 5 WHEN 0 THEN 89.5 WHEN 1 THEN -89.5 ELSE lat END AS lat, CASE id % 3 WHEN 0 THEN 179.95 WHEN 1 THEN -179.95 ELSE lon END AS lon FROM points WHERE lat IS NOT NULL),
+d AS (SELECT p.id, c.id AS city_id, 2 * 6371 * asin(sqrt(least(1, pow(sin(radians(c.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - p.lon) / 2), 2)))) AS km FROM edge p, cities c)
+SELECT id, round(min(km), 1) AS km FROM d GROUP BY id""",
+    "points",
+    "cities",
+)
+def nearest_place(t: Library) -> DataFrame:
+    """The nearest city on the sphere, also of points at the seam of 180 degrees and by the poles."""
+    lat = F.when(F.col("id") % 5 == 0, 89.5).when(F.col("id") % 5 == 1, -89.5).otherwise(F.col("lat"))
+    lon = F.when(F.col("id") % 3 == 0, 179.95).when(F.col("id") % 3 == 1, -179.95).otherwise(F.col("lon"))
+    edge = t.points.where("lat IS NOT NULL").select("id", lat.alias("lat"), lon.alias("lon"))
+    return geo.nearest_city(edge, t.cities, exact=True).select("id", "km")
