@@ -12,12 +12,33 @@ def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], version
     """Write a version of all tables, then the marker that makes it visible (written last, by one task)."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/v={version}/{name}")
+    show_version(spark, root, version)
+
+
+def show_version(spark: SparkSession, root: str, version: int) -> None:
     spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("append").json(f"{root}/_versions")
 
 
-def latest(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = spark.read.schema("version long").json(f"{root}/_versions").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{root}/v={version}/{name}")
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The visible versions, oldest first."""
+    system, at = _files(spark, f"{root}/_versions")
+    if not system.exists(at):
+        return []
+    return sorted({r["version"] for r in spark.read.schema("version long").json(str(at)).collect()})
+
+
+def latest(spark: SparkSession, root: str, name: str | None = None, version: int | None = None) -> DataFrame | dict[str, DataFrame]:
+    """A table of a version (the latest visible one); without a name all its tables."""
+    version = versions(spark, root)[-1] if version is None else version
+    if name is not None:
+        return spark.read.parquet(f"{root}/v={version}/{name}")
+    system, at = _files(spark, f"{root}/v={version}")
+    return {s.getPath().getName(): spark.read.parquet(str(s.getPath())) for s in system.listStatus(at)}
 
 
 def duplicate_lines(classified: DataFrame, *keep: str) -> DataFrame:
