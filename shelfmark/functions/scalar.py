@@ -120,10 +120,9 @@ def parse_box(text: Column) -> Column:
 
 
 def yolo_line(cls: Column, box: Column, width: Column, height: Column) -> Column:
-    """``class cx cy w h`` in shares of the image, six decimals."""
-    return F.format_string(
-        "%s %.6f %.6f %.6f %.6f", cls.cast("string"), (box["x1"] + box["x2"]) / 2 / width, (box["y1"] + box["y2"]) / 2 / height, (box["x2"] - box["x1"]) / width, (box["y2"] - box["y1"]) / height
-    )
+    """``class cx cy w h`` in shares of the image, six decimals, halves to the even digit."""
+    shares = [(box["x1"] + box["x2"]) / 2 / width, (box["y1"] + box["y2"]) / 2 / height, (box["x2"] - box["x1"]) / width, (box["y2"] - box["y1"]) / height]
+    return F.format_string("%s %.6f %.6f %.6f %.6f", cls.cast("string"), *[F.bround(x, 6) for x in shares])
 
 
 def parse_face_ref(ref: Column) -> Column:

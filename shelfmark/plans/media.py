@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import geo, pivots, requests
-from ..sources import media, scan, vector_store
+from ..sources import media, scan, sinks, vector_store
 from . import blobs
 from .fixtures import Library
 from .registry import query
@@ -237,3 +237,34 @@ def nearest_place(t: Library) -> DataFrame:
     lon = F.when(F.col("id") % 3 == 0, 179.95).when(F.col("id") % 3 == 1, -179.95).otherwise(F.col("lon"))
     edge = t.points.where("lat IS NOT NULL").select("id", lat.alias("lat"), lon.alias("lon"))
     return geo.nearest_city(edge, t.cities, exact=True).select("id", "km")
+
+
+# Files written and read back
+
+
+BOXES = """b AS (SELECT l_suppkey::VARCHAR AS checksum, 0 AS class_id, (l_partkey % 50)::DOUBLE AS x1, (l_partkey % 30)::DOUBLE AS y1, (l_partkey % 50 + 1 + l_linenumber)::DOUBLE AS x2, (l_partkey % 30 + 2 + l_linenumber)::DOUBLE AS y2
+FROM lineitem)"""
+
+
+def _boxes(t: Library) -> DataFrame:
+    """A box for each order line, on a picture of its supplier."""
+    part, line = F.col("l_partkey"), F.col("l_linenumber")
+    box = F.struct((part % 50).cast("double").alias("x1"), (part % 30).cast("double").alias("y1"), (part % 50 + 1 + line).cast("double").alias("x2"), (part % 30 + 2 + line).cast("double").alias("y2"))
+    return t.raw("lineitem").select(F.col("l_suppkey").cast("string").alias("checksum"), F.lit(0).alias("class_id"), box.alias("box"), F.lit(64).alias("width"), F.lit(48).alias("height"))
+
+
+@query(
+    f"""WITH {BOXES}, i AS (SELECT checksum, string_agg(printf('%d %.6f %.6f %.6f %.6f', class_id, (x1 + x2) / 2 / 64, (y1 + y2) / 2 / 48, (x2 - x1) / 64, (y2 - y1) / 48), chr(10)
+ORDER BY printf('%d %.6f %.6f %.6f %.6f', class_id, (x1 + x2) / 2 / 64, (y1 + y2) / 2 / 48, (x2 - x1) / 64, (y2 - y1) / 48)) AS labels FROM b GROUP BY 1),
+n AS (SELECT count(*) AS n FROM i)
+SELECT checksum, labels, greatest(1, floor(0.2 * n)::BIGINT) AS n_val, n - greatest(1, floor(0.2 * n)::BIGINT) AS n_train FROM i, n"""
+)
+def detector_dataset(t: Library) -> DataFrame:
+    """The label files of a detector's data set, written one per image and read back from their folder."""
+    root = f"{shared_folder(t.spark).removeprefix('file://')}/detector-{uuid.uuid4().hex}"
+    sinks.detection_dataset(_boxes(t), root, "thing")
+    read = t.spark.read.text(f"{root}/labels", wholetext=True, recursiveFileLookup=True)
+    name = F.col("_metadata.file_path")
+    files = read.select(F.regexp_extract(name, r"([^/]*)\.txt$", 1).alias("checksum"), F.regexp_replace("value", "\n$", "").alias("labels"), F.regexp_extract(name, "/(train|val)/", 1).alias("split"))
+    counts = files.agg(F.count_if(F.col("split") == "val").alias("n_val"), F.count_if(F.col("split") == "train").alias("n_train"))
+    return files.drop("split").join(F.broadcast(counts))

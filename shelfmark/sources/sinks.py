@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import yolo_line
+from .files import register
+
+#: Boxes that a detector needs, share of the images that validate it, and hash buckets in which images are counted.
+MIN_BOXES, VALIDATION, BUCKETS = 10, 0.2, 1024
 
 
 def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], version: int) -> None:
@@ -57,10 +61,43 @@ def detection_labels(boxes: DataFrame) -> DataFrame:
     return lines.groupBy("checksum").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("labels"))
 
 
-def detection_dataset(boxes: DataFrame, path: str, validation_share: float = 0.2) -> None:
-    """The label files under split=train|val; an image is in one split, by the hash of its checksum."""
-    split = F.when(F.pmod(F.xxhash64("checksum"), F.lit(1000)) < int(1000 * validation_share), "val").otherwise("train")
-    detection_labels(boxes).withColumn("split", split).write.mode("overwrite").partitionBy("split").json(path)
+def split_images(images: DataFrame, share: float = VALIDATION, key: str = "checksum") -> DataFrame:
+    """Adds ``split``: of n distinct images exactly max(1, floor(share * n)) are ``val``, in the order of a hash, the others ``train``.
+
+    A single image is for training.  Images are counted in hash buckets, and only the bucket in which the border lies is
+    numbered, so nothing is sorted or gathered as a whole.
+    """
+    spark = images.sparkSession
+    h = F.xxhash64(key)
+    keyed = images.select(key).distinct().withColumn("__b", F.pmod(F.shiftright(h, 20), F.lit(BUCKETS)).cast("int"))
+    counts = sorted(map(tuple, keyed.groupBy("__b").count().collect()))
+    n = sum(c for _, c in counts)
+    wanted, whole, border = max(1, int(share * n)) if n > 1 else 0, [], -1
+    for bucket, count in counts:
+        if count > wanted:
+            border = bucket
+            break
+        whole, wanted = [*whole, bucket], wanted - count
+    inside = keyed.where(F.col("__b").isin(whole)).select(key)
+    some = keyed.where(F.col("__b") == border).orderBy(h, key).limit(wanted).select(key)
+    val = inside.unionByName(some).withColumn("split", F.lit("val"))
+    return images.join(val, key, "left").withColumn("split", F.coalesce("split", F.lit("train"))) if n else images.withColumn("split", F.lit("train"))
+
+
+def label_files(boxes: DataFrame, share: float = VALIDATION) -> DataFrame:
+    """(path, value): a label file for each image, ``labels/<split>/<checksum>.txt``; a box is never parted from its image's others."""
+    path = F.concat(F.lit("labels/"), "split", F.lit("/"), "checksum", F.lit(".txt"))
+    return split_images(detection_labels(boxes), share).select(path.alias("path"), F.concat("labels", F.lit("\n")).alias("value"))
+
+
+def detection_dataset(boxes: DataFrame, root: str, label: str, share: float = VALIDATION) -> None:
+    """The data set of a detector: label files and ``data.yaml``, all or nothing.  Images keep their own folder."""
+    if boxes.count() < MIN_BOXES:
+        raise ValueError(f"at least {MIN_BOXES} boxes are needed")
+    register(boxes.sparkSession)
+    yaml = f"path: {root}\ntrain: images/train\nval: images/val\nnc: 1\nnames: [{label!r}]\n"
+    files = label_files(boxes, share).union(boxes.sparkSession.createDataFrame([("data.yaml", yaml)], "path string, value string"))
+    files.write.format("text_files").mode("overwrite").save(root)
 
 
 def log_errors(errors: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import scalar
 from shelfmark.operators import catalog, curation, geo, probe, queues, rosters, search, vectors
-from shelfmark.sources import scan, sinks
+from shelfmark.sources import files, scan, sinks
 
 
 def rows(df):
@@ -391,11 +391,50 @@ def test_terms_and_failures(spark, tmp_path):
 
 def test_detection_dataset(spark, tmp_path):
     box = F.struct(F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(5.0).alias("x2"), F.lit(10.0).alias("y2"))
-    boxes = spark.range(200).select(F.concat(F.lit("c"), F.col("id") % 100).alias("checksum"), F.lit(1).alias("class_id"), box.alias("box"), F.lit(10).alias("width"), F.lit(20).alias("height"))
-    sinks.detection_dataset(boxes, str(tmp_path / "set"))
-    back = spark.read.json(str(tmp_path / "set"))
-    assert back.count() == 100 and {r["split"] for r in back.select("split").distinct().collect()} == {"train", "val"}
-    assert back.first()["labels"].split("\n") == ["1 0.250000 0.250000 0.500000 0.500000"] * 2
+    boxes = spark.range(200).select(F.concat(F.lit("c"), F.col("id") % 103).alias("checksum"), F.lit(1).alias("class_id"), box.alias("box"), F.lit(10).alias("width"), F.lit(20).alias("height"))
+    root = tmp_path / "set"
+    for _ in range(2):  # a second run replaces the first
+        sinks.detection_dataset(boxes, str(root), "dog's")
+        files = {str(p.relative_to(root)): p.read_text() for p in root.rglob("*.*") if p.is_file()}
+        assert files.pop("data.yaml").endswith("names: [\"dog's\"]\n")
+        assert sum("/val/" in f for f in files) == 20 and sum("/train/" in f for f in files) == 83
+        assert files["labels/train/c5.txt" if "labels/train/c5.txt" in files else "labels/val/c5.txt"] == "1 0.250000 0.250000 0.500000 0.500000\n" * 2
+        assert not list(root.glob("_staged*"))
+    with pytest.raises(ValueError):
+        sinks.detection_dataset(boxes.limit(9), str(root), "x")
+
+
+def test_an_aborted_write_leaves_no_file(spark, tmp_path):
+    files.register(spark)
+    root = tmp_path / "out"
+    rows = spark.range(40).select(F.concat(F.lit("a/"), "id").alias("path"), F.when(F.col("id") == 33, F.raise_error(F.lit("lost")).cast("string")).otherwise("x").alias("value")).repartition(4)
+    with pytest.raises(Exception, match="lost"):
+        rows.write.format("text_files").mode("append").save(str(root))
+    assert not [p for p in root.rglob("*") if p.is_file()]
+    with pytest.raises(Exception, match="outside"):
+        spark.createDataFrame([("../x", "y")], "path string, value string").write.format("text_files").mode("append").save(str(root))
+
+
+def test_split_is_exact(spark):
+    for n, val in ((1, 0), (2, 1), (4, 1), (10, 2), (999, 199)):
+        images = spark.range(n).select(F.concat(F.lit("c"), "id").alias("checksum"))
+        got = sinks.split_images(images.union(images)).groupBy("split").count().collect()
+        assert {r["split"]: r["count"] for r in got} == {k: v for k, v in (("val", 2 * val), ("train", 2 * (n - val))) if v}
+    assert sinks.split_images(images.limit(0)).count() == 0
+
+
+def test_listing_of_a_tree(spark, tmp_path):
+    names = ["a.txt", "x/b.txt", "x/y/c.txt", "z/d.txt", "z/.media/e.txt", ".media/f.txt"]
+    for k, name in enumerate(names):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("1" * k)
+    files.register(spark)
+    for depth in (0, 1, 2, 5):
+        got = spark.read.format("file_tree").option("depth", depth).load(str(tmp_path))
+        assert sorted((r["path"], r["size"]) for r in got.collect()) == [(n, k) for k, n in enumerate(names[:4])]
+    assert spark.read.format("file_tree").option("skip", "").load(str(tmp_path)).count() == 6
+    assert spark.read.format("file_tree").load(f"file://{tmp_path}").where("size > 1").count() == 2
+
 
 
 def test_windowed_views(spark, tmp_path):
