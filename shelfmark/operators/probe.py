@@ -158,6 +158,30 @@ def score(vectors: DataFrame, probe: Probe) -> DataFrame:
     return vectors.select("id", (1 / (1 + F.exp(-z))).alias("score"))
 
 
+def suggest(vectors: DataFrame, probe: Probe, decided: DataFrame, excluded: DataFrame, count: int) -> DataFrame:
+    """(id, checksum, score): the rows that a probe scores best, without those decided (checksum) or already shown (id)."""
+    open_rows = vectors.join(decided.select("checksum"), "checksum", "left_anti").join(excluded.select("id"), "id", "left_anti")
+    best = score(open_rows, probe).orderBy(F.desc("score"), "id").limit(count)
+    return best.join(vectors.select("id", "checksum"), "id")
+
+
+def training_state(tags: DataFrame, boxes: DataFrame, status: DataFrame, alive: DataFrame, min_boxes: int = 10) -> DataFrame:
+    """(label, n_positive, n_negative, n_boxes, can_fit, can_detect, status, error) of each label that has a decision.
+
+    ``tags``: label, polarity of whole images and regions; ``boxes``: label, a row per positive box; ``status``: label,
+    status, pid, error of the last training; ``alive``: pid of the processes that run.  A training that is said to run but
+    whose process is gone has failed; one without a process yet has not.
+    """
+    counted = tags.groupBy("label").agg(F.count_if(F.col("polarity") == "positive").alias("n_positive"), F.count_if(F.col("polarity") != "positive").alias("n_negative"))
+    n = boxes.groupBy("label").agg(F.count("*").alias("n_boxes"))
+    running = status.join(F.broadcast(alive.select("pid").distinct().withColumn("__alive", F.lit(True))), "pid", "left")
+    died = (F.col("status") == "running") & F.col("pid").isNotNull() & F.col("__alive").isNull()
+    told = running.select("label", F.when(died, "failed").otherwise(F.col("status")).alias("status"), F.when(died, "the training process is gone").otherwise(F.col("error")).alias("error"))
+    both = counted.join(n, "label", "left").join(told, "label", "left").withColumn("n_boxes", F.coalesce("n_boxes", F.lit(0)))
+    enough = (F.col("n_positive") >= MIN_PER_CLASS) & (F.col("n_negative") >= MIN_PER_CLASS)
+    return both.select("label", "n_positive", "n_negative", "n_boxes", enough.alias("can_fit"), (F.col("n_boxes") >= min_boxes).alias("can_detect"), "status", "error")
+
+
 def calibrate(scored: DataFrame, is_clean, low: float = 0.10, high: float = 0.95, epsilon: float = 0.03, rounds: int = 8, batch: int = 5) -> float:
     """Threshold by bisection: the lowest scores in [test, safe) are reviewed; a clean batch lowers safe, a dirty one lifts risky.
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.scalar import MIN_TILE_PX, tiles
 from .curation import replace_group
 
+#: Least side of a body that is cropped.
+MIN_BODY_PX = 8
+
 
 def unprocessed(files: DataFrame, done: DataFrame, where: Column | None = None, key: str = "file_id") -> DataFrame:
     """Files without a row in ``done`` (rows of the primary frame when the table has frames)."""
@@ -55,6 +58,22 @@ def take_outcomes(table: DataFrame, markers: DataFrame, outcomes: DataFrame, sta
     return replace_group(table, found, ["file_id"], done.select("file_id")), mark_processed(markers, done, stage), failed
 
 
+def run_stage(files: DataFrame, table: DataFrame, markers: DataFrame, model, schema: str, stage: str, at: str, where: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A whole stage: its queue, the model once on each file, its outcomes written to the folder ``at``, and ``take_outcomes`` of them."""
+    run_model(stage_queue(files, markers, stage, where), model, schema).write.mode("overwrite").parquet(at)
+    return take_outcomes(table, markers, files.sparkSession.read.schema(schema).parquet(at), stage)
+
+
+def body_crops(boxes: DataFrame, least: int = MIN_BODY_PX) -> DataFrame:
+    """The boxes (``box``, of an image ``width`` x ``height``) as whole pixels inside the image; those under ``least`` pixels go."""
+    corner = lambda c, side: F.least(F.floor(side).cast("long"), F.floor(c).cast("long"))
+    low = lambda c: F.greatest(F.lit(0).cast("long"), F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast("long"))
+    b = F.col("box")
+    cut = F.struct(low(b["x1"]).alias("x1"), low(b["y1"]).alias("y1"), corner(b["x2"], F.col("width")).alias("x2"), corner(b["y2"], F.col("height")).alias("y2"))
+    out = boxes.withColumn("box", cut)
+    return out.where((F.col("box.x2") - F.col("box.x1") >= least) & (F.col("box.y2") - F.col("box.y1") >= least))
+
+
 def tile_queue(images: DataFrame, min_px: int = MIN_TILE_PX) -> DataFrame:
     """(file_id, tile_index, box) of the tiles of sized images, in order, as a model takes them."""
     boxes = tiles(F.col("width"), F.col("height"), min_px)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import catalog, composed, curation, lookups, probe, queues, rosters, search, vectors
 from ..sources import scan, sinks
-from .fixtures import Library
+from .fixtures import Library, shared_folder
 from .registry import query
 
 # Listings in every order
@@ -586,9 +587,8 @@ def index_stage(t: Library) -> DataFrame:
     other = files.select(F.col("id").alias("file_id"), F.lit("embed").alias("stage"))
     markers = seen.unionByName(other)
     table = files.select(F.col("id").alias("file_id"), F.lit("old").alias("class_name"), F.lit(1.0).alias("confidence"))
-    queue = queues.stage_queue(files, markers, "detect")
-    outcomes = queues.run_model(queue, _word_model, "file_id long, class_name string, confidence double, error string")
-    rows, done, failed = queues.take_outcomes(table, markers, outcomes, "detect")
+    at = f"{shared_folder(t.spark)}/outcomes-{uuid.uuid4().hex}"
+    rows, done, failed = queues.run_stage(files, table, markers, _word_model, "file_id long, class_name string, confidence double, error string", "detect", at)
     parts = [
         rows.select(F.lit("table").alias("part"), "file_id", F.col("class_name").alias("what"), F.round("confidence", 9).alias("confidence")),
         done.where("stage = 'detect'").select(F.lit("done").alias("part"), "file_id", F.col("stage").alias("what"), F.lit(None).cast("double").alias("confidence")),

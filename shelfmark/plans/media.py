@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import geo, pivots, requests
+from ..operators import geo, pivots, probe, queues, requests
 from ..sources import media, scan, sinks, vector_store
 from . import blobs
-from .fixtures import Library
+from .fixtures import Library, shared_folder
 from .registry import query
 
 # Bytes of files
@@ -100,14 +99,6 @@ def nn_pruned(t: Library) -> DataFrame:
     return found.withColumn("score", F.round("score", 4))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local session that names none gets a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and not spark.conf.get("spark.master", "").startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (where or tempfile.mkdtemp(prefix="shelfmark-")).rstrip("/")
-
-
 @query(NEAREST, "faces")
 def nn_from_store(t: Library) -> DataFrame:
     """The same from a stored version of the references, read where they lie."""
@@ -268,3 +259,47 @@ def detector_dataset(t: Library) -> DataFrame:
     files = read.select(F.regexp_extract(name, r"([^/]*)\.txt$", 1).alias("checksum"), F.regexp_replace("value", "\n$", "").alias("labels"), F.regexp_extract(name, "/(train|val)/", 1).alias("split"))
     counts = files.agg(F.count_if(F.col("split") == "val").alias("n_val"), F.count_if(F.col("split") == "train").alias("n_train"))
     return files.drop("split").join(F.broadcast(counts))
+
+
+# Training of tags
+
+
+@query(
+    """SELECT v.id, s.checksum, round(1 / (1 + exp(-(list_sum(list_transform(v.e, lambda x, i: x * ((i - 1) % 7 - 3))) + 0.25))), 6) AS score FROM vectors v JOIN listing s USING (id)
+WHERE s.checksum NOT IN (SELECT checksum FROM tags WHERE label = 'quality') AND v.id % 5 > 0 ORDER BY score DESC, v.id LIMIT 40""",
+    "vectors",
+    "tags",
+)
+def suggestions_by_probe(t: Library) -> DataFrame:
+    """Undecided files that a probe of given weights scores best, without those already shown."""
+    given = probe.Probe([float(i % 7 - 3) for i in range(64)], 0.25, 1.0, "given")
+    vectors = t.vectors.join(t.listing.select("id", "checksum"), "id")
+    decided = t.tags.where("label = 'quality'").select("checksum").distinct()
+    return probe.suggest(vectors, given, decided, t.vectors.where("id % 5 = 0"), 40).withColumn("score", F.round("score", 6))
+
+
+@query(
+    """WITH g AS (SELECT p_brand AS label, count(*) FILTER (l_linenumber <= 2) AS n_positive, count(*) FILTER (l_linenumber > 2) AS n_negative, count(*) FILTER (l_linenumber = 1) AS n_boxes, min(p_partkey) AS k FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
+SELECT label, n_positive, n_negative, n_boxes, n_positive >= 5 AND n_negative >= 5 AS can_fit, n_boxes >= 10 AS can_detect, CASE WHEN k % 3 = 0 THEN 'done' WHEN k % 3 = 1 AND k % 2 = 0 THEN 'failed' WHEN k % 3 = 1 THEN 'running' END AS status,
+CASE WHEN k % 3 = 1 AND k % 2 = 0 THEN 'the training process is gone' END AS error FROM g"""
+)
+def training_states(t: Library) -> DataFrame:
+    """Brands as labels, order lines as their examples; trainings that run, are done, or whose process is gone."""
+    lines = t.raw("lineitem").join(t.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("label")), "l_partkey")
+    tags = lines.select("label", F.when(F.col("l_linenumber") <= 2, "positive").otherwise("negative").alias("polarity"))
+    first = lines.groupBy("label").agg(F.min("l_partkey").alias("k"))
+    status = first.where("k % 3 < 2").select("label", F.when(F.col("k") % 3 == 0, "done").otherwise("running").alias("status"), F.col("k").alias("pid"), F.lit(None).cast("string").alias("error"))
+    return probe.training_state(tags, lines.where("l_linenumber = 1"), status, first.where("k % 2 = 1").select(F.col("k").alias("pid")))
+
+
+@query(
+    """WITH b AS (SELECT l_orderkey AS file_id, l_linenumber AS n, greatest(0, trunc(l_partkey % 40 - 6.5))::BIGINT AS x1, greatest(0, trunc(l_partkey % 30 - 4.25))::BIGINT AS y1, least(60, trunc(l_partkey % 40 - 6.5 + l_quantity))::BIGINT AS x2, least(50, trunc(l_partkey % 30 - 4.25 + 2 * l_quantity))::BIGINT AS y2 FROM lineitem)
+SELECT file_id, count(*) AS n_crops, sum(x1 + 3 * y1 + 5 * x2 + 7 * y2)::BIGINT AS digest FROM b WHERE x2 - x1 >= 8 AND y2 - y1 >= 8 GROUP BY 1"""
+)
+def body_crops(t: Library) -> DataFrame:
+    """Boxes of people cut to their pictures."""
+    x, y, q = F.col("l_partkey") % 40 - 6.5, F.col("l_partkey") % 30 - 4.25, F.col("l_quantity").cast("double")
+    box = F.struct(x.alias("x1"), y.alias("y1"), (x + q).alias("x2"), (y + 2 * q).alias("y2"))
+    crops = queues.body_crops(t.raw("lineitem").select(F.col("l_orderkey").alias("file_id"), box.alias("box"), F.lit(60).alias("width"), F.lit(50).alias("height")))
+    digest = F.col("box.x1") + 3 * F.col("box.y1") + 5 * F.col("box.x2") + 7 * F.col("box.y2")
+    return crops.groupBy("file_id").agg(F.count("*").alias("n_crops"), F.sum(digest).alias("digest"))
