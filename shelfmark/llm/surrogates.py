@@ -7,7 +7,7 @@ two digits and get a valid check digit, IBANs keep their country and get valid o
 domain becomes a reserved one; a name keeps its title and number of words and ends as names of that gender do.
 
 A replacement is drawn from SHA-256 of a secret key, the kind, the entity in canonical form (digits only, lower case; a
-name with the gender of its title, so "Mr. Smith" and "Herr Smith" are one) and an attempt number.  Equal entities thus
+name with the gender of its title, so "Mr. Smith" and "Herr Smith" are one; a telephone number without a country code 1) and an attempt number.  Equal entities thus
 get equal replacements in all documents and formats (coreference).  All distinct entities of the corpus are checked: of
 those that drew the same replacement, or one that is itself an entity of the corpus, only the least keeps it, the others
 draw again until all are distinct within their kind.  Mail names and names grow with the attempts, so they cannot run out; a
@@ -40,22 +40,45 @@ GROUP = "(?:(?! (?:" + "|".join([IP, CARD, SSN, LOCAL + "(?![0-9A-Za-z])"]) + ")
 #: Ten national digits as 3-3-4 are a whole number, and what follows is not part of it; other layouts have two to four groups.
 WHOLE = r"\+(?:1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z]|[.-][0-9])"
 PHONE = r"(?<![0-9A-Za-z])(?:" + WHOLE + r"|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})" + GROUP + r"{2,4}|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|" + LOCAL + ")(?![0-9A-Za-z])"
-TITLE = r"(?:Mrs?\.|Ms\.|Herr|Frau|Señora?|Monsieur|Madame|Господин|Госпожа)"
+#: Titles; those that may also stand behind a name or a letter (fixed first) count only where no capital word is before them.
+TITLE = (
+    r"(?:(?<!\p{Lu}[\p{L}'’-]{0,30} )(?:Sr|M)\.|(?:Mrs?|Ms|Dr|Prof|Sra|Srta|MRS?|MS|DR|PROF)\.|Miss|MISS|Mister|Herr|HERR|Frau|FRAU|Señora?|SEÑORA?|Monsieur|Madame|Mme|Mlle|Господин|ГОСПОДИН|Госпожа|ГОСПОЖА)"
+)
+#: A name: a capital, then letters and inner apostrophes and hyphens up to the end of the word.
+WORD = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-][\p{L}][\p{L}\p{M}]*+)*+(?![\p{L}\p{N}])"
+#: Words in capitals that are no second name.
+JOINING = "AND|OR|THE|IS|WAS|HAS|HAD|OF|FROM|TO|IN|AT|UND|ODER|IST|WAR|HAT|VON|AUS|ET|OU|EST|DE|Y|EN|И|ИЛИ"
+#: Length of an IBAN by its country (fixed values).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC",
+}
+
+
+def _iban_pattern() -> str:
+    """Country, check digits and the groups of four that its length leaves, the last one shorter."""
+    of = []
+    for length, countries in IBAN_LENGTHS.items():
+        groups, rest = divmod(length - 4, 4)
+        of.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{{groups}}}" + (f" ?[0-9A-Z]{{{rest}}}" if rest else ""))
+    return r"(?<![0-9A-Za-z])(?:" + "|".join(of) + r")(?![0-9A-Za-z])"
+
+
 #: Kinds in the order in which a match is named, with their patterns (Java).
 KINDS: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z])",
+    "iban": _iban_pattern(),
     "ip": IP,
     "card": CARD,
     "ssn": SSN,
     "phone": PHONE,
-    "name": r"(?<![\p{L}\p{N}])" + TITLE + r" \p{Lu}\p{Ll}+(?: (?!" + TITLE + r"(?!\p{L}))\p{Lu}\p{Ll}+)?",
+    "name": r"(?<![\p{L}\p{N}])" + TITLE + " " + WORD + "(?: (?!(?:" + TITLE + "|" + JOINING + r")(?!\p{L}))" + WORD + ")?",
 }
 ANY_KIND = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A text without any of these holds no entity.
-HINT = r"[0-9@]|Mrs?\.|Ms\.|Herr|Frau|Señor|Monsieur|Madame|Госпо"
-FEMALE = r"^(?:Mrs\.|Ms\.|Frau|Señora|Madame|Госпожа) "
+HINT = r"[0-9@]|(?:Sr|M|Mrs?|Ms|Dr|Prof|Sra|Srta|MRS?|MS|DR|PROF)\. |Miss|MISS|Mister|Herr|HERR|Frau|FRAU|Señor|SEÑOR|Monsieur|Madame|Mme|Mlle|Госпо|ГОСПО"
+FEMALE = r"^(?:Mrs\.|MRS\.|Ms\.|MS\.|Miss|MISS|Frau|FRAU|Señora|SEÑORA|Sra\.|Srta\.|Madame|Mme|Mlle|Госпожа|ГОСПОЖА) "
 #: First letters of a canonical name, by gender.
 FEMALE_MARK, MALE_MARK = "f ", "m "
 LATIN = ["ba", "de", "fi", "go", "lu", "ma", "ne", "pi", "ro", "su", "ta", "ve", "wi", "jo", "ha", "ke"]
@@ -64,11 +87,25 @@ MAX_ATTEMPTS = 64
 
 
 def kind_of(surface: Column) -> Column:
-    """Kind of a match; null for a number that has the shape of a card's but no valid check digit."""
+    """Kind of a match; null for what has the shape of a card number or an IBAN but not its check digits."""
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(KINDS.items()):
         out = F.when(surface.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(out)
-    return F.when((out == "card") & (_luhn(F.regexp_replace(surface, "[^0-9]", ""), 1) % 10 != 0), F.lit(None)).otherwise(out)
+    number = F.replace(surface, F.lit(" "), F.lit(""))
+    moved = F.concat(F.substr(number, F.lit(5), F.length(number)), F.substr(number, F.lit(1), F.lit(4)))
+    wrong = ((out == "card") & (_luhn(F.regexp_replace(surface, "[^0-9]", ""), 1) % 10 != 0)) | ((out == "iban") & (_mod97(moved) != 1))
+    return F.when(wrong, F.lit(None)).otherwise(out)
+
+
+def _mod97(text: Column) -> Column:
+    """Remainder by 97 of the number in which each capital stands for its two digits (A is 10)."""
+    number = lambda c: F.when(c.rlike("[A-Z]"), F.ascii(c) - 55).otherwise(F.try_to_number(c, F.lit("9")).cast("int"))
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda acc, c: F.pmod(acc * F.when(c.rlike("[A-Z]"), 100).otherwise(10) + number(c), F.lit(97)).cast("int"))
+
+
+def _international(surface: Column) -> Column:
+    """Whether a telephone number has the country code 1 before its ten national digits."""
+    return surface.startswith("+1") & (F.length(F.regexp_replace(surface, "[^0-9]", "")) == 11)
 
 
 def _luhn(digits: Column, first: int) -> Column:
@@ -80,7 +117,8 @@ def _luhn(digits: Column, first: int) -> Column:
 def canonical(kind: Column, surface: Column) -> Column:
     digits = F.regexp_replace(surface, "[^0-9]", "")
     return (
-        F.when(kind.isin("card", "ssn", "phone"), digits)
+        F.when((kind == "phone") & _international(surface), F.substr(digits, F.lit(2), F.lit(10)))
+        .when(kind.isin("card", "ssn", "phone"), digits)
         .when(kind == "iban", F.replace(surface, F.lit(" "), F.lit("")))
         .when(kind == "email", F.lower(surface))
         .when(kind == "name", F.concat(F.when(surface.rlike(FEMALE), FEMALE_MARK).otherwise(MALE_MARK), F.lower(F.regexp_replace(surface, r"^\S+ ", ""))))
@@ -131,9 +169,7 @@ def _card(value: Column, stream: Column) -> Column:
 def _iban(value: Column, stream: Column) -> Column:
     """The country stays, letters and digits are drawn, the two check digits are those of ISO 7064 (mod 97)."""
     country, body = F.substr(value, F.lit(1), F.lit(2)), F.substr(_masked(value, stream), F.lit(5), F.length(value))
-    number = lambda c: F.when(c.rlike("[A-Z]"), F.ascii(c) - 55).otherwise(c.cast("int"))
-    rest = F.aggregate(F.split(F.concat(body, country, F.lit("00")), ""), F.lit(0), lambda acc, c: F.pmod(acc * F.when(c.rlike("[A-Z]"), 100).otherwise(10) + number(c), F.lit(97)).cast("int"))
-    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), body)
+    return F.concat(country, F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0"), body)
 
 
 def _name(value: Column, stream: Column, attempt: Column) -> Column:
@@ -173,14 +209,16 @@ def surrogate(kind: Column, value: Column, attempt: Column, s: Column) -> Column
 
 def dress(kind: Column, surface: Column, replacement: Column) -> Column:
     """The replacement in the format of the surface."""
-    # The k-th digit or capital of the surface becomes the k-th character of the replacement.
-    place = lambda i: F.length(F.regexp_replace(F.substr(surface, F.lit(1), i + 1), "[^0-9A-Z]", ""))
-    filled = F.array_join(F.transform(F.split(surface, ""), lambda c, i: F.when(c.rlike("[0-9A-Z]"), F.substr(replacement, place(i), F.lit(1))).otherwise(c)), "")
+    # The k-th digit or capital of the surface becomes the k-th character of the replacement; a country code 1 stays.
+    code = F.when((kind == "phone") & _international(surface), 1).otherwise(0)
+    place = lambda i: F.length(F.regexp_replace(F.substr(surface, F.lit(1), i + 1), "[^0-9A-Z]", "")) - code
+    filled = F.array_join(F.transform(F.split(surface, ""), lambda c, i: F.when(c.rlike("[0-9A-Z]") & (place(i) > 0), F.substr(replacement, place(i), F.lit(1))).otherwise(c)), "")
     title = F.regexp_extract(surface, r"^\S+ ", 0)
-    shouted = (F.upper(surface) == surface) & (F.lower(surface) != surface)
+    bare = F.when(kind == "name", F.regexp_replace(surface, r"^\S+ ", "")).otherwise(surface)
+    shouted = (F.upper(bare) == bare) & (F.lower(bare) != bare)
     return (
         F.when(kind.isin("card", "ssn", "phone", "iban"), filled)
-        .when(kind == "name", F.concat(title, F.initcap(replacement)))
+        .when(kind == "name", F.concat(title, F.when(shouted, F.upper(replacement)).otherwise(F.initcap(replacement))))
         .when((kind == "email") & shouted, F.upper(replacement))
         .otherwise(replacement)
     )

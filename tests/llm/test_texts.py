@@ -78,12 +78,15 @@ def test_surrogates_stay_distinct(spark):
 
 def kind_by_hand(surface):
     kind = next(k for k, p in surrogates.KINDS.items() if regex.fullmatch(p, surface))
-    return None if kind == "card" and not luhn(re.sub("[^0-9]", "", surface)) else kind
+    if (kind == "card" and not luhn(re.sub("[^0-9]", "", surface))) or (kind == "iban" and mod97(surface.replace(" ", "")) != 1):
+        return None
+    return kind
 
 
 def value_by_hand(kind, surface):
     if kind in ("card", "ssn", "phone"):
-        return re.sub("[^0-9]", "", surface)
+        digits = re.sub("[^0-9]", "", surface)
+        return digits[1:] if kind == "phone" and surface.startswith("+1") and len(digits) == 11 else digits
     if kind == "name":
         return ("f " if regex.match(surrogates.FEMALE, surface) else "m ") + surface.split(" ", 1)[1].lower()
     return {"iban": surface.replace(" ", ""), "email": surface.lower()}.get(kind, surface)
@@ -93,6 +96,39 @@ def mod97(iban):
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+PLANTED = [  # text, what must be gone from it, what must stay; written without a look at the patterns
+    ("Mrs. Smith-Jones rang.", ["Smith", "Jones"], ["Mrs. ", " rang."]),
+    ("Mr. McDonald, then Mr. O'Brien and Mr. O’Neill-Smythe.", ["Donald", "Brien", "Neill", "Smythe"], [", then Mr. ", " and Mr. "]),
+    ("Herr Müller-Lüdenscheidt sah Frau Groß.", ["Müller", "denscheidt", "Groß"], ["Herr ", " sah Frau "]),
+    ("MR. SMITH AND MRS. JOHN DOE", ["SMITH", "DOE"], ["MR. ", " AND MRS. "]),
+    ("Dr. Watson, Prof. Moriarty, Mme Curie, Miss Marple, el Sr. García, la Sra. Ruiz.", ["Watson", "Moriarty", "Curie", "Marple", "García", "Ruiz"], ["Dr. ", "Prof. ", "Mme ", "Miss ", "el Sr. ", "la Sra. "]),
+    ("Boris M. Bell and John Smith Sr. He left.", [], ["Boris M. Bell and John Smith Sr. He left."]),
+    ("AT61 1904 3002 3457 3201 EUR now", ["1904", "3201"], ["AT", " EUR now"]),
+    ("to NO93 8601 1117 947.", ["8601", "947"], ["to NO", "."]),
+    ("AB12 CDEF GHIJ KLMN OPQR and DE89 3704 0044 0532 0130 01", [], ["AB12 CDEF GHIJ KLMN OPQR and DE89 3704 0044 0532 0130 01"]),
+    ("+1 (826) 555-4081 or (826) 555-4081 or 826-555-4081", ["555-4081"], ["+1 ("]),
+    ("key " + "0123456789abcdef" * 12, ["0123456789abcdef"], ["key "]),
+]
+
+
+def test_planted_entities(spark):
+    out = {r["doc_id"]: r["text"] for r in surrogates.op5_surrogates(spark, docs(spark, [(k, t) for k, (t, _, _) in enumerate(PLANTED)])).collect()}
+    for k, (text, gone, stays) in enumerate(PLANTED):
+        assert not [g for g in gone if g in out[k]], (text, out[k])
+        assert not [s for s in stays if s not in out[k]], (text, out[k])
+    first, second, third = (re.sub("[^0-9]", "", p) for p in out[9].split(" or "))
+    assert first == "1" + second == "1" + third
+    assert len(out[10]) == len(PLANTED[10][0]) and re.fullmatch(r"MR\. [A-Z]+ AND MRS\. [A-Z]+ [A-Z]+", out[3])
+
+
+def test_one_entity_in_many_forms(spark):
+    """An IBAN before a word, with and without blanks, and a hyphenated name beside its first half."""
+    texts = ["AT61 1904 3002 3457 3201 EUR", "AT611904300234573201", "Mrs. Smith", "Mrs. Smith-Jones", "MRS. SMITH"]
+    out = [r["text"] for r in surrogates.op5_surrogates(spark, docs(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert out[0].replace(" ", "") == out[1] + "EUR" and mod97(out[1]) == 1
+    assert out[4] == "MRS. " + out[2].split(" ")[1].upper() and out[3].split(" ")[1] != out[2].split(" ")[1]
+
+
 def test_surrogates_against_brute_force(spark, sf_dir):
     """Every text: nothing but its entities changes, one entity has one replacement everywhere, none is an entity of the corpus."""
     made = [(1_000_000, PII), (1_000_001, PII + " Herr Smith and Monsieur Smith saw Mrs. Smith. GB82 WEST 1234 5698 7654 32"), (None, PII), (None, None), (1_000_002, "Mr. Smith " * 3000), (1_000_002, "Mr. Smith " * 3000)]
