@@ -41,7 +41,7 @@ BLANK = "▁"
 SLICE_BYTES, SLICE_TEXTS = 1_000_000, 2_000
 SUMS = ("n_a", "n_b", "n_groups", "n_links")
 #: Pieces of text, and their bytes, that a process remembers before it starts afresh; pieces that are aligned at once.
-MAX_PIECES, MAX_PIECE_BYTES, ALIGN_AT_ONCE = 500_000, 10_000_000, 20_000
+MAX_PIECES, MAX_PIECE_BYTES, ALIGN_AT_ONCE = 350_000, 8_000_000, 10_000
 #: Pairs that are summed without a shuffle, and pairs that a task counts before it hands them on.
 HOT, FLUSH = 1_000_000, 2_000_000
 #: Letters in every version of Unicode, as ranges.
