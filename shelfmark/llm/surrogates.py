@@ -42,7 +42,7 @@ WHOLE = r"\+(?:1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9
 PHONE = r"(?<![0-9A-Za-z])(?:" + WHOLE + r"|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})" + GROUP + r"{2,4}|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|" + LOCAL + ")(?![0-9A-Za-z])"
 #: Titles; those that may also stand behind a name or a letter (fixed first) count only where no capital word is before them.
 TITLE = (
-    r"(?:(?<!\p{Lu}[\p{L}'’-]{0,30} )(?:Sr|M)\.|(?:Mrs?|Ms|Dr|Prof|Sra|Srta|MRS?|MS|DR|PROF)\.|Miss|MISS|Mister|Herr|HERR|Frau|FRAU|Señora?|SEÑORA?|Monsieur|Madame|Mme|Mlle|Господин|ГОСПОДИН|Госпожа|ГОСПОЖА)"
+    r"(?:(?:Sr|M)\.(?<!\p{Lu}[\p{L}'’-]{0,30} (?:Sr|M)\.)|(?:Mrs?|Ms|Dr|Prof|Sra|Srta|MRS?|MS|DR|PROF)\.|Miss|MISS|Mister|Herr|HERR|Frau|FRAU|Señora?|SEÑORA?|Monsieur|Madame|Mme|Mlle|Господин|ГОСПОДИН|Госпожа|ГОСПОЖА)"
 )
 #: A name: a capital, then letters and inner apostrophes and hyphens up to the end of the word.
 WORD = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-][\p{L}][\p{L}\p{M}]*+)*+(?![\p{L}\p{N}])"
@@ -61,7 +61,7 @@ def _iban_pattern() -> str:
     for length, countries in IBAN_LENGTHS.items():
         groups, rest = divmod(length - 4, 4)
         of.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{{groups}}}" + (f" ?[0-9A-Z]{{{rest}}}" if rest else ""))
-    return r"(?<![0-9A-Za-z])(?:" + "|".join(of) + r")(?![0-9A-Za-z])"
+    return r"(?<![0-9A-Za-z])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(of) + r")(?![0-9A-Za-z])"
 
 
 #: Kinds in the order in which a match is named, with their patterns (Java).
