@@ -16,13 +16,18 @@ and small-star steps on tables in the shared folder.
 
 A pair is judged first by its parity maps: each shingle of a text flips one of 512 bits, so two maps differ in at most as
 many bits as the sets differ in elements, and a pair whose maps differ in more than the similarity allows is out for
-certain.  Only the pairs that this bound leaves, hardly more than the links, become rows and are compared exactly.
+certain.  A set of more than 512 elements has a second map, whose bits are the next power of two, so the bound stays as
+tight for long texts: below a similarity of some 0.74 to 0.78 it rules a pair out, whatever the length.  Maps of two sizes
+are compared by folding the longer one.  All of this is a condition of the join; only the pairs that the bound leaves
+become rows, each of them once over all rounds, and are compared exactly.
 
-Weights: ``set`` (each distinct shingle weighs 1; similarity is the Jaccard of the shingle sets, the default) or
-``count`` (weighted Jaccard of shingle counts).
+Weights: ``set`` (each distinct shingle weighs 1; similarity is the Jaccard of the shingle sets, the default, because
+near-duplicates are defined by the sets) or ``count`` (weighted Jaccard of shingle counts, where the darts meet several
+weight regions of an element).
 
 Defined results: equal texts always share a group; a text without words only joins its equals; a null text is a group
-of its own row; the group's id is its least doc_id; repeated rows stay; extra columns are ignored.
+of its own row; the group's id is its least doc_id, its class id the text identity of its least row (null for a null
+text), which no two groups share; repeated rows stay; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,7 +52,7 @@ ELECTED_FIRST, ELECTED_GROWTH = 1, 32
 SMALL_BUCKET = 8
 #: Members of a bucket that one task holds against the elected; a larger bucket is dealt out in parts.
 PART = 1024
-#: Words of 64 bits in a parity map.
+#: Words of 64 bits in the parity map that every text has; larger sets have a longer one besides.
 MAP_WORDS = 8
 MAP = [f"m{k}" for k in range(MAP_WORDS)]
 
@@ -158,26 +163,56 @@ def text_key(text: str = "text"):
     return F.unhex(F.md5(F.col(text).cast("binary")))
 
 
-def parity_maps(n_texts: int, text: np.ndarray, element: np.ndarray, count: np.ndarray, words: int = MAP_WORDS) -> np.ndarray:
-    """(n_texts x words) maps in which every element, as often as it counts, has flipped a bit."""
-    bits = 64 * words
-    if (count > 1).any():  # the k-th occurrence is an element of its own
-        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        text, element = np.repeat(text, count), np.repeat(element, count) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    place = text * bits + (_mix(element) % np.uint64(bits)).astype(np.int64)
-    odd = (np.bincount(place, minlength=n_texts * bits) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(n_texts, bits), axis=1).view(np.int64)
+def occurrences(text: np.ndarray, element: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, element) once for each time it counts; the k-th occurrence is an element of its own."""
+    if not (count > 1).any():
+        return text, element
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(text, count), np.repeat(element, count) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def parity_maps(bits: np.ndarray, text: np.ndarray, element: np.ndarray) -> np.ndarray:
+    """The maps of all texts, one after the other, as words of 64 bits: every element has flipped a bit of its text's map.
+
+    ``bits``: length of each map, 0 or a power of two from 64.  The map of half the length is the exclusive or of both halves.
+    """
+    use = bits[text] > 0
+    text, element = text[use], element[use]
+    begin = np.cumsum(bits) - bits
+    place = begin[text] + (_mix(element) & (bits[text] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def long_map_bits(size: np.ndarray) -> np.ndarray:
+    """Length of the longer map of sets of these sizes: the next power of two, 0 where the short map is as good."""
+    return np.where(size > 64 * MAP_WORDS, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), 0)
+
+
+def _folded(words: Column, other: Column) -> Column:
+    """The map at half its length where ``other`` is shorter."""
+    half = (F.size(words) / 2).cast("int")
+    halves = F.zip_with(F.slice(words, F.lit(1), half), F.slice(words, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(words) > F.size(other), halves).otherwise(words)
 
 
 def may_be_similar(similarity: float, a: str = "a", b: str = "b") -> Column:
-    """False only where the sizes and parity maps of two sets rule the similarity out."""
-    n_a, n_b = F.col(f"{a}.size"), F.col(f"{b}.size")
+    """False only where the sizes and parity maps of two sets rule the similarity out (a similarity of 0.5 or more)."""
+    n_a, n_b, long_a, long_b = F.col(f"{a}.size"), F.col(f"{b}.size"), F.col(f"{a}.long_map"), F.col(f"{b}.long_map")
     differ = sum((F.bit_count(F.col(f"{a}.{m}").bitwiseXOR(F.col(f"{b}.{m}"))) for m in MAP[1:]), F.bit_count(F.col(f"{a}.{MAP[0]}").bitwiseXOR(F.col(f"{b}.{MAP[0]}"))))
-    return F.greatest(F.abs(n_a - n_b), differ) * (1 + similarity) <= (n_a + n_b) * (1 - similarity) + 1e-6
+    # Sizes that pass the first test differ by less than two, so their maps by one fold at most.
+    apart_by = F.zip_with(_folded(long_a, long_b), _folded(long_b, long_a), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ_long = F.aggregate(apart_by, F.lit(0), lambda total, n: total + n)
+
+    def allowed(n: Column) -> Column:
+        return n * (1 + similarity) <= (n_a + n_b) * (1 - similarity) + 1e-6
+
+    short = (F.size(long_a) == 0) | (F.size(long_b) == 0)
+    return allowed(F.greatest(F.abs(n_a - n_b), differ)) & (short | allowed(differ_long))
 
 
 def signatures(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, weighting: str = "set") -> DataFrame:
-    """doc_id, key, bands (array of long; empty for texts without words and for nulls), size of the set, parity map."""
+    """doc_id, key, bands (array of long; empty for texts without words and for nulls), size of the set, its parity maps."""
     narrow = documents.select("doc_id", text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,16 +222,20 @@ def signatures(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, size:
                 text, element, count = shingles(part, size)
                 weight = weights_of(count, weighting)
                 keys = band_keys(dart_signatures(len(part), text, element, weight, bands * rows), bands, rows)
-                maps = parity_maps(len(part), text, element, weight.astype(np.int64))
+                each = occurrences(text, element, weight.astype(np.int64))
+                maps = parity_maps(np.full(len(part), 64 * MAP_WORDS), *each).reshape(len(part), MAP_WORDS)
                 some = np.bincount(text, minlength=len(part)) > 0
                 offsets = np.concatenate([[0], np.cumsum(some * bands)])
                 listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[some].ravel(), pa.int64()))
                 total = np.bincount(text, weight, len(part)).astype(np.int64)
+                bits = long_map_bits(total)
+                ends = np.concatenate([[0], np.cumsum(bits // 64)])
+                long_maps = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(parity_maps(bits, *each)))
                 own = [batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a)]
-                yield pa.RecordBatch.from_arrays([*own, listed, pa.array(total), *map(pa.array, maps.T)], ["doc_id", "key", "bands", "size", *MAP])
+                yield pa.RecordBatch.from_arrays([*own, listed, pa.array(total), *map(pa.array, maps.T), long_maps], ["doc_id", "key", "bands", "size", *MAP, "long_map"])
 
     kind = dict(documents.dtypes)["doc_id"]
-    return narrow.mapInArrow(run, f"doc_id {kind}, key binary, bands array<long>, size long, " + ", ".join(f"{m} long" for m in MAP))
+    return narrow.mapInArrow(run, f"doc_id {kind}, key binary, bands array<long>, size long, " + ", ".join(f"{m} long" for m in MAP) + ", long_map array<long>")
 
 
 def pair_similarities(a: list[str], b: list[str], size: int = SHINGLE, weighting: str = "set") -> np.ndarray:
@@ -310,17 +349,18 @@ def near_duplicate_groups(
     """(doc_id, key, node, component) of each row, the links (a, b) between nodes that made the groups, and (key, node)."""
     signed = settle(signatures(documents, bands, rows, size, weighting), "signatures")
     # Equal texts share a node; the number is fixed by being written.
-    described = signed.where("key IS NOT NULL").groupBy("key").agg(*[F.first(c).alias(c) for c in ("bands", "size", *MAP)])
+    described = signed.where("key IS NOT NULL").groupBy("key").agg(*[F.first(c).alias(c) for c in ("bands", "size", *MAP, "long_map")])
     described = settle(described.withColumn("node", F.monotonically_increasing_id()), "nodes")
     nodes = described.select("key", "node")
     numbered = settle(signed.select("doc_id", "key").join(nodes, "key", "left"), "numbered")
     discard(signed)
     spread = described.select("node", F.explode("bands").alias("key"))
     shared = settle(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    members = settle(spread.join(_small(shared, shared.count()), "key").join(described.select("node", "size", *MAP), "node"), "members")
+    members = settle(spread.join(_small(shared, shared.count()), "key").join(described.select("node", "size", *MAP, "long_map"), "node"), "members")
     discard(shared)
-    links = components = texts = None
-    n_components = 0
+    links = components = texts = judged = None
+    n_components = n_judged = 0
+    judged_tables: list[DataFrame] = []
     elected_cells = ELECTED_FIRST
     while True:
         if components is None:
@@ -342,8 +382,12 @@ def near_duplicate_groups(
         dealt = placed.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int"))
         met = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.c") != F.col("b.c")) & may_be_similar(similarity)
         against = copies.alias("a").join(dealt.alias("b"), met).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
-        pairs = settle(against.distinct(), "pairs")
-        if not pairs.isEmpty():
+        against = against.distinct()
+        # A pair that was judged in an earlier round comes back in other bands.
+        pairs = settle(against if judged is None else against.join(_small(judged, n_judged), ["a", "b"], "left_anti"), "pairs")
+        if n_pairs := pairs.count():
+            judged, n_judged = pairs if judged is None else judged.unionByName(pairs), n_judged + n_pairs
+            judged_tables.append(pairs)
             texts = with_texts(texts, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, documents)
             found = similar_pairs(pairs, texts, size, weighting, similarity)
             if not found.isEmpty():
@@ -352,8 +396,9 @@ def near_duplicate_groups(
                 n_components = components.count()
         # Elected members have been held against all others of their bucket.
         members = settle(placed.join(chosen, ["key", "node"], "left_anti").drop("n", "c"), "members")
-        discard(before, open_buckets, placed, elected, pairs)
+        discard(before, open_buckets, placed, elected)
         elected_cells *= ELECTED_GROWTH
+    discard(*judged_tables)
     if links is None:
         return numbered.withColumn("component", F.col("node")), documents.sparkSession.createDataFrame([], "a long, b long"), nodes
     return numbered.join(components, "node", "left").select("doc_id", "key", "node", F.coalesce("component", "node").alias("component")), links, nodes
@@ -365,9 +410,10 @@ def order_in_group() -> Column:
 
 
 def group_ids(grouped: DataFrame) -> DataFrame:
-    """doc_id, key, component, group_id (least doc_id of the component), n_group (rows in it), kept (the least row of its component).
+    """doc_id, key, component, group_id (least doc_id of the component), class_id, n_group (rows in it), kept (the least row).
 
-    An id that stands on several texts may be the least of several components: those differ in ``component``.
+    An id that stands on several texts may be the least of several components: those differ in ``class_id``, the MD5 (hex)
+    of the text of the component's least row.
     """
     heads = grouped.where("component IS NOT NULL").groupBy("component").agg(F.min(order_in_group()).alias("head"), F.count("*").alias("n_group"))
     # Settled, so that the rows of a large component are dealt out by the skew join; a row by itself needs no head.
@@ -377,6 +423,7 @@ def group_ids(grouped: DataFrame) -> DataFrame:
         "key",
         "component",
         F.when(F.col("n_group").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("group_id"),
+        F.lower(F.hex(F.coalesce("head.key", "key"))).alias("class_id"),
         F.coalesce("n_group", F.lit(1)).cast("long").alias("n_group"),
         (F.col("n_group").isNull() | (order_in_group() == F.col("head"))).alias("kept"),
     )

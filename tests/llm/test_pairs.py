@@ -96,6 +96,46 @@ def test_large_buckets_are_dealt_out(spark, monkeypatch):
     assert sorted((r["doc_id"], r["group_id"]) for r in dart_minhash.op4_near_duplicates(spark, docs).collect()) == brute_groups(rows)
 
 
+def test_long_texts_below_the_similarity_are_ruled_out(spark, monkeypatch):
+    """Texts of 3,000 words at 0.67 share bands but make no pair rows; near copies among them are still found."""
+    shared, rows = [f"w{k}" for k in range(2400)], []
+    for t in range(60):
+        rows.append(shared + [f"p{t}x{k}" for k in range(600)])
+    for t in range(6):  # at 0.9 to one of them, and lengths on both sides of a power of two
+        rows.append(rows[t][:-150] + [f"q{t}"] * (t % 2))
+        rows.append([f"n{t}x{k}" for k in range(1000)])
+        rows.append(rows[-1] + [f"m{t}x{k}" for k in range(60 + 10 * t)])
+    rows = [(k, " ".join(words)) for k, words in enumerate(rows)]
+    judged = []
+    compare = dart_minhash.similar_pairs
+
+    def counting(pairs, *rest):
+        judged.append(pairs.count())
+        return compare(pairs, *rest)
+
+    monkeypatch.setattr(dart_minhash, "similar_pairs", counting)
+    docs = spark.createDataFrame([(d, t, "s", "n", "w") for d, t in rows], DOCS).repartition(5)
+    got = dart_minhash.op4_near_duplicates(spark, docs).collect()
+    assert sorted((r["doc_id"], r["group_id"]) for r in got) == brute_groups(rows)
+    assert len({r["class_id"] for r in got}) == len({r["group_id"] for r in got})
+    assert 12 <= sum(judged) < 60
+
+
+def test_parity_maps_fold():
+    """The longer map folds to the short one, and never differs in more bits than the sets do."""
+    rng = np.random.default_rng(4)
+    sizes = np.array([0, 1, 512, 513, 1024, 1025, 5000])
+    bits = dart_minhash.long_map_bits(sizes)
+    assert bits.tolist() == [0, 0, 0, 1024, 1024, 2048, 8192]
+    text, element = np.repeat(np.arange(len(sizes)), sizes), rng.integers(1, 2**62, sizes.sum()).astype(np.uint64)
+    short = dart_minhash.parity_maps(np.full(len(sizes), 512), text, element).reshape(-1, 8)
+    long = np.split(dart_minhash.parity_maps(bits, text, element), np.cumsum(bits // 64)[:-1])
+    for t, words in enumerate(long):
+        while len(words) > 8:
+            words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+        assert not len(words) or (words == short[t]).all()
+
+
 def test_groups_of_the_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
@@ -122,6 +162,8 @@ def test_null_and_repeated_ids_lose_no_text(spark):
     want = [(None, None), (None, None), (None, ""), (None, words[1]), (None, words[2]), (1, words[0]), (1, words[3])]
     assert sorted(((r["doc_id"], r["text"]) for r in dart_minhash.keep_one(docs).collect()), key=str) == sorted(want, key=str)
     got = sorted(((r["doc_id"], r["group_id"], r["n_group"], r["kept"]) for r in dart_minhash.op4_near_duplicates(spark, docs).collect()), key=str)
+    classes = {(r["doc_id"], r["class_id"]) for r in dart_minhash.op4_near_duplicates(spark, docs).collect() if r["group_id"] == 1}
+    assert len({c for _, c in classes}) == 2 and len({c for d, c in classes if d == 1}) == 2
     one = [(None, None, 1, True)] * 4 + [(None, None, 2, True)] * 2 + [(1, 1, 3, True)] * 3 + [(2, 1, 3, False), (3, 1, 3, False), (None, 1, 3, False)]
     assert got == sorted(one, key=str)
 
