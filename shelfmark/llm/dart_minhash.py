@@ -52,6 +52,8 @@ ELECTED_FIRST, ELECTED_GROWTH = 1, 32
 SMALL_BUCKET = 8
 #: Members of a bucket that one task holds against the elected; a larger bucket is dealt out in parts.
 PART = 1024
+#: Darts of an element that are thrown at once, at most; few texts of few words need hundreds each.
+DART_BLOCK = 32
 #: Words of 64 bits in the parity map that every text has; larger sets have a longer one besides.
 MAP_WORDS = 8
 MAP = [f"m{k}" for k in range(MAP_WORDS)]
@@ -127,18 +129,23 @@ def dart_signatures(n_texts: int, text: np.ndarray, element: np.ndarray, weight:
         time = np.zeros(len(live))
         dart = 0
         while len(live):
-            dart += 1
-            h = _mix(seed[live] ^ np.uint64(dart * 0x9E3779B97F4A7C15 % (1 << 64)))
+            block = min(max(1, dart // 2), DART_BLOCK)
+            numbers = np.arange(dart + 1, dart + block + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            h = _mix(seed[live][:, None] ^ numbers)
             uniform = ((h >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
-            time = time - np.log(uniform) / (k * width[live])
-            early = time < limit[owner[live]]
-            live, time, h = live[early], time[early], h[early]
+            wait = -np.log(uniform) / (k * width[live])[:, None]
+            wait[:, 0] += time
+            times = np.cumsum(wait, axis=1)
+            early = times < limit[owner[live]][:, None]
+            thrown, h, at_time = live[np.nonzero(early)[0]], h[early], times[early]
+            live, time = live[early[:, -1]], times[early[:, -1], -1]
+            dart += block
             g = _mix(h ^ np.uint64(0xA0761D6478BD642F))
-            position = low[live] + width[live] * ((g >> np.uint64(40)).astype(float) / float(1 << 24))
-            hit = position < weight_of[live]
+            position = low[thrown] + width[thrown] * ((g >> np.uint64(40)).astype(float) / float(1 << 24))
+            hit = position < weight_of[thrown]
             coordinate = (g & np.uint64(0xFFFFFFFF)).astype(np.int64) % k
-            stamp = (time.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-            np.minimum.at(signature, owner[live][hit] * k + coordinate[hit], stamp[hit])
+            stamp = (at_time.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+            np.minimum.at(signature, owner[thrown][hit] * k + coordinate[hit], stamp[hit])
         holes = (signature.reshape(n_texts, k)[todo] == empty).any(axis=1)
         todo = todo[holes]
         limit[todo] *= 2
