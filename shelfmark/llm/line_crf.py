@@ -4,8 +4,10 @@ Each line that holds a word is labelled content or boilerplate by Viterbi decodi
 decides whether the document stays.  The base counts fail a document before that.  Words are the runs of
 ``[^\x20\x09-\x0D]``.
 
-The field has features of the line (length, symbols, case, digits, end mark, repeated words, licence and site words) and
-transitions between neighbouring lines.  It is fitted by gradient steps on the exact likelihood over a bounded sample of
+The field has features of the line (length, symbols, case, digits, end mark, repeated words, links, licence and site words
+of five languages) and transitions between neighbouring lines.  Site words and links speak for boilerplate before anything
+is learned (``PRIOR``, the mean that the regularisation pulls their weights to), so notices and site furniture are found
+where the sample shows few of them.  The field is fitted by gradient steps on the exact likelihood over a bounded sample of
 labelled documents (``MAX_PER_CLASS`` of each quality with at most ``MAX_LINES`` lines and ``MAX_TRAIN_CHARS``
 characters; the smallest hashes of their id; ids with crc32 mod 3 = 1 are held out).  All documents are then decoded
 whole, whatever their number of lines.
@@ -48,11 +50,26 @@ ROUNDS = 3
 #: Share of site words from which a line starts as boilerplate.
 SITE_SHARE = 0.25
 SLICE_BYTES = 1_000_000
-#: Words that mark notices and site furniture.
-SITE_WORDS = ["license", "licensed", "licence", "copyright", "rights", "reserved", "cookie", "cookies", "privacy", "subscribe", "login", "menu", "terms", "share", "newsletter"]
-
-#: Place of the share of site words among the features.
-SITE = 12
+#: Words of notices and site furniture, by language.
+SITE_WORDS = {
+    "en": """license licensed licence copyright rights reserved cookie cookies privacy subscribe unsubscribe login logout signup menu terms
+        share newsletter sitemap homepage home about contact faq disclaimer imprint advertisement sponsored accept policy policies
+        settings account password register download follow comments reply click navigation search cart checkout""",
+    "de": """rechte vorbehalten urheberrecht lizenz lizenziert impressum datenschutz datenschutzerklärung agb nutzungsbedingungen kontakt
+        anmelden abmelden registrieren startseite abonnieren teilen akzeptieren zustimmen einstellungen werbung anzeige warenkorb
+        kommentare mehr weiterlesen übersicht seitenanfang""",
+    "fr": """droits réservés licence mentions légales confidentialité conditions utilisation connexion inscription accueil contactez
+        abonnez partager accepter paramètres publicité commentaires panier plan témoins sponsorisé""",
+    "es": """derechos reservados licencia aviso privacidad condiciones términos uso sesión iniciar registrarse inicio contacto contáctenos
+        suscríbete suscribirse compartir aceptar configuración publicidad comentarios carrito mapa patrocinado""",
+    "ru": """права защищены лицензия конфиденциальность конфиденциальности соглашение войти регистрация главная контакты подписаться
+        подпишитесь поделиться принять настройки реклама комментарии корзина читайте также новости сайт сайта сайте""",
+}
+
+#: Places of the share of site words, of lines with ``SITE_SHARE`` of them, and of the share of links among the features.
+SITE, NOTICE, LINKS = 12, 13, 14
+#: Mean of the weights for boilerplate before any line is seen; those for content are the same below zero.
+PRIOR = {SITE: 5.0, NOTICE: 3.0, LINKS: 5.0}
 
 _bytes = np.arange(256)
 _is_space = np.isin(_bytes, [0x20, *range(0x09, 0x0E)])
@@ -60,16 +77,21 @@ _is_symbol = np.isin(_bytes, list(b"#*$%&|<>"))
 _is_upper = (_bytes >= 65) & (_bytes <= 90)
 _is_digit = (_bytes >= 48) & (_bytes <= 57)
 _is_letter = _is_upper | ((_bytes >= 97) & (_bytes <= 122)) | (_bytes >= 0xC0)
+_is_bare = _is_letter | _is_digit | (_bytes >= 0x80)
 _is_lead = (_bytes & 0xC0) != 0x80
 _is_end = np.isin(_bytes, list(b".!?:;\"'"))
 _is_loud = np.isin(_bytes, list(b"!|"))
 _lower = np.where(_is_upper, _bytes + 32, _bytes).astype(np.uint8)
 
 
-def _site_hashes() -> np.ndarray:
-    data = np.frombuffer("".join(SITE_WORDS).encode(), np.uint8)
-    ends = np.cumsum([len(w) for w in SITE_WORDS])
-    return span_hashes(data, ends - [len(w) for w in SITE_WORDS], ends)
+def _hashes(words: list[str]) -> np.ndarray:
+    """Hashes of words as ``measure`` takes them: A-Z in lower case, other letters as they are."""
+    raw = [w.encode() for w in words]
+    ends = np.cumsum([len(w) for w in raw])
+    return span_hashes(_lower[np.frombuffer(b"".join(raw), np.uint8)], ends - [len(w) for w in raw], ends)
+
+
+_site_hashes = _hashes(sorted({form for words in SITE_WORDS.values() for w in words.split() for form in (w, w.capitalize(), w.upper())}))
 
 
 @dataclass
@@ -157,10 +179,15 @@ def measure(texts: list[str]) -> Slice:
 
     echo = np.concatenate(([False], (word[1:] == word[:-1]) & (owner[1:] == owner[:-1]))) if n else np.zeros(0, bool)
     # A word without the marks after it.
-    letter_at = np.maximum.accumulate(np.where(_is_letter[data] | _is_digit[data], np.arange(len(data)), -1))
+    letter_at = np.maximum.accumulate(np.where(_is_bare[data], np.arange(len(data)), -1))
     bare_ends = np.maximum(begins, letter_at[ends - 1] + 1)
     lowered = span_hashes(_lower[data], begins, bare_ends) if n else np.zeros(0, np.uint64)
-    site = np.isin(lowered, _site_hashes())
+    site = np.isin(lowered, _site_hashes)
+    site_share = words_share(site)
+    # A word with :// inside.
+    slashes = np.concatenate(((data[:-2] == 0x3A) & (data[1:-1] == 0x2F) & (data[2:] == 0x2F), [False] * min(2, len(data))))
+    in_words = running(slashes)
+    link = in_words[ends] > in_words[begins]
     symbol_share = share(symbols, length)
     letter_count = letters[line_end] - letters[line_begin]
     upper_share = share(uppers, letter_count)
@@ -180,7 +207,9 @@ def measure(texts: list[str]) -> Slice:
             _is_end[final],
             words_share(echo),
             words_share(covered),
-            words_share(site),  # column SITE
+            site_share,  # SITE
+            site_share >= SITE_SHARE,  # NOTICE
+            words_share(link),  # LINKS
             dup,
             position == 0,
         ]
@@ -253,43 +282,53 @@ def viterbi(scores: np.ndarray, transition: np.ndarray, chain: np.ndarray, n_cha
         step += 1
 
 
+def prior(n_features: int) -> np.ndarray:
+    """Mean of the emission weights before any line is seen."""
+    mean = np.zeros((n_features, 2))
+    for place, weight in PRIOR.items():
+        mean[place] = weight, -weight
+    return mean
+
+
 def fit(chains: list[tuple[np.ndarray, np.ndarray]], steps: int = 80, rate: float = 0.1, l2: float = 1e-3, start: Field | None = None) -> Field:
-    """Maximum likelihood of (features, labels) chains by Adam steps on exact forward-backward gradients."""
+    """Most likely field of (features, labels) chains under the prior, by Adam steps on exact forward-backward gradients.
+
+    The chains stand by falling length, so a step in time takes only the chains that still run.
+    """
+    chains = sorted(chains, key=lambda c: -len(c[1]))
     sizes = np.array([len(y) for _, y in chains])
     n, longest = len(chains), int(sizes.max())
     x = np.concatenate([f for f, _ in chains])
-    n_features = x.shape[1]
-    there = np.arange(longest) < sizes[:, None]
-    y = np.zeros((n, longest), np.int64)
-    y[there] = np.concatenate([labels for _, labels in chains])
-    pair = there[:, 1:]
-    one_hot = np.eye(2)[y] * there[..., None]
-    seen_e = x.T @ one_hot[there]
-    seen_t = np.einsum("nta,ntb->ab", one_hot[:, :-1] * pair[..., None], one_hot[:, 1:])
-    total = there.sum()
-    theta = [start.emission, start.transition] if start else [np.zeros((n_features, 2)), np.zeros((2, 2))]
+    y = np.concatenate([labels for _, labels in chains])
+    n_features, total = x.shape[1], len(y)
+    chain = np.repeat(np.arange(n), sizes)
+    time = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    running = np.searchsorted(-sizes, -np.arange(longest), "left")  # chains longer than each time
+    goes_on = np.flatnonzero(chain[1:] == chain[:-1])  # links with one after them
+    seen_e = x.T @ np.eye(2)[y]
+    seen_t = np.bincount(2 * y[goes_on] + y[goes_on + 1], minlength=4).reshape(2, 2)
+    mean = prior(n_features)
+    theta = [start.emission, start.transition] if start else [mean, np.zeros((2, 2))]
     moment, speed = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
-
-    def soft(a: np.ndarray, axis: int) -> np.ndarray:
-        top = a.max(axis=axis, keepdims=True)
-        return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
+    s, ahead, behind = (np.zeros((2, longest, n)) for _ in range(3))  # state, time, chain
     for step in range(1, steps + 1):
         emission, transition = theta
-        s = np.zeros((n, longest, 2))
-        s[there] = x @ emission
-        ahead, behind = np.zeros_like(s), np.zeros_like(s)
+        s[:, time, chain] = (x @ emission).T
         ahead[:, 0] = s[:, 0]
         for t in range(1, longest):
-            moved = soft(ahead[:, t - 1, :, None] + transition[None], 1) + s[:, t]
-            ahead[:, t] = np.where(there[:, t, None], moved, ahead[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            moved = soft(transition[None] + (s[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
-            behind[:, t] = np.where(there[:, t + 1, None], moved, 0)
-        z = soft(ahead[:, -1], 1)
-        single = np.exp(ahead + behind - z[:, None, None]) * there[..., None]
-        double = np.exp(ahead[:, :-1, :, None] + transition + (s + behind)[:, 1:, None, :] - z[:, None, None, None]) * pair[..., None, None]
-        gradient = [(x.T @ single[there] - seen_e) / total + l2 * emission, (double.sum(axis=(0, 1)) - seen_t) / total + l2 * transition]
+            a = ahead[:, t - 1, : running[t]]
+            for k in (0, 1):
+                ahead[k, t, : running[t]] = np.logaddexp(a[0] + transition[0, k], a[1] + transition[1, k]) + s[k, t, : running[t]]
+        for t in range(longest - 1, 0, -1):
+            b = s[:, t, : running[t]] + behind[:, t, : running[t]]
+            for k in (0, 1):
+                behind[k, t - 1, : running[t]] = np.logaddexp(transition[k, 0] + b[0], transition[k, 1] + b[1])
+        z = np.logaddexp(*ahead[:, sizes - 1, np.arange(n)])[chain]
+        before, after = ahead[:, time, chain], behind[:, time, chain]
+        single = np.exp(before + after - z).T
+        onward = (s[:, time, chain] + after)[:, goes_on + 1] - z[goes_on]
+        double = np.exp(before[:, None, goes_on] + transition[..., None] + onward[None]).sum(axis=-1)
+        gradient = [(x.T @ single - seen_e) / total + l2 * (emission - mean), (double - seen_t) / total + l2 * transition]
         for k in range(2):
             moment[k] = 0.9 * moment[k] + 0.1 * gradient[k]
             speed[k] = 0.99 * speed[k] + 0.01 * gradient[k] ** 2
@@ -328,16 +367,15 @@ def train(texts: list[tuple[str, int]]) -> Field:
     weight = np.concatenate([np.full(len(f), len(chains) / 2 / n_of[label] / len(f)) for f, _, label in chains])
     odds = x @ fit_logistic(x, y, weight)
     cuts = np.cumsum([len(f) for f, _, _ in chains])[:-1]
-    start = [o - 10.0 * (f[:, SITE] >= SITE_SHARE) for (f, _, _), o in zip(chains, np.split(odds, cuts), strict=True)]
+    start = [o - 10.0 * f[:, NOTICE] for (f, _, _), o in zip(chains, np.split(odds, cuts), strict=True)]
     states = [within_bounds(o > 0, o, words, label) for (_, words, label), o in zip(chains, start, strict=True)]
     field = fit([(f, s.astype(np.int64)) for (f, _, _), s in zip(chains, states, strict=True)])
+    chain = np.repeat(np.arange(len(chains)), [len(f) for f, _, _ in chains])
     for _ in range(ROUNDS - 1):
-        states = []
-        for features, words, label in chains:
-            scores = features @ field.emission
-            decoded = viterbi(scores, field.transition, np.zeros(len(scores), np.int64), 1) == 1
-            notice = features[:, SITE] >= SITE_SHARE
-            states.append(within_bounds(decoded & ~notice, scores[:, 1] - scores[:, 0] - 10.0 * notice, words, label))
+        scores = x @ field.emission
+        decoded = (viterbi(scores, field.transition, chain, len(chains)) == 1) & (x[:, NOTICE] == 0)
+        certain = scores[:, 1] - scores[:, 0] - 10.0 * x[:, NOTICE]
+        states = [within_bounds(d, c, words, label) for d, c, (_, words, label) in zip(np.split(decoded, cuts), np.split(certain, cuts), chains, strict=True)]
         field = fit([(f, s.astype(np.int64)) for (f, _, _), s in zip(chains, states, strict=True)], steps=40, start=field)
     return field
 

@@ -169,6 +169,89 @@ def test_lines_of_mixed_documents():
     assert np.mean(mixed) >= 0.8
 
 
+#: Furniture of web pages as whole lines; the field knows such lines by the share of listed words, so lines without any are no part of this.
+FOOTERS = [
+    "Share the terms of your privacy with the login menu.",
+    "We use cookies to improve your visit. Accept all cookies or change your settings.",
+    "Copyright 2021 Example Ltd. All rights reserved.",
+    "Subscribe to our newsletter and follow us",
+    "Home | About us | Contact | Sitemap",
+    "Read more at https://example.com/a/b?c=1",
+    "Alle Rechte vorbehalten. Impressum Datenschutz",
+    "Impressum - AGB - Datenschutzerklärung",
+    "Jetzt anmelden oder registrieren",
+    "Tous droits réservés. Mentions légales",
+    "Conditions générales d'utilisation - Confidentialité",
+    "Todos los derechos reservados. Aviso legal",
+    "Política de privacidad y condiciones de uso",
+    "Читайте также другие новости на нашем сайте.",
+    "Все права защищены.",
+]
+
+
+def test_footers_in_clean_documents(spark):
+    """Site furniture before, within and after held-out clean documents is boilerplate; the documents' lines stay content."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    field = line_crf.learn(docs, labels)
+    held_out = docs.join(labels.where("quality = 1"), "doc_id").where("pmod(crc32(cast(doc_id AS string)), 3) = 1 AND length(text) < 20000")
+    clean = [r["text"].split("\n") for r in held_out.select("text").collect()]
+    clean = [[line for line in lines if len(line.split()) >= 8] for lines in clean]
+    clean = [lines for lines in clean if len(lines) >= 3]
+    assert len(clean) >= 20
+    rnd, texts, truth = random.Random(3), [], []
+    for n in range(300):
+        lines = [(line, True) for line in clean[n % len(clean)]]
+        place = rnd.choice([0, len(lines) // 2, len(lines)])
+        lines[place:place] = [(f, False) for f in rnd.sample(FOOTERS, rnd.randint(1, 3))]
+        texts.append("\n".join(line for line, _ in lines))
+        truth += [state for _, state in lines]
+    m = line_crf.measure(texts)
+    got = line_crf.viterbi(m.features @ field.emission, field.transition, m.line_text, len(texts)) == 1
+    truth = np.array(truth)
+    assert (~got[~truth]).mean() >= 0.85 and got[truth].mean() >= 0.98
+    share = np.bincount(m.line_text, m.line_words * got) / m.n_words
+    bare = line_crf.measure(["\n".join(lines) for lines in clean])
+    plain = line_crf.viterbi(bare.features @ field.emission, field.transition, bare.line_text, len(clean)) == 1
+    before = np.bincount(bare.line_text, bare.line_words * plain, len(clean)) / bare.n_words >= 0.5
+    heavy = np.bincount(m.line_text, m.line_words * ~truth) / m.n_words > 0.3
+    assert ((share >= 0.5) == before[np.arange(300) % len(clean)])[~heavy].all()
+
+
+def test_site_words_as_measured():
+    """Words count with the marks around them, capitalised and in capitals, also those that end in a letter beyond ASCII."""
+    lines = ["Confidentialité, Impressum!", "CONFIDENTIALITÉ", "Подпишитесь", "ПОДПИШИТЕСЬ.", "cookie, x y z", "x cookies9 y"]
+    m = line_crf.measure(["\n".join(lines)])
+    assert m.features[:, line_crf.SITE].tolist() == [1, 1, 1, 1, 0.25, 0]
+    links = line_crf.measure(["see https://a.b/c now :// x", "a:// b", "", "x"]).features[:, line_crf.LINKS]
+    assert links.tolist() == [2 / 5, 1 / 2, 0]
+
+
+def test_fit_climbs_the_exact_likelihood():
+    """Against all paths: no small step from the fitted field has a higher posterior."""
+    rng = np.random.default_rng(4)
+    n_features = line_crf.LINKS + 1
+    chains = [(rng.normal(size=(n, n_features)), rng.integers(0, 2, n)) for n in (1, 2, 5, 3, 4, 4)]
+    total, mean = sum(len(y) for _, y in chains), line_crf.prior(n_features)
+
+    def posterior(emission, transition):
+        value = 0.0
+        for x, y in chains:
+            s = x @ emission
+
+            def score(path, s=s):
+                return sum(s[i, k] for i, k in enumerate(path)) + sum(transition[a, b] for a, b in itertools.pairwise(path))
+
+            value += score(tuple(y)) - np.log(sum(np.exp(score(p)) for p in itertools.product([0, 1], repeat=len(y))))
+        return value / total - 0.05 * (((emission - mean) ** 2).sum() + (transition**2).sum())
+
+    field = line_crf.fit(chains, steps=800, rate=0.05, l2=0.1)
+    best = posterior(field.emission, field.transition)
+    for _ in range(60):
+        e, t = rng.normal(size=(n_features, 2)) * 0.02, rng.normal(size=(2, 2)) * 0.02
+        assert posterior(field.emission + e, field.transition + t) < best
+
+
 def test_states_keep_within_the_label():
     words = np.array([10, 1, 1])
     content = np.array([True, True, False])
