@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of a block: as many references go out with the tasks at most, and beyond it both sides are split by it.  A row is
-#: copied once for each block of the other side, so blocks are as large as a worker can hold.
-BLOCK = 8192
-#: Vectors that are scored at once against a block, and rows of a block of a cohort.
-SLICE, COHORT_BLOCK = 512, 2048
+#: As many references go out with the tasks at most; beyond it both sides are split into blocks.  A row is copied once for
+#: each block of the other side, so there are at most ``MOST_BLOCKS`` until a block holds ``LARGE_BLOCK`` rows.
+BLOCK, MOST_BLOCKS, LARGE_BLOCK = 8192, 8, 32768
+#: Vectors that are scored at once against a block (fewer, if that makes more than ``SLICE_SCORES``), and rows of a block of a cohort.
+SLICE, SLICE_SCORES, COHORT_BLOCK = 512, 4_000_000, 2048
 #: Rows of found scores that a task holds before it cuts them to the best.
 HELD_ROWS = 500_000
 AUTO_MATCH, SUGGEST_FACE, SUGGEST_TAG, SUGGEST_SET, BODY_MATCH, FACE_SEARCH = 0.6, 0.45, 0.45, 0.75, 0.5, 0.3
@@ -78,22 +78,28 @@ def _matrix(frame: pd.DataFrame) -> np.ndarray:
 def block_scores(vectors: DataFrame, references: DataFrame, columns: list[str], pick: Callable[[pd.DataFrame, np.ndarray, pd.DataFrame], pd.DataFrame], schema: str, cut: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
     """What ``pick`` keeps of the scores of all vectors against all references (``id``, ``columns`` and embedding).
 
-    ``pick`` gets some vectors, their score matrix and the references of a block, in which a row does not meet itself.
+    ``pick`` gets some vectors, their score matrix and the references of a block, sorted by the first of ``columns``; a row
+    does not meet itself.
     ``cut``, if given, cuts what a task has found so far to what can still be wanted.
     """
-    narrow, refs = vectors.select("id", "embedding"), references.select("id", *columns, "embedding")
+    # Both may come from one table: new columns on one side, so that the two are told apart where they meet.
+    narrow, refs = vectors.select("id", "embedding"), references.select(*[F.col(c).alias(c) for c in ("id", *columns, "embedding")])
     n = refs.count()
 
     def scored(batch: pd.DataFrame, block: pd.DataFrame, across: np.ndarray) -> pd.DataFrame:
         scores = _matrix(batch) @ across
-        scores[batch["id"].to_numpy()[:, None] == block["id"].to_numpy()[None, :]] = -np.inf
+        both = np.flatnonzero(batch["id"].isin(block["id"]))
+        row, col = np.nonzero(batch["id"].to_numpy()[both, None] == block["id"].to_numpy()[None, :])
+        scores[both[row], col] = -np.inf
         return pick(batch, scores, block)
 
     def found(batches: Iterator[pd.DataFrame], block: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        block = block.sort_values(columns[0], kind="stable") if columns else block
         held, most, across = [], HELD_ROWS, _matrix(block).T
+        step = max(1, min(SLICE, SLICE_SCORES // len(block)))
         for batch in batches:
-            for begin in range(0, len(batch), SLICE):
-                some = scored(batch.iloc[begin : begin + SLICE], block, across)
+            for begin in range(0, len(batch), step):
+                some = scored(batch.iloc[begin : begin + step], block, across)
                 if cut is None:
                     yield some
                     continue
@@ -109,17 +115,17 @@ def block_scores(vectors: DataFrame, references: DataFrame, columns: list[str],
     if n <= BLOCK:
         sent = vectors.sparkSession.sparkContext.broadcast(refs.toPandas())
         return narrow.mapInPandas(lambda batches: found(batches, sent.value), schema)
-    parts = [max(1, -(-count // BLOCK)) for count in (narrow.count(), n)]
+    parts = [max(1, min(-(-count // BLOCK), MOST_BLOCKS), -(-count // LARGE_BLOCK)) for count in (narrow.count(), n)]
 
     def placed(df: DataFrame, own: int) -> DataFrame:
         """Each row in its block of its own side, once for each block of the other side."""
-        home = F.pmod(F.xxhash64("id"), F.lit(parts[own])).cast("int")
+        home = F.pmod(F.xxhash64("id", "embedding"), F.lit(parts[own])).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.lit(parts[1 - own] - 1)))
         return df.select("*", home.alias(f"__{own}"), every.alias(f"__{1 - own}"))
 
     def meet(batch: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(batch) or not len(block):
-            return pd.DataFrame({c: [] for c in [x.split()[0] for x in schema.split(", ")]})
+            return pd.DataFrame({x.split()[0]: pd.Series([], dtype=object) for x in schema.split(", ")})
         return pd.concat(found(iter([batch]), block))
 
     return placed(narrow, 0).groupBy("__0", "__1").cogroup(placed(refs, 1).groupBy("__0", "__1")).applyInPandas(meet, schema)
@@ -151,9 +157,8 @@ def nearest_label(vectors: DataFrame, references: DataFrame, label: str, thresho
     """(id, label, score): label of the nearest reference at or above the threshold; ties to the least label."""
 
     def nearest(batch: pd.DataFrame, scores: np.ndarray, block: pd.DataFrame) -> pd.DataFrame:
-        order = block[label].argsort(kind="stable").to_numpy()
-        scores, names = scores[:, order], block[label].to_numpy()[order]
-        best = scores.argmax(axis=1)
+        names = block[label].to_numpy()
+        best = scores.argmax(axis=1)  # of equal scores the first, whose label is the least
         top = scores[np.arange(len(scores)), best]
         ok = top >= threshold
         return pd.DataFrame({"id": batch["id"].to_numpy()[ok], label: names[best[ok]], "score": top[ok]})
@@ -173,10 +178,10 @@ def max_similarity(vectors: DataFrame, references: DataFrame, label: str, floor:
     def tops(batch: pd.DataFrame, scores: np.ndarray, block: pd.DataFrame) -> pd.DataFrame:
         if own:
             scores = np.where(scores >= block["floor"].to_numpy()[None, :], scores, -np.inf)
-        codes, names = pd.factorize(block[label], sort=True)
-        order = np.argsort(codes, kind="stable")
-        begins = np.searchsorted(codes[order], np.arange(len(names)))
-        best = np.maximum.reduceat(scores[:, order], begins, axis=1)
+        codes, names = pd.factorize(block[label], sort=True)  # in order, null ones (-1) at the end
+        labelled = np.count_nonzero(codes >= 0)
+        begins = np.searchsorted(codes[:labelled], np.arange(len(names)))
+        best = np.maximum.reduceat(scores[:, :labelled], begins, axis=1) if labelled else np.zeros((len(scores), 0))
         row, col = np.nonzero((best >= floor) & np.isfinite(best))
         return pd.DataFrame({"id": batch["id"].to_numpy()[row], label: np.asarray(names)[col], "score": best[row, col]})
 
