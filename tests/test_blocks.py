@@ -8,7 +8,7 @@ from shelfmark.plans import registry as catalog
 from .compare import connect, same_rows
 
 
-@pytest.mark.parametrize("name", ["confirm_above_threshold", "max_sim_band", "nn_label"])
+@pytest.mark.parametrize("name", ["confirm_above_threshold", "max_sim_band", "nn_label", "split_candidates"])
 def test_blocks_of_one_table_meet(name, spark, sf_dir, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 40)
     same_rows(catalog.queries()[name](spark, sf_dir), connect(sf_dir), catalog.oracle_sql()[name])
