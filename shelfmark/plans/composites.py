@@ -450,7 +450,8 @@ def create_sets(t: Library) -> DataFrame:
     studio = F.when(F.col("c_nationkey") % 2 == 1, F.concat(F.lit("n"), F.col("c_nationkey").cast("string")))
     wanted = t.raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"), studio.alias("studio"))
     have = wanted.where("id <= 60").groupBy("name", "studio").agg(F.min("id").alias("id")).select("id", "name", "studio")
-    return curation.create_sets(have, wanted).select("name", "studio", (F.col("id") > 60).alias("fresh"))
+    top = F.broadcast(have.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")))  # one row; new ids lie above it, wherever it is
+    return curation.create_sets(have, wanted).join(top, F.lit(True)).select("name", "studio", (F.col("id") > F.col("top")).alias("fresh"))
 
 
 @query("SELECT CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'manual:' || doc_id ELSE 'auto:' || doc_id END AS face_ref, quality AS age FROM labels UNION ALL SELECT 'manual:' || doc_id, 99 FROM labels WHERE doc_id % 3 = 0 AND doc_id % 2 = 1")
