@@ -24,33 +24,39 @@ def nearest_city(points: DataFrame, cities: DataFrame, box: float = BOX_DEGREES,
     Cells of the box's size turn the range join into an equi-join with the nine cells around a point.  Points whose box
     is empty get the nearest city on the sphere; ``exact`` gives it to all points, box or not.  No row without cities or
     beyond ``max_km``.
+
+    The search is between places: points of one position count once, and of the cities of one position the least id does.
+    Points get what their place has found at the end, so that neither a hot place nor many points cost pairs with cities.
     """
-    located = points.where("lat IS NOT NULL AND lon IS NOT NULL").select("id", "lat", "lon")
+    there = "lat IS NOT NULL AND lon IS NOT NULL"
+    located = points.where(there).select("id", "lat", "lon")
+    places = located.select("lat", "lon").distinct()
+    cities = cities.where(there).groupBy("lat", "lon").agg(F.min("id").alias("id"))
     if exact:
-        found = _nearest_anywhere(located, cities)
+        found = _nearest_anywhere(places, cities)
     else:
-        near = _in_cells(located, cities, box)
+        near = _in_cells(places, cities, box)
         near = near.where((F.abs(F.col("lat") - F.col("clat")) <= box) & (F.abs(F.col("lon") - F.col("clon")) <= box))
         best = _nearest(near)
-        found = best.unionByName(_nearest_anywhere(located.join(best.select("id"), "id", "left_anti"), cities))
-    out = found.select("id", "city_id", F.round("km", 1).alias("km"))
+        found = best.unionByName(_nearest_anywhere(places.join(best.select("lat", "lon"), ["lat", "lon"], "left_anti"), cities))
+    out = located.join(found, ["lat", "lon"]).select("id", "city_id", F.round("km", 1).alias("km"))
     return out if max_km is None else out.where(F.col("km") <= max_km)
 
 
 def _in_cells(points: DataFrame, cities: DataFrame, size: float) -> DataFrame:
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    spread = points.select("*", F.explode(around).alias("d")).select("id", "lat", "lon", (grid_cell(F.col("lat"), size) + F.col("d.a")).alias("cx"), (grid_cell(F.col("lon"), size) + F.col("d.b")).alias("cy"))
+    spread = points.select("*", F.explode(around).alias("d")).select("lat", "lon", (grid_cell(F.col("lat"), size) + F.col("d.a")).alias("cx"), (grid_cell(F.col("lon"), size) + F.col("d.b")).alias("cy"))
     placed = cities.select(F.col("id").alias("city_id"), F.col("lat").alias("clat"), F.col("lon").alias("clon"), grid_cell(F.col("lat"), size).alias("cx"), grid_cell(F.col("lon"), size).alias("cy"))
     return spread.join(placed, ["cx", "cy"])
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
-    return pairs.withColumn("km", km).groupBy("id").agg(F.min(F.struct("km", "city_id")).alias("b")).select("id", F.col("b.city_id").alias("city_id"), F.col("b.km").alias("km"))
+    return pairs.withColumn("km", km).groupBy("lat", "lon").agg(F.min(F.struct("km", "city_id")).alias("b")).select("lat", "lon", F.col("b.city_id").alias("city_id"), F.col("b.km").alias("km"))
 
 
 def _nearest_anywhere(points: DataFrame, cities: DataFrame) -> DataFrame:
-    """Exact nearest city on the sphere, by cells that are refined where they can still matter.
+    """(lat, lon, city_id, km): exact nearest city on the sphere, by cells that are refined where they can still matter.
 
     For each cell that holds points, those cells of cities stay whose least possible distance is not above the least of all
     greatest possible ones.  That is settled between cells alone: first of ten degrees, at most 648 by 648, then between
@@ -60,7 +66,7 @@ def _nearest_anywhere(points: DataFrame, cities: DataFrame) -> DataFrame:
     """
     n = cities.count()
     levels = [size for k, size in enumerate(LEVELS) if not k or n > FEW_CITIES * (180 / LEVELS[k - 1]) * (360 / LEVELS[k - 1])]
-    placed = points.select("id", "lat", "lon", *_cell("p", levels[-1]))
+    placed = points.select("lat", "lon", *_cell("p", levels[-1]))
     held = cities.select(F.col("id").alias("city_id"), F.col("lat").alias("clat"), F.col("lon").alias("clon"), *_cell("g", levels[-1]))
     kept = None
     for size in levels:

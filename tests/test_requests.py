@@ -67,3 +67,18 @@ def test_an_unknown_name_or_region_finds_nothing(spark):
     assert requests.region_search(region, tiles, wholes).count() == 0  # the only tile is of the region's own file
     assert [r["file_id"] for r in requests.region_search(region, tiles.limit(0), wholes).collect()] == [2]
     assert requests.region_search(region.limit(0), tiles, wholes).count() == 0
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_a_hot_place_is_searched_once(spark, monkeypatch, exact):
+    """Points of one place, also at -0.0, and cities of one place meet as one; points and ids keep their rows."""
+    met = []
+    searched = geo._nearest
+    monkeypatch.setattr(geo, "_nearest", lambda pairs, *a: met.append(pairs.count()) or searched(pairs, *a))
+    points = [(k, 89.5, 179.95) for k in range(40)] + [(100, 0.0, 5.0), (101, -0.0, 5.0), (102, 50.0, None)]
+    cities = [(k, 70.0, 179.0) for k in range(9, 29)] + [(k, 0.5, 5.5) for k in range(40, 60)] + [(1, None, 3.0)]
+    p, c = (spark.createDataFrame(x, "id long, lat double, lon double") for x in (points, cities))
+    got = {r["id"]: (r["city_id"], r["km"]) for r in geo.nearest_city(p, c, exact=exact).collect()}
+    far, near = round(km((89.5, 179.95), (70.0, 179.0)), 1), round(km((0.0, 5.0), (0.5, 5.5)), 1)
+    assert got == {k: (9, far) for k in range(40)} | {100: (40, near), 101: (40, near)}
+    assert sum(met) <= 4
