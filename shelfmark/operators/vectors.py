@@ -79,9 +79,10 @@ def block_scores(vectors: DataFrame, references: DataFrame, columns: list[str],
     """What ``pick`` keeps of the scores of all vectors against all references (``id``, ``columns`` and embedding).
 
     ``pick`` gets some vectors, their score matrix and the references of a block, sorted by the first of ``columns``; a row
-    does not meet itself.
+    does not meet itself, and one whose vector is null meets none.
     ``cut``, if given, cuts what a task has found so far to what can still be wanted.
     """
+    vectors, references = (df.where(F.col("embedding").isNotNull()) for df in (vectors, references))
     # Both may come from one table: new columns on one side, so that the two are told apart where they meet.
     narrow, refs = vectors.select("id", "embedding"), references.select(*[F.col(c).alias(c) for c in ("id", *columns, "embedding")])
     n = refs.count()

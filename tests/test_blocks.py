@@ -1,5 +1,8 @@
 """Queries whose tables are cut into blocks on both sides, as they are from 8,192 references on."""
 
+import os
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import pivots, vectors
 from shelfmark.plans import registry as catalog
 
-from .compare import connect, same_rows
+from .compare import TABLES, connect, same_rows
 
 
 @pytest.mark.parametrize("name", ["confirm_above_threshold", "max_sim_band", "nn_label", "split_candidates"])
@@ -33,3 +36,21 @@ def test_copies_do_not_grow_with_the_pivots(spark, monkeypatch):
     assert len(built.pivots.directions) == 20 and 0 < sent <= 60 * 9
     rows = lambda df: sorted((r["id"], r["label"], round(r["score"], 9)) for r in df.collect())
     assert rows(pivots.nearest_label(v, built, "label", -1.0)) == rows(vectors.nearest_label(v, refs, "label", -1.0))
+
+
+def with_null_vectors(sf_dir, folder):
+    """The tables of ``sf_dir``, where two of ten embeddings, named and unknown ones, are null."""
+    for name in TABLES:
+        if name != "embeddings":
+            os.symlink(f"{sf_dir}/{name}.parquet", folder / f"{name}.parquet")
+    rows = f"SELECT * REPLACE (CASE WHEN vec_id % 10 NOT IN (3, 4) THEN embedding END AS embedding) FROM '{sf_dir}/embeddings.parquet'"
+    duckdb.sql(f"COPY ({rows}) TO '{folder}/embeddings.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("block", [40, 8192])
+@pytest.mark.parametrize("name", ["max_sim_band"])
+def test_null_vectors_meet_nothing(name, block, spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    there = with_null_vectors(sf_dir, tmp_path)
+    same_rows(catalog.queries()[name](spark, there), connect(there), catalog.oracle_sql()[name])
