@@ -49,7 +49,7 @@ def with_null_vectors(sf_dir, folder):
 
 
 @pytest.mark.parametrize("block", [40, 8192])
-@pytest.mark.parametrize("name", ["max_sim_band", "nn_label"])
+@pytest.mark.parametrize("name", ["max_sim_band", "nn_label", "split_candidates"])
 def test_null_vectors_meet_nothing(name, block, spark, sf_dir, tmp_path, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", block)
     there = with_null_vectors(sf_dir, tmp_path)
